@@ -1,0 +1,34 @@
+"""Run every registered query against its oracle: python -m tests.check_all [sf_dir] [name ...]"""
+
+from __future__ import annotations
+
+import sys
+import time
+
+import __spark_entry__ as contract
+from fleetlens.session import local_session
+from tests.compare import connect, differences
+
+
+def main(sf_dir: str = "/root/testdata/sf0.01", *names: str) -> int:
+    spark = local_session()
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    queries, oracle = contract.queries(), contract.oracle_sql()
+    bad = 0
+    for name in names or queries:
+        start = time.time()
+        try:
+            found = differences(queries[name](spark, sf_dir), con, oracle[name])
+        except Exception as e:  # report and go on with the next query
+            found = [f"{type(e).__name__}: {str(e)[:1500]}"]
+        bad += bool(found)
+        print(f"{'FAIL' if found else 'ok  '} {name} {time.time() - start:.2f}s", flush=True)
+        for line in found:
+            print("     ", line[:1800], flush=True)
+    print(f"{bad} failing of {len(names or queries)}")
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(*sys.argv[1:]) else 0)
