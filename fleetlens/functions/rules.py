@@ -1,10 +1,12 @@
-"""Ordered first-match rules as native column expressions."""
+"""Ordered first-match rules as native column expressions.
+
+The long rule tables are turned into one SQL CASE each: a single expression for
+Catalyst, built in one step instead of one call per rule and substring.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,41 +14,55 @@ from pyspark.sql import functions as F
 from fleetlens.functions import rule_values as V
 
 
+def sql_text(value: str | None) -> str:
+    """``value`` as a SQL string literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def first_match(cases: Sequence[tuple[Column, object]], default: object = None) -> Column:
     """Value of the first case whose condition is true, else ``default``."""
     chain = None
     for condition, value in cases:
-        value = value if isinstance(value, Column) else F.lit(value)
         chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    default = default if isinstance(default, Column) else F.lit(default)
-    return default if chain is None else chain.otherwise(default)
+    return F.lit(default) if chain is None else chain.otherwise(default)
+
+
+def contains_any(column: str, needles: Sequence[str]) -> str:
+    """SQL condition: ``column`` holds one of the substrings, case-sensitively."""
+    return "(" + " OR ".join(f"contains({column}, {sql_text(n)})" for n in needles) + ")"
 
 
-def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    return reduce(or_, [text.contains(n) for n in needles])
+def _case(cases: Sequence[tuple[str, str]], default: str | None) -> Column:
+    arms = " ".join(f"WHEN {condition} THEN {sql_text(label)}" for condition, label in cases)
+    return F.expr(f"CASE {arms} ELSE {sql_text(default)} END")
 
 
-def classify_issue(description: Column, rules=V.ISSUE_RULES, default=V.UNCATEGORISED) -> Column:
-    return first_match([(contains_any(description, subs), label) for label, subs in rules], default)
+def classify_issue(description: str = "description", rules=V.ISSUE_RULES,
+                   default: str = V.UNCATEGORISED) -> Column:
+    """Issue label of a complaint text; a NULL text matches no rule."""
+    return _case([(contains_any(description, subs), label) for label, subs in rules], default)
 
 
-def _by_category(category: Column, description: Column, rules, default) -> Column:
+def _by_category(category: str, description: str, rules, default: str | None) -> Column:
     cases = []
     for label, wanted, needles in rules:
-        condition = category == wanted
+        condition = f"{category} = {sql_text(wanted)}"
         if needles:
-            condition = condition & contains_any(description, needles)
+            condition += f" AND {contains_any(description, needles)}"
         cases.append((condition, label))
-    return first_match(cases, default)
+    return _case(cases, default)
 
 
-def map_checklist_item(category: Column, description: Column) -> Column:
-    return _by_category(category, description, V.CHECKLIST_ITEM_RULES,
-                        F.lit(None).cast("string"))
+def map_checklist_item(category: str = "complaint_category", description: str = "description",
+                       rules=V.CHECKLIST_ITEM_RULES) -> Column:
+    return _by_category(category, description, rules, None)
 
 
-def coverage_gap(category: Column, description: Column) -> Column:
-    return _by_category(category, description, V.COVERAGE_RULES, V.COVERED)
+def coverage_gap(category: str = "complaint_category", description: str = "description",
+                 rules=V.COVERAGE_RULES, default: str = V.COVERED) -> Column:
+    return _by_category(category, description, rules, default)
 
 
 def gap_severity(complaints: Column, levels=V.GAP_SEVERITY) -> tuple[Column, Column]:

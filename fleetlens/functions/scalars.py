@@ -32,7 +32,8 @@ def month_of(date: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return text.isNotNull() & (F.regexp_replace(text, r"\s+", "") != "")
+    """Text that is more than white space; NULL is blank."""
+    return F.coalesce(F.btrim(text, F.lit(" \t\n\r\f\v")) != "", F.lit(False))
 
 
 def digits_to_bigint(identifier: Column) -> Column:

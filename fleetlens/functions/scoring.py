@@ -129,9 +129,14 @@ def first_n(values: list[Column], n: int) -> Column:
     return F.slice(F.array_compact(F.array(*values)), 1, n)
 
 
+def count_equal(values: Column, label: str) -> Column:
+    """How many elements of an array equal ``label``; compiled, unlike a filter lambda."""
+    return F.size(values) - F.size(F.array_remove(values, label))
+
+
 def count_status(checklist: Column, label: str) -> Column:
     """How many entries of a ``map<string,string>`` carry ``label``."""
-    return F.size(F.filter(F.map_values(checklist), lambda v: v == label))
+    return count_equal(F.map_values(checklist), label)
 
 
 def inspection_score(df: DataFrame, checklist_col: str = "checklist") -> DataFrame:
@@ -155,15 +160,11 @@ def inspection_score(df: DataFrame, checklist_col: str = "checklist") -> DataFra
 
 def inspection_score_clamped(df: DataFrame, form_col: str = "form") -> DataFrame:
     """Score a form (array of name/status structs): clamped to 0..100, no random noise."""
-    form = F.col(form_col)
-
-    def having(status):
-        return F.size(F.filter(form, lambda x: x["status"] == status))
-
+    states = F.col(form_col)["status"]
     return (
-        df.withColumn("items_checked", F.size(form))
-        .withColumn("items_failed", having("Fail"))
-        .withColumn("items_quick_fix", having("Quick Fix"))
+        df.withColumn("items_checked", F.size(form_col))
+        .withColumn("items_failed", count_equal(states, "Fail"))
+        .withColumn("items_quick_fix", count_equal(states, "Quick Fix"))
         .withColumn("risk_score", F.round(F.least(F.lit(100.0), F.greatest(
             F.lit(0.0), F.col("items_failed") * 15.0 + F.col("items_quick_fix") * 5.0)), 1))
         .withColumn("overall_result", first_match(

@@ -75,12 +75,11 @@ def correlate(complaints: DataFrame, inspections: DataFrame, deliveries: DataFra
 
 
 def _with_rules(linked: DataFrame) -> DataFrame:
-    category, text = F.col("complaint_category"), F.col("description")
     return linked.select(
         "complaint_id", "vehicle_id", "complaint_category", "description", *LINKED,
-        classify_issue(text).alias("specific_issue"),
-        map_checklist_item(category, text).alias("mapped_checklist_item"),
-        coverage_gap(category, text).alias("coverage_gap"),
+        classify_issue().alias("specific_issue"),
+        map_checklist_item().alias("mapped_checklist_item"),
+        coverage_gap().alias("coverage_gap"),
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
-from fleetlens.functions.rules import first_match
+from fleetlens.functions.rules import first_match, sql_text
 
 
 def checklist_unpivot(wide: DataFrame, items=V.CHECKLIST_KEYS,
@@ -39,15 +39,16 @@ def default_actions(submissions: DataFrame, items=V.CHECKLIST_KEYS,
     A missing item passes.  A passed item has a blank action; any other has the
     submitted fix text, or a default for its result.
     """
-    columns: list[Column] = []
-    for item in items:
-        result = F.coalesce(F.col("checklist")[item], F.lit("PASS"))
-        fix = F.nullif(F.col("fix_actions")[item], F.lit(""))
-        default = F.when(result == "QUICK_FIX", V.SUBMIT_ACTIONS["QUICK_FIX"]).otherwise(
-            V.SUBMIT_ACTIONS["FAIL"])
-        action = F.when(result == "PASS", "").otherwise(F.coalesce(fix, default))
-        columns += [result.alias(f"{item}_result"), action.alias(f"{item}_action")]
-    return submissions.select(*(keep or ["inspection_id"]), *columns)
+    quick, failed = (sql_text(V.SUBMIT_ACTIONS[r]) for r in ("QUICK_FIX", "FAIL"))
+    keep = keep or ["inspection_id"]
+    looked_up = submissions.select(*keep, *[c for item in items for c in (
+        F.coalesce(F.col("checklist")[item], F.lit("PASS")).alias(f"{item}_result"),
+        F.col("fix_actions")[item].alias(f"{item}_fix"))])
+    return looked_up.select(*keep, *[c for item in items for c in (
+        F.col(f"{item}_result"),
+        F.expr(f"CASE WHEN {item}_result = 'PASS' THEN '' WHEN {item}_fix <> '' THEN {item}_fix "
+               f"WHEN {item}_result = 'QUICK_FIX' THEN {quick} ELSE {failed} END")
+        .alias(f"{item}_action"))])
 
 
 def worst_status(forms: DataFrame, mapping=V.FORM_ITEMS, items=V.CHECKLIST_KEYS,
@@ -57,23 +58,19 @@ def worst_status(forms: DataFrame, mapping=V.FORM_ITEMS, items=V.CHECKLIST_KEYS,
     Several form labels may feed one item.  If a label is repeated in a form its
     first entry counts, and an item no label speaks of passes without an action.
     """
-    columns: list[Column] = []
-    for item in items:
-        states = [_first_status(label) for label, key in mapping if key == item]
-        found = F.array_compact(F.array(*states)) if states else F.array().cast("array<string>")
-        result = first_match(
-            [
-                (F.array_contains(found, "Fail"), "FAIL"),
-                # whatever is neither Pass nor Fail counts as a quick fix
-                (F.exists(found, lambda s: s != "Pass"), "QUICK_FIX"),
-            ],
-            "PASS",
-        )
-        action = F.when(result == "FAIL", V.FORM_ACTIONS["FAIL"]).when(
-            result == "QUICK_FIX", V.FORM_ACTIONS["QUICK_FIX"])
-        columns += [result.alias(f"{item}_result"), action.alias(f"{item}_action")]
-    return forms.select(*(keep or ["inspection_id"]), *columns)
-
-
-def _first_status(label: str) -> Column:
-    return F.get(F.filter("form", lambda x: x["name"] == label), F.lit(0))["status"]
+    keep = keep or ["inspection_id"]
+    ranked = forms.select(
+        *keep, F.col("form.name").alias("names"), F.col("form.status").alias("states"),
+    ).select(*keep, *[
+        F.expr(f"greatest(0, {', '.join(_rank(label) for label, key in mapping if key == item)})")
+        .alias(item) for item in items])
+    quick, failed = (sql_text(V.FORM_ACTIONS[r]) for r in ("QUICK_FIX", "FAIL"))
+    return ranked.select(*keep, *[c for item in items for c in (
+        F.expr(f"elt({item} + 1, 'PASS', 'QUICK_FIX', 'FAIL')").alias(f"{item}_result"),
+        F.expr(f"elt({item} + 1, NULL, {quick}, {failed})").alias(f"{item}_action"))])
+
+
+def _rank(label: str) -> str:
+    # status of the first entry with this label; anything but Pass and Fail is a quick fix
+    status = f"get(states, int(array_position(names, {sql_text(label)})) - 1)"
+    return f"CASE coalesce({status}, 'Pass') WHEN 'Fail' THEN 2 WHEN 'Pass' THEN 0 ELSE 1 END"

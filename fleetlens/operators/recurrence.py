@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
 from fleetlens.functions.rules import first_match
+from fleetlens.functions.scalars import not_blank
 from fleetlens.operators.inspections import checklist_unpivot
 from fleetlens.operators.topn import top_n_per_key
 
@@ -85,41 +86,44 @@ def inspection_decision(scored: DataFrame, rates: DataFrame) -> DataFrame:
     """Adjust scored submissions by the recurrence of the fixes they report.
 
     Rates have one row per checklist key, so they enter every row as a map
-    value; submissions are neither exploded nor shuffled.
+    value; submissions are neither exploded nor shuffled.  Warnings keep the
+    order in which the submission lists its fixes.
     """
-    fixed = F.map_keys(F.map_filter("fix_actions", lambda _, v: F.coalesce(
-        F.regexp_replace(v, r"\s+", "") != "", F.lit(False))))
-    # the warning table is a scalar; coalesce covers "no history at all"
-    df = scored.withColumn("_rates", rates_as_map(rates)).withColumn("_items", fixed)
-    df = df.withColumn("_warnings", F.array_compact(F.transform(
-        "_items", lambda i: F.try_element_at(F.col("_rates"), i))))
-    df = df.withColumn("_warnings", F.coalesce(
-        "_warnings", F.slice(F.array(F.struct(
-            F.lit(0.0).alias("recurrence_rate"), F.lit("").alias("severity"),
-            F.lit(0).alias("risk_add"))), 1, 0)))
+    def warning(fix: Column) -> Column:
+        return F.when(not_blank(fix["value"]), F.try_element_at(F.col("_rates"), fix["key"]))
+
+    # without any history the map is NULL and no fix is warned about
+    warned = scored.withColumn("_rates", rates_as_map(rates)).withColumn(
+        "_warnings", F.coalesce(
+            F.array_compact(F.transform(F.map_entries("fix_actions"), warning)), no_warnings()))
     warnings = F.col("_warnings")
-    count = F.size(warnings)
-    high = F.exists(warnings, lambda w: w["severity"] == "HIGH")
-    result = F.when(high, "FAIL").otherwise(F.col("overall_result"))
+    decided = warned.select(
+        *scored.columns,
+        F.size(warnings).alias("warnings"),
+        F.array_contains(warnings["severity"], "HIGH").alias("_high"),
+        F.aggregate(warnings["risk_add"], F.lit(0), lambda acc, add: acc + add).alias("_add"),
+        F.get(warnings["recurrence_rate"], F.lit(0)).cast("string").alias("_first_rate"),
+    ).withColumn("overall_result", F.when(F.col("_high"), "FAIL").otherwise(
+        F.col("overall_result")))
     text = first_match(
         [
-            (count > 0, F.concat(
-                F.lit("HOLD DELIVERY — Recurrence risk detected in "), count.cast("string"),
+            (F.col("warnings") > 0, F.concat(
+                F.lit("HOLD DELIVERY — Recurrence risk detected in "),
+                F.col("warnings").cast("string"),
                 F.lit(" item(s). Same fixes applied before led to complaints in "),
-                F.get(warnings, F.lit(0))["recurrence_rate"].cast("string"),
-                F.lit("% of cases."))),
-            (result == "PASS", "Clear for delivery"),
-            (result == "CONDITIONAL", "Quick fixes required before delivery"),
+                F.col("_first_rate"), F.lit("% of cases."))),
+            (F.col("overall_result") == "PASS", "Clear for delivery"),
+            (F.col("overall_result") == "CONDITIONAL", "Quick fixes required before delivery"),
         ],
         "Hold delivery — critical failures detected",
     )
-    return df.select(
-        *[c for c in scored.columns
-          if c not in ("risk_score", "overall_result", "delivery_cleared")],
-        F.round(F.col("risk_score") + F.aggregate(
-            warnings, F.lit(0), lambda acc, w: acc + w["risk_add"]), 2).alias("risk_score"),
-        count.alias("warnings"),
-        result.alias("overall_result"),
-        (F.col("delivery_cleared") & ~high).alias("delivery_cleared"),
-        text.alias("risk_recommendation"),
+    return (
+        decided.withColumn("risk_score", F.round(F.col("risk_score") + F.col("_add"), 2))
+        .withColumn("delivery_cleared", F.col("delivery_cleared") & ~F.col("_high"))
+        .withColumn("risk_recommendation", text)
+        .drop("_high", "_add", "_first_rate")
     )
+
+
+def no_warnings() -> Column:
+    return F.array().cast("array<struct<recurrence_rate:double,severity:string,risk_add:int>>")

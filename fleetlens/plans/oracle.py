@@ -315,7 +315,7 @@ _step("form", f"""
            CASE WHEN idx = 12 THEN 'FAIL' ELSE {RESULT} END AS result
     FROM orders, (VALUES {_values([(n, a, b or V.FORM_ITEMS[0][1])
                                    for n, (a, b) in enumerate(_FORM)])}) f(idx, label, key)
-    WHERE idx = 12 OR (o_orderkey + idx) % 9 <> 0""")
+    WHERE idx = 12 OR (idx >= o_orderkey % 4 AND idx < 12 - o_orderkey % 3)""")
 _step("alert", """
     SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, dealer_code, category,
            count(*) AS complaints
@@ -400,8 +400,35 @@ _DECISION = """
         FROM sub JOIN rates ON item = key WHERE trim(fix) <> '' AND warning
         GROUP BY inspection_id) w USING (inspection_id)"""
 _ANSWERS = f"""
-    SELECT event_id AS complaint_id, event_id % 6 AS kind,
-           {_case('event_type', src.CATEGORY_OF_EVENT)} AS label FROM events"""
+    WITH e AS (
+        SELECT event_id, {_case('event_type', src.CATEGORY_OF_EVENT)} AS label,
+               '{{"category": "' || label || '", "subcategory": "Sub ' || event_id % 7
+               || '", "confidence": 0.' || lpad((event_id % 100)::VARCHAR, 2, '0') || '}}' AS obj,
+               chr(10) AS nl
+        FROM events),
+    raw AS (
+        SELECT event_id, CASE event_id % 6
+            WHEN 0 THEN obj
+            WHEN 1 THEN '```json' || nl || obj || nl || '```'
+            WHEN 2 THEN 'Here it is:' || nl || '```' || nl || obj || nl || '```' || nl || 'Done'
+            WHEN 3 THEN 'I think this is ' || label
+            WHEN 4 THEN '{{"category": "' || label || '"}}'
+            ELSE '  {{"category": "' || label
+                 || '", "subcategory": "S", "confidence": 1, "reasoning": "r"}}' || nl END AS txt
+        FROM e),
+    body AS (
+        SELECT event_id, replace(CASE WHEN contains(txt, '```') THEN split_part(txt, '```', 2)
+                                      ELSE txt END, 'json', '') AS txt FROM raw),
+    obj AS (
+        SELECT event_id, CASE WHEN json_valid(txt) THEN txt ELSE '{{}}' END AS js,
+               js ->> '$.category' IS NOT NULL AS ok FROM body)
+    SELECT event_id AS complaint_id,
+           CASE WHEN ok THEN js ->> '$.category' ELSE 'Unknown' END AS category,
+           CASE WHEN ok THEN coalesce(js ->> '$.subcategory', '') ELSE 'Unclassified' END
+               AS subcategory,
+           CASE WHEN ok THEN coalesce((js ->> '$.confidence')::DOUBLE, 0) ELSE 0 END::DOUBLE
+               AS confidence
+    FROM obj"""
 
 
 def _bronze_inspections() -> str:
@@ -431,14 +458,7 @@ ORACLE: dict[str, str] = {
            (SELECT max(n) FROM sc WHERE processed) + row_number() OVER (
                ORDER BY md5(complaint_id)[:3], complaint_id) AS new_id
            FROM sc WHERE NOT processed""", "sc"),
-    "parse_classification": f"""
-        SELECT complaint_id,
-               CASE WHEN kind = 3 THEN 'Unknown' ELSE label END AS category,
-               CASE WHEN kind = 3 THEN 'Unclassified' WHEN kind = 4 THEN ''
-                    WHEN kind = 5 THEN 'S' ELSE 'Sub ' || complaint_id % 7 END AS subcategory,
-               CASE kind WHEN 3 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 1
-                    ELSE (complaint_id % 100) / 100 END::DOUBLE AS confidence
-        FROM ({_ANSWERS})""",
+    "parse_classification": _ANSWERS,
     "table_counts": statement(
         """SELECT (SELECT count(*) FROM c) AS complaints, (SELECT count(*) FROM i) AS inspections,
            (SELECT count(*) FROM d) AS deliveries""", "c", "i", "d"),

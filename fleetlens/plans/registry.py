@@ -190,21 +190,19 @@ def delivery_service_link(spark, sf):
 @query("classify_issue")
 def classify_issue_rules(spark, sf):
     return src.complaints(spark, sf).select(
-        "complaint_id", "description", classify_issue(F.col("description")).alias("specific_issue"))
+        "complaint_id", "description", classify_issue().alias("specific_issue"))
 
 
 @query("map_checklist_item")
 def checklist_item_rules(spark, sf):
-    category, text = F.col("complaint_category"), F.col("description")
     return src.complaints(spark, sf).select(
-        "complaint_id", map_checklist_item(category, text).alias("mapped_checklist_item"))
+        "complaint_id", map_checklist_item().alias("mapped_checklist_item"))
 
 
 @query("coverage_gap")
 def coverage_gap_rules(spark, sf):
-    category, text = F.col("complaint_category"), F.col("description")
     return src.complaints(spark, sf).select(
-        "complaint_id", coverage_gap(category, text).alias("coverage_gap"))
+        "complaint_id", coverage_gap().alias("coverage_gap"))
 
 
 @query("complaint_detail")
@@ -220,7 +218,7 @@ def checklist_recommendations(spark, sf):
 @query("action_lookup")
 def action_lookup(spark, sf):
     issues = src.complaints(spark, sf).select(
-        "complaint_id", classify_issue(F.col("description")).alias("specific_issue"))
+        "complaint_id", classify_issue().alias("specific_issue"))
     return dash.action_lookup(issues, "specific_issue")
 
 

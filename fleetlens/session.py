@@ -14,6 +14,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        # HotSpot does not compile methods over 8000 bytes; plan such stages without fusion
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="fleetlens-wh-"))

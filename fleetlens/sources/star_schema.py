@@ -12,10 +12,22 @@ only the columns in use.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
+from fleetlens.functions.rules import sql_text
+
+# stated rather than inferred: opening a frame then runs no footer-reading job
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
 
 # sample texts, at least one per issue rule, plus overlapping, unmatched, blank and NULL ones
 PHRASES = [
@@ -58,28 +70,31 @@ COMPLAINT_STATES = ["Open", "Open", "Resolved", "In Progress", "Resolved"]
 DEALERS = 8
 
 
-def _text(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), value.cast("string"))
 
+def _pick(values: list, index: str) -> str:
+    return f"get(array({', '.join(sql_text(v) for v in values)}), int({index}))"
+
+
+def _lookup(table: dict, key: str) -> str:
+    arms = " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v)}" for k, v in table.items())
+    return f"CASE {key} {arms} END"
 
-def _pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
+def _dealer(number: str) -> str:
+    return f"concat('DLR-', lpad(string({number} % {DEALERS}), 3, '0'))"
 
-def _lookup(table: dict, key: Column) -> Column:
-    column = None
-    for name, value in table.items():
-        column = (F.when(key == name, value) if column is None
-                  else column.when(key == name, value))
-    return column
 
+def _result(n: int, labels: tuple[str, str, str] = ("FAIL", "QUICK_FIX", "PASS")) -> str:
+    fail, fix, ok = labels
+    return (f"CASE (o_orderkey * 31 + o_custkey * 17 + {n * 7}) % 23 "
+            f"WHEN 0 THEN '{fail}' WHEN 1 THEN '{fix}' WHEN 2 THEN '{fix}' ELSE '{ok}' END")
 
-def _dealer(number: Column) -> Column:
-    return F.concat(F.lit("DLR-"), F.lpad((number % DEALERS).cast("string"), 3, "0"))
+
+_ITEM_STATUS = "l_returnflag = 'R' AND l_quantity <= 4"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def staging_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,180 +103,169 @@ def staging_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_staging_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records as a file stream."""
-    schema = read_table(spark, sf_dir, "events").schema
     return as_staging_complaints(
-        spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))
-
-
-def as_staging_complaints(e: DataFrame) -> DataFrame:
-    event, user = F.col("event_id"), F.col("user_id")
-    category = F.when(event % 97 != 5, _lookup(CATEGORY_OF_EVENT, F.col("event_type")))
-    return e.select(
-        _text("CC-", event).alias("complaint_id"),
-        _text("VIN-", user * 11).alias("vin"),
-        _text("Customer ", user).alias("customer_name"),
-        _dealer(user).alias("dealer_code"),
-        _text("Dealer ", user % DEALERS).alias("dealer_name"),
-        F.date_sub(F.to_date("ts"), (event % 1500 + 8030).cast("int")).alias("complaint_date"),
-        _pick(PHRASES, event % len(PHRASES)).alias("description"),
-        category.alias("category"),
-        F.lit(None).cast("string").alias("subcategory"),
-        category.alias("ai_category"),
-        _pick(SEVERITIES, event % len(SEVERITIES)).alias("severity"),
-        _pick(COMPLAINT_STATES, event % len(COMPLAINT_STATES)).alias("status"),
-        (event % 100 / F.lit(100)).cast("decimal(5,2)").alias("ai_confidence"),
-        (event % 3 == 0).alias("processed"),
-        _text("VH-", user * 11).alias("vehicle_id"),
-        _text("CU-", user).alias("customer_id"),
-        category.alias("complaint_category"),
-        F.col("ts").alias("ingested_at"),
-        F.col("ts").alias("created_at"),
+        spark.readStream.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events*.parquet"))
+
+
+_CATEGORY = f"CASE WHEN event_id % 97 <> 5 THEN {_lookup(CATEGORY_OF_EVENT, 'event_type')} END"
+_COMPLAINT_DATE = "date_sub(to_date(ts), int(event_id % 1500 + 8030))"
+_DESCRIPTION = _pick(PHRASES, f"event_id % {len(PHRASES)}")
+
+
+def as_staging_complaints(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
+        "concat('CC-', event_id) AS complaint_id",
+        "concat('VIN-', user_id * 11) AS vin",
+        "concat('Customer ', user_id) AS customer_name",
+        f"{_dealer('user_id')} AS dealer_code",
+        f"concat('Dealer ', user_id % {DEALERS}) AS dealer_name",
+        f"{_COMPLAINT_DATE} AS complaint_date",
+        f"{_DESCRIPTION} AS description",
+        f"{_CATEGORY} AS category",
+        f"{_CATEGORY} AS ai_category",
+        f"{_pick(SEVERITIES, f'event_id % {len(SEVERITIES)}')} AS severity",
+        f"{_pick(COMPLAINT_STATES, f'event_id % {len(COMPLAINT_STATES)}')} AS status",
+        "CAST(event_id % 100 * 0.01 AS DECIMAL(5,2)) AS ai_confidence",
+        "event_id % 3 = 0 AS processed",
+        "concat('VH-', user_id * 11) AS vehicle_id",
+        "concat('CU-', user_id) AS customer_id",
+        f"{_CATEGORY} AS complaint_category",
+        "ts AS ingested_at",
+        "ts AS created_at",
+    )
+
+
+def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "event_id AS complaint_id",
+        "concat('VH-', user_id * 11) AS vehicle_id",
+        "concat('CU-', user_id) AS customer_id",
+        f"{_COMPLAINT_DATE} AS complaint_date",
+        f"{_CATEGORY} AS complaint_category",
+        f"{_DESCRIPTION} AS description",
     )
 
 
 def staging_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    # one sheet in ten belongs to a vehicle that can have complaints
-    vehicle = F.floor(cust / 10) * 11 + F.when(order % 10 == 0, 0).otherwise(1)
-    columns = [
-        _text("INS-", order).alias("inspection_id"),
-        _text("VIN-", vehicle).alias("vin"),
-        _dealer(order).alias("dealer_code"),
-        _text("Dealer ", order % DEALERS).alias("dealer_name"),
-        F.to_date("o_orderdate").alias("inspection_date"),
-    ]
+    sheets = []
     for n, key in enumerate(V.CHECKLIST_KEYS):
-        result = _result(order, cust, n)
-        action = F.when(order % 19 != 0, F.when(result == "PASS", "").when(
-            order % 2 == 0, "Adjusted").otherwise("Replaced part"))
-        columns += [result.alias(f"{key}_result"), action.alias(f"{key}_action")]
-    columns += [
-        (order % 3 == 0).alias("processed"),
-        _text("VH-", cust).alias("vehicle_id"),
-        _pick(ITEM_NAMES, order % len(ITEM_NAMES)).alias("checklist_item"),
-        _result(order, cust, 0).alias("status"),
-        F.lit(None).cast("string").alias("notes"),
-        F.col("o_orderdate").alias("ingested_at"),
-        F.col("o_orderdate").alias("created_at"),
-    ]
-    return o.select(*columns)
-
-
-def _result(order: Column, cust: Column, n: int) -> Column:
-    code = (order * 31 + cust * 17 + n * 7) % 23
-    return F.when(code == 0, "FAIL").when(code <= 2, "QUICK_FIX").otherwise("PASS")
+        result = _result(n)
+        sheets += [
+            f"{result} AS {key}_result",
+            f"CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN {result} = 'PASS' THEN '' "
+            f"WHEN o_orderkey % 2 = 0 THEN 'Adjusted' ELSE 'Replaced part' END AS {key}_action",
+        ]
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "concat('INS-', o_orderkey) AS inspection_id",
+        # one sheet in ten belongs to a vehicle that can have complaints
+        "concat('VIN-', o_custkey div 10 * 11 + int(o_orderkey % 10 <> 0)) AS vin",
+        f"{_dealer('o_orderkey')} AS dealer_code",
+        f"concat('Dealer ', o_orderkey % {DEALERS}) AS dealer_name",
+        "to_date(o_orderdate) AS inspection_date",
+        *sheets,
+        "o_orderkey % 3 = 0 AS processed",
+        "concat('VH-', o_custkey) AS vehicle_id",
+        f"{_pick(ITEM_NAMES, f'o_orderkey % {len(ITEM_NAMES)}')} AS checklist_item",
+        f"{_result(0)} AS status",
+        "CAST(NULL AS STRING) AS notes",
+        "o_orderdate AS ingested_at",
+        "o_orderdate AS created_at",
+    )
 
 
 def staging_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    order = F.col("o_orderkey")
-    return o.select(
-        _text("DEL-", order).alias("delivery_id"),
-        _text("VH-", F.col("o_custkey")).alias("vehicle_id"),
-        _dealer(order).alias("dealer_id"),
-        F.to_date("o_orderdate").alias("delivery_date"),
-        _lookup(CONDITION_OF_PRIORITY, F.col("o_orderpriority")).alias("delivery_condition"),
-        (order % 3 == 0).alias("processed"),
-        F.col("o_orderdate").alias("ingested_at"),
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "concat('DEL-', o_orderkey) AS delivery_id",
+        "concat('VH-', o_custkey) AS vehicle_id",
+        f"{_dealer('o_orderkey')} AS dealer_id",
+        "to_date(o_orderdate) AS delivery_date",
+        f"{_lookup(CONDITION_OF_PRIORITY, 'o_orderpriority')} AS delivery_condition",
+        "o_orderkey % 3 = 0 AS processed",
+        "o_orderdate AS ingested_at",
     )
 
 
-def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging_complaints(spark, sf_dir).select(
-        F.substring("complaint_id", 4, 20).cast("bigint").alias("complaint_id"),
-        "vehicle_id", "customer_id", "complaint_date", "complaint_category", "description",
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS delivery_id",
+        "concat('VH-', o_custkey) AS vehicle_id",
+        f"{_dealer('o_orderkey')} AS dealer_id",
+        "to_date(o_orderdate) AS delivery_date",
+        f"{_lookup(CONDITION_OF_PRIORITY, 'o_orderpriority')} AS delivery_condition",
+        f"{sql_text(V.DEFAULT_SIGNATURE)} AS customer_signature",
     )
 
 
 def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
-    order = F.col("l_orderkey")
-    return li.select(
-        order.alias("inspection_id"),
-        _text("VH-", F.floor(order / 10)).alias("vehicle_id"),
-        _dealer(order).alias("dealer_id"),
-        F.to_date("l_shipdate").alias("inspection_date"),
-        _pick(ITEM_NAMES, F.col("l_partkey") % len(ITEM_NAMES)).alias("checklist_item"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") <= 4), "fail")
-        .when(F.col("l_returnflag") == "N", "Quick Fix").otherwise("Pass").alias("status"),
-        F.lit(None).cast("string").alias("notes"),
-    )
-
-
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging_deliveries(spark, sf_dir).select(
-        F.substring("delivery_id", 5, 20).cast("bigint").alias("delivery_id"),
-        "vehicle_id", "dealer_id", "delivery_date", "delivery_condition",
-        F.lit(V.DEFAULT_SIGNATURE).alias("customer_signature"),
+    return read_table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS inspection_id",
+        "concat('VH-', l_orderkey div 10) AS vehicle_id",
+        f"{_dealer('l_orderkey')} AS dealer_id",
+        "to_date(l_shipdate) AS inspection_date",
+        f"{_pick(ITEM_NAMES, f'l_partkey % {len(ITEM_NAMES)}')} AS checklist_item",
+        f"CASE WHEN {_ITEM_STATUS} THEN 'fail' WHEN l_returnflag = 'N' THEN 'Quick Fix' "
+        "ELSE 'Pass' END AS status",
+        "CAST(NULL AS STRING) AS notes",
     )
 
 
 def checked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one row per (inspection, checklist key), keys may repeat or be missing."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.select(
-        F.col("l_orderkey").alias("inspection_id"),
-        _pick(V.CHECKLIST_KEYS, F.col("l_partkey") % len(V.CHECKLIST_KEYS)).alias("item"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") <= 4), "FAIL")
-        .when(F.col("l_returnflag") == "N", "QUICK_FIX").otherwise("PASS").alias("result"),
+    return read_table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS inspection_id",
+        f"{_pick(V.CHECKLIST_KEYS, f'l_partkey % {len(V.CHECKLIST_KEYS)}')} AS item",
+        f"CASE WHEN {_ITEM_STATUS} THEN 'FAIL' WHEN l_returnflag = 'N' THEN 'QUICK_FIX' "
+        "ELSE 'PASS' END AS result",
     )
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One submitted checklist map, with fix texts, per order: 7 to 12 entries."""
-    o = read_table(spark, sf_dir, "orders")
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
     keys = V.CHECKLIST_KEYS + ["extra_1", "extra_2"]
-    size = order % 6 + 7
-    results, fixes = [], []
-    for n, key in enumerate(keys):
-        result = _result(order, cust, n)
-        results.append(F.when(size > n, F.struct(F.lit(key).alias("key"), result.alias("value"))))
-        if n < len(V.CHECKLIST_KEYS):
-            fix = F.when(order % 4 == 0, "").when(order % 4 == 1, "  ").otherwise(
-                F.lit(f"Adjusted {key}"))
-            fixes.append(F.when((size > n) & (result != "PASS"),
-                                F.struct(F.lit(key).alias("key"), fix.alias("value"))))
-    return o.select(
-        order.alias("inspection_id"),
-        F.map_from_entries(F.array_compact(F.array(*results))).alias("checklist"),
-        F.map_from_entries(F.array_compact(F.array(*fixes))).alias("fix_actions"),
+    names = ", ".join(sql_text(k) for k in keys)
+    results = ", ".join(_result(n) for n in range(len(keys)))
+    fixes = ", ".join(
+        f"CASE WHEN {_result(n)} = 'PASS' OR o_orderkey % 4 = 0 THEN '' "
+        f"WHEN o_orderkey % 4 = 1 THEN '  ' ELSE 'Adjusted {key}' END"
+        for n, key in enumerate(V.CHECKLIST_KEYS))
+    size = "int(o_orderkey % 6 + 7)"
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS inspection_id",
+        f"map_from_arrays(slice(array({names}), 1, {size}), slice(array({results}), 1, {size})) "
+        "AS checklist",
+        f"map_from_arrays(slice(array({', '.join(sql_text(k) for k in V.CHECKLIST_KEYS)}), "
+        f"1, {size}), slice(array({fixes}), 1, {size})) AS fix_actions",
     )
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One form per order: array of (name, status), some labels missing, the first repeated."""
-    o = read_table(spark, sf_dir, "orders")
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    words = {"FAIL": "Fail", "QUICK_FIX": "Quick Fix", "PASS": "Pass"}
-    entries = []
-    for n, (label, _) in enumerate(V.FORM_ITEMS):
-        status = _lookup(words, _result(order, cust, n))
-        entries.append(F.when((order + n) % 9 != 0, F.struct(
-            F.lit(label).alias("name"), status.alias("status"))))
-    entries.append(F.struct(F.lit(V.FORM_ITEMS[0][0]).alias("name"), F.lit("Fail").alias("status")))
-    return o.select(order.alias("inspection_id"),
-                    F.array_compact(F.array(*entries)).alias("form"))
+    entries = ", ".join(
+        f"named_struct('name', {sql_text(label)}, 'status', "
+        f"{_result(n, ('Fail', 'Quick Fix', 'Pass'))})"
+        for n, (label, _) in enumerate(V.FORM_ITEMS))
+    again = f"array(named_struct('name', {sql_text(V.FORM_ITEMS[0][0])}, 'status', 'Fail'))"
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS inspection_id",
+        f"concat(slice(array({entries}), int(o_orderkey % 4 + 1), "
+        f"int({len(V.FORM_ITEMS)} - o_orderkey % 4 - o_orderkey % 3)), {again}) AS form",
+    )
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw classifier answers: plain, fenced, wrapped in prose, partial and malformed JSON."""
-    e = read_table(spark, sf_dir, "events")
-    event = F.col("event_id")
-    label = _lookup(CATEGORY_OF_EVENT, F.col("event_type"))
-    conf = F.format_string("0.%02d", event % 100)
-    full = F.concat(F.lit('{"category": "'), label, F.lit('", "subcategory": "Sub '),
-                    (event % 7).cast("string"), F.lit('", "confidence": '), conf, F.lit("}"))
-    fence = F.lit("```")
-    raw = (
-        F.when(event % 6 == 0, full)
-        .when(event % 6 == 1, F.concat(fence, F.lit("json\n"), full, F.lit("\n"), fence))
-        .when(event % 6 == 2, F.concat(F.lit("Here it is:\n"), fence, F.lit("\n"), full,
-                                       F.lit("\n"), fence, F.lit("\nDone")))
-        .when(event % 6 == 3, F.concat(F.lit("I think this is "), label))
-        .when(event % 6 == 4, F.concat(F.lit('{"category": "'), label, F.lit('"}')))
-        .otherwise(F.concat(F.lit('  {"category": "'), label,
-                            F.lit('", "subcategory": "S", "confidence": 1, "reasoning": "r"}\n')))
-    )
-    return e.select(event.alias("complaint_id"), raw.alias("answer"))
+    labelled = read_table(spark, sf_dir, "events").selectExpr(
+        "event_id AS complaint_id", f"{_lookup(CATEGORY_OF_EVENT, 'event_type')} AS label")
+    full = labelled.withColumn("full", F.expr(
+        """concat('{"category": "', label, '", "subcategory": "Sub ', complaint_id % 7,
+                  '", "confidence": 0.', lpad(string(complaint_id % 100), 2, '0'), '}')"""))
+    return full.select("complaint_id", F.expr(r"""
+        CASE complaint_id % 6
+            WHEN 0 THEN full
+            WHEN 1 THEN concat('```json\n', full, '\n```')
+            WHEN 2 THEN concat('Here it is:\n```\n', full, '\n```\nDone')
+            WHEN 3 THEN concat('I think this is ', label)
+            WHEN 4 THEN concat('{"category": "', label, '"}')
+            ELSE concat('  {"category": "', label,
+                        '", "subcategory": "S", "confidence": 1, "reasoning": "r"}\n')
+        END""").alias("answer"))
