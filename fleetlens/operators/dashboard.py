@@ -81,19 +81,20 @@ def action_lookup(df: DataFrame, issue_col: str, rules: DataFrame | None = None)
 
 def checklist_recommendations(detail: DataFrame) -> DataFrame:
     """One row per issue: volume, catch rate, coverage status, action and priority."""
-    base = (
-        detail.where(F.col("specific_issue") != V.UNCATEGORISED)
-        .groupBy("specific_issue", "mapped_checklist_item", "coverage_gap")
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.count_if(F.col("inspection_status") == "FAIL").alias("fails"))
-    )
+    base = detail.groupBy("specific_issue", "mapped_checklist_item", "coverage_gap").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("inspection_status") == "FAIL").alias("fails"))
     per_issue = base.groupBy("specific_issue").agg(
         # smallest instead of an arbitrary first item, so that runs agree
         F.min("mapped_checklist_item").alias("item"),
         F.sum("n").alias("total_complaints"),
         F.sum("fails").alias("caught_by_inspection"),
         F.bool_or(F.col("coverage_gap").startswith("NOT COVERED")).alias("is_gap"),
+        F.max("specific_issue").alias("label"),
     ).withColumn("pct_caught", pct(F.col("caught_by_inspection"), F.col("total_complaints")))
+    # tested on an aggregate: as a plain filter it would move down to the rows and
+    # have every text classified a second time
+    per_issue = per_issue.where(F.col("label") != V.UNCATEGORISED)
     status, priority = checklist_status(
         F.col("is_gap"), F.col("pct_caught"), F.col("total_complaints"))
     return action_lookup(per_issue, "specific_issue").select(

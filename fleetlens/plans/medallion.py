@@ -12,15 +12,26 @@ from fleetlens.sources.sinks import append, materialize
 from fleetlens.sources import staging as stg
 
 
-def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> None:
-    """Append the unprocessed rows of the three feeds; one read of each feed."""
-    feeds = [
-        ("complaints", stg.COMPLAINT_COLUMNS, stg.to_bronze_complaints),
-        ("inspections", stg.INSPECTION_COLUMNS, stg.to_bronze_inspections),
-        ("deliveries", stg.DELIVERY_COLUMNS, stg.to_bronze_deliveries),
-    ]
-    for name, columns, to_bronze in feeds:
-        append(to_bronze(stg.read_unprocessed(staged[name], columns)), f"{prefix}bronze_{name}")
+FEEDS = [
+    ("complaints", "complaint_id", stg.COMPLAINT_COLUMNS, stg.to_bronze_complaints),
+    ("inspections", "inspection_id", stg.INSPECTION_COLUMNS, stg.to_bronze_inspections),
+    ("deliveries", "delivery_id", stg.DELIVERY_COLUMNS, stg.to_bronze_deliveries),
+]
+
+
+def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> dict[str, DataFrame]:
+    """Append the unprocessed rows of the three feeds to bronze.
+
+    Returns the feeds with these rows marked, to be stored as their next
+    version.  The batch form trusts that a feed does not change between the two
+    reads; :mod:`fleetlens.streaming.ingest` needs no such trust.
+    """
+    marked = {}
+    for name, id_col, columns, to_bronze in FEEDS:
+        feed = staged[name]
+        append(to_bronze(stg.read_unprocessed(feed, columns)), f"{prefix}bronze_{name}")
+        marked[name] = stg.mark_processed(feed, feed.where("NOT processed"), id_col)
+    return marked
 
 
 def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:

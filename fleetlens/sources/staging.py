@@ -112,10 +112,13 @@ def parse_classification(df: DataFrame, raw_col: str = "answer") -> DataFrame:
     raw = F.col(raw_col)
     body = F.when(raw.contains("```"), F.replace(
         F.split_part(raw, F.lit("```"), F.lit(2)), F.lit("json"), F.lit(""))).otherwise(raw)
-    # from_json reads a leading object and ignores what follows it
-    whole = F.when(body.rlike(r"(?s)^\s*\{.*\}\s*$"), body)
-    parsed = F.from_json(whole, "category string, subcategory string, confidence double",
-                         {"allowSingleQuotes": "false"})
+    # from_json ignores whatever follows a complete value, but not inside a list:
+    # exactly one element means the answer was exactly one object
+    several = F.from_json(
+        F.concat(F.lit("["), body, F.lit("]")),
+        "array<struct<category: string, subcategory: string, confidence: string>>",
+        {"allowSingleQuotes": "false"})
+    parsed = F.when(F.size(several) == 1, several[0])
     category, subcategory, confidence = V.FALLBACK_CLASSIFICATION
     ok = F.col("_parsed")["category"].isNotNull()
     return (
@@ -124,6 +127,7 @@ def parse_classification(df: DataFrame, raw_col: str = "answer") -> DataFrame:
         .withColumn("subcategory", F.when(
             ok, F.coalesce(F.col("_parsed")["subcategory"], F.lit(""))).otherwise(subcategory))
         .withColumn("confidence", F.when(
-            ok, F.coalesce(F.col("_parsed")["confidence"], F.lit(0.0))).otherwise(confidence))
+            ok, F.coalesce(F.col("_parsed")["confidence"].try_cast("double"), F.lit(0.0)))
+            .otherwise(confidence))
         .drop("_parsed", raw_col)
     )

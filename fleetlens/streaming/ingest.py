@@ -2,8 +2,8 @@
 
 The stream's checkpoint replaces the processed flag.  Every micro-batch is
 written to its own folder with overwrite, so a batch that is retried after a
-crash replaces its first attempt instead of appending to it, and ids seen again
-within the watermark are dropped by state.
+crash replaces its first attempt instead of appending to it.  Ids seen before
+are dropped by the stream's state, which is partitioned by id.
 """
 
 from __future__ import annotations
@@ -24,16 +24,29 @@ def staged_stream(spark: SparkSession, folder: str, schema: T.StructType,
 
 def ingest_stream(staged: DataFrame, id_col: str, columns: list[str],
                   to_bronze: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
-                  time_col: str = "ingested_at", dedupe_within: str = "1 day") -> StreamingQuery:
-    """Run the available input through ``to_bronze`` into ``target`` (parquet)."""
+                  time_col: str = "ingested_at",
+                  resent_within: str | None = None) -> StreamingQuery:
+    """Run the available input through ``to_bronze`` into ``target`` (parquet).
+
+    By default every id is remembered: no record is lost, however late, and the
+    state grows with the ids (use the RocksDB state store for large feeds).  If
+    the feed delivers in ``time_col`` order and resends within a known time,
+    ``resent_within`` bounds the state to that time.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         to_bronze(batch.select(*columns)).write.mode("overwrite").parquet(
             f"{target}/batch_id={batch_id}")
 
-    # watermarks need an instant; read zone-free times in the session zone
-    staged = staged.withColumn(time_col, F.col(time_col).cast("timestamp"))
-    unique = staged.withWatermark(time_col, dedupe_within).dropDuplicatesWithinWatermark([id_col])
+    if resent_within is None:
+        unique = staged.dropDuplicates([id_col])
+    else:
+        # watermarks need an instant; read zone-free times in the session zone
+        unique = (
+            staged.withColumn(time_col, F.col(time_col).cast("timestamp"))
+            .withWatermark(time_col, resent_within)
+            .dropDuplicatesWithinWatermark([id_col])
+        )
     return (
         unique.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)

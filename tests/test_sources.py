@@ -88,6 +88,9 @@ def test_ids_are_dense_and_follow_the_maximum(spark):
     ('text ```{"category": "A", "confidence": 1}``` more ```x```', ("A", "", 1.0)),
     ("{'category': 'A'}", ("Unknown", "Unclassified", 0.0)),
     ('{"category": "A"} and more', ("Unknown", "Unclassified", 0.0)),
+    ('{"category": "A"} {"category": "B"}', ("Unknown", "Unclassified", 0.0)),
+    ('{"category": "A"}, {"category": "B"}', ("Unknown", "Unclassified", 0.0)),
+    ('{"category": "A", "confidence": "0.7"}', ("A", "", 0.7)),
     ('["A"]', ("Unknown", "Unclassified", 0.0)),
     ('{"subcategory": "B"}', ("Unknown", "Unclassified", 0.0)),
     ("", ("Unknown", "Unclassified", 0.0)),
@@ -132,10 +135,14 @@ def test_stored_pipeline(spark, sf_dir):
     staged = {"complaints": src.staging_complaints(spark, sf_dir),
               "inspections": src.staging_inspections(spark, sf_dir),
               "deliveries": src.staging_deliveries(spark, sf_dir)}
+    marked = medallion.run_bronze(staged, "again_")
+    assert all(df.where("NOT processed").count() == 0 for df in marked.values())
+    medallion.run_bronze(marked, "again_")
     silver, gold = (df.first() for df in medallion.run_all(spark, staged, "p_"))
     taken = staged["complaints"].where("NOT processed").count()
     assert silver.bad_rows_remaining == 0
     assert silver.corr_rows == silver.distinct_complaints <= taken
+    assert spark.table("again_bronze_complaints").count() == taken
     assert gold.detail_rows == taken and gold.gap_rows == silver.gap_rows
     reco = spark.table("p_gold_checklist_recommendations")
     detail = spark.table("p_gold_complaint_detail")

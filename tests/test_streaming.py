@@ -23,11 +23,11 @@ def put(spark, folder, rows):
     spark.createDataFrame(rows, STAGED).coalesce(1).write.mode("append").parquet(str(folder))
 
 
-def run(spark, source, target, state):
+def run(spark, source, target, state, **options):
     schema = spark.createDataFrame([], STAGED).schema
     ingest_stream(staged_stream(spark, str(source), schema), "complaint_id",
                   staging.COMPLAINT_COLUMNS, staging.to_bronze_complaints, str(target),
-                  str(state)).awaitTermination()
+                  str(state), **options).awaitTermination()
     return sorted(r.complaint_id for r in read_bronze(
         spark, str(target), staging.BRONZE_COMPLAINTS).collect())
 
@@ -41,6 +41,22 @@ def test_ingest_is_incremental_and_drops_resent_ids(spark, tmp_path):
     assert run(spark, source, target, state) == list(range(15))
 
 
+def test_late_records_are_kept(spark, tmp_path):
+    source, target, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    put(spark, source, [record(n, 100) for n in range(5)])
+    run(spark, source, target, state)
+    put(spark, source, [record(n, -100) for n in range(3, 8)])
+    assert run(spark, source, target, state) == list(range(8))
+
+
+def test_bounded_state_drops_resent_ids(spark, tmp_path):
+    source, target, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    put(spark, source, [record(n) for n in range(5)])
+    run(spark, source, target, state, resent_within="1 day")
+    put(spark, source, [record(n, 1) for n in range(3, 8)])
+    assert run(spark, source, target, state, resent_within="1 day") == list(range(8))
+
+
 def test_retried_batch_replaces_its_first_attempt(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     put(spark, source, [record(n) for n in range(6)])
