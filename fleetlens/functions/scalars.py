@@ -28,7 +28,19 @@ def is_fail(status: Column) -> Column:
 
 def month_of(date: Column) -> Column:
     """First day of the month as a zone-free timestamp."""
-    return F.date_trunc("month", date).cast("timestamp_ntz")
+    return F.trunc(date, "month").cast("timestamp_ntz")
+
+
+def wall_to_instant(wall: str) -> Column:
+    """Zone-free time column as the instant it names in UTC, in any session zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, "
+                  f"TIMESTAMP_NTZ '1970-01-01 00:00:00', {wall}))")
+
+
+def instant_to_wall(instant: str) -> Column:
+    """Inverse of :func:`wall_to_instant`."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({instant}), "
+                  "TIMESTAMP_NTZ '1970-01-01 00:00:00')")
 
 
 def not_blank(text: Column) -> Column:

@@ -167,6 +167,7 @@ def inspection_score_clamped(df: DataFrame, form_col: str = "form") -> DataFrame
         .withColumn("items_quick_fix", count_equal(states, "Quick Fix"))
         .withColumn("risk_score", F.round(F.least(F.lit(100.0), F.greatest(
             F.lit(0.0), F.col("items_failed") * 15.0 + F.col("items_quick_fix") * 5.0)), 1))
+        .withColumn("risk_confidence", F.lit(0.85))
         .withColumn("overall_result", first_match(
             [((F.col("items_failed") == 0) & (F.col("items_quick_fix") == 0), "PASS"),
              (F.col("items_failed") == 0, "CONDITIONAL_PASS")], "FAIL"))

@@ -541,6 +541,10 @@ ORACLE: dict[str, str] = {
     "dealer_risk_counts": statement(
         "SELECT dealer_risk_flag, count(*) AS cnt FROM dash GROUP BY ALL", "dash"),
     "distinct_dealers": statement("SELECT DISTINCT dealer_id FROM dash", "dash"),
+    "distinct_categories": statement(
+        "SELECT DISTINCT category, subcategory FROM gapclass", "gapclass"),
+    "distinct_dealer_names": statement(
+        "SELECT DISTINCT dealer_code, dealer_name FROM perf", "perf"),
     "complaint_trends": statement("SELECT * FROM trends", "trends"),
     "dealer_performance": statement("SELECT * FROM perf", "perf"),
     "vehicle_risk_profile": statement("SELECT * FROM profile", "profile"),
@@ -579,6 +583,7 @@ ORACLE: dict[str, str] = {
            (count(*) FILTER (WHERE result = 'FAIL'))::INTEGER AS items_failed,
            (count(*) FILTER (WHERE result = 'QUICK_FIX'))::INTEGER AS items_quick_fix,
            least(100, 15 * items_failed + 5 * items_quick_fix)::DOUBLE AS risk_score,
+           0.85::DOUBLE AS risk_confidence,
            CASE WHEN items_failed > 0 THEN 'FAIL' WHEN items_quick_fix > 0
                 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS overall_result,
            items_failed = 0 AS delivery_cleared FROM form GROUP BY inspection_id""", "form"),

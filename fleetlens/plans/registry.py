@@ -282,6 +282,17 @@ def distinct_dealers(spark, sf):
         _correlation(spark, sf).where(F.col("dealer_id").isNotNull()), ["dealer_id"])
 
 
+@query("distinct_categories")
+def distinct_categories(spark, sf):
+    return topn.distinct_values(
+        rollups.checklist_gap_analysis(_detail(spark, sf)), ["category", "subcategory"])
+
+
+@query("distinct_dealer_names")
+def distinct_dealer_names(spark, sf):
+    return topn.distinct_values(dealer_performance(spark, sf), ["dealer_code", "dealer_name"])
+
+
 @query("complaint_trends")
 def complaint_trends(spark, sf):
     return rollups.complaint_trends(src.staging_complaints(spark, sf))

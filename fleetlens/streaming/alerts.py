@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.scalars import instant_to_wall, wall_to_instant
+
 
 def spike_alert(complaints: DataFrame, time_col: str = "created_at",
                 keys: tuple[str, ...] = ("dealer_code", "category"), more_than: int = 5,
@@ -16,16 +18,20 @@ def spike_alert(complaints: DataFrame, time_col: str = "created_at",
     frame it is ignored.  Counts combine before the shuffle, so a hot dealer
     sends one row per window and task.
     """
-    kind = dict(complaints.dtypes)[time_col]
-    if complaints.isStreaming and kind == "timestamp_ntz":
-        # watermarks need an instant; read zone-free times in the session zone
-        complaints = complaints.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    # watermarks need instants: zone-free times of a stream are taken as UTC and
+    # given back zone-free, whatever the session zone
+    zone_free = complaints.isStreaming and dict(complaints.dtypes)[time_col] == "timestamp_ntz"
+    if zone_free:
+        complaints = complaints.withColumn(time_col, wall_to_instant(time_col))
+
+    def bound(name: str) -> Column:
+        return instant_to_wall(f"w.{name}") if zone_free else F.col(f"w.{name}")
+
     return (
         complaints.withWatermark(time_col, watermark)
         .groupBy(F.window(time_col, length, slide).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("complaints"))
         .where(F.col("complaints") > more_than)
-        .select(F.col("w.start").cast(kind).alias("window_start"),
-                F.col("w.end").cast(kind).alias("window_end"),
+        .select(bound("start").alias("window_start"), bound("end").alias("window_end"),
                 *keys, "complaints")
     )

@@ -26,3 +26,14 @@ def test_query(spark, sf_dir, duck, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert "complaint_id" in df.columns and df.count() > 0
+
+
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/Los_Angeles"])
+@pytest.mark.parametrize("name", ["complaint_dashboard", "complaint_trends", "spike_alert",
+                                  "stream_spike_alert"])
+def test_session_zone_does_not_matter(spark, sf_dir, duck, name, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert differences(QUERIES[name](spark, sf_dir), duck, ORACLE[name]) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

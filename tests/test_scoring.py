@@ -118,5 +118,6 @@ def test_clamped_score(spark):
     rows = [(form(Fail=7),), ([("a", "Quick Fix")] * 2 + [("b", "Pass")],), (form(Pass=3),)]
     got = [tuple(r)[1:] for r in scoring.inspection_score_clamped(spark.createDataFrame(
         rows, "form array<struct<name:string,status:string>>")).collect()]
-    assert got == [(7, 7, 0, 100.0, "FAIL", False), (3, 0, 2, 10.0, "CONDITIONAL_PASS", True),
-                   (3, 0, 0, 0.0, "PASS", True)]
+    assert got == [(7, 7, 0, 100.0, 0.85, "FAIL", False),
+                   (3, 0, 2, 10.0, 0.85, "CONDITIONAL_PASS", True),
+                   (3, 0, 0, 0.0, 0.85, "PASS", True)]
