@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
-from fleetlens.functions.rules import checklist_status, dealer_risk_flag, delivery_risk_level
+from fleetlens.functions.rules import (
+    checklist_status, dealer_risk_flag, delivery_risk_level, sql_text)
 from fleetlens.functions.scalars import gap_pct, month_of, pct
 from fleetlens.operators.topn import rank_priority
 
@@ -60,8 +61,9 @@ def delivery_service_link(correlation: DataFrame) -> DataFrame:
 
 
 def action_rules(spark: SparkSession) -> DataFrame:
-    """The issue -> action table, one row per label."""
-    return spark.createDataFrame(list(V.ISSUE_ACTIONS.items()), "issue string, action string")
+    """The issue -> action table, one row per label, as a literal relation."""
+    rows = ", ".join(f"({sql_text(i)}, {sql_text(a)})" for i, a in V.ISSUE_ACTIONS.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(issue, action)")
 
 
 def action_lookup(df: DataFrame, issue_col: str, rules: DataFrame | None = None) -> DataFrame:
