@@ -10,29 +10,43 @@ from fleetlens.operators.topn import top_n_per_key
 
 # longest vehicle list put into one row; longer sets are read from gap_vehicles
 INLINE_VEHICLES = 1000
+SALTS = 64
 
 
-def not_in(left: DataFrame, column: str, right: DataFrame, right_column: str) -> DataFrame:
+def left_anti(left: DataFrame, column: str, right: DataFrame, right_column: str,
+              spread_by: str | None = None) -> DataFrame:
+    """NOT IN without the NULL traps: NULLs on the right are ignored, NULL rows are kept.
+
+    If ``left`` repeats the values of ``column``, one of them may hold a third of
+    its rows: ``spread_by`` then names a column that splits such a value over
+    ``SALTS`` tasks, each with its own copy of the distinct right values.
+    """
+    values = right.select(F.col(right_column).alias(column)).distinct()
+    if spread_by is None:
+        return left.join(values, column, "left_anti")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return (
+        left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+        .join(values.withColumn("_salt", F.explode(salts)), [column, "_salt"], "left_anti")
+        .select(*left.columns)
+    )
+
+
+def not_in(left: DataFrame, column: str, right: DataFrame, right_column: str,
+           spread_by: str | None = None) -> DataFrame:
     """Rows of ``left`` whose ``column`` is NOT IN ``right``, with SQL's NULL rules.
 
     A NULL on the right removes every row, a NULL on the left is removed unless
-    the right is empty.  Done as a plain shuffled anti join on the distinct right
-    values plus two existence tests that stop at the first row, because Spark's
-    own null-aware anti join has to broadcast the right side whatever its size.
+    the right is empty.  Done as a plain anti join on the distinct right values
+    plus two existence tests that stop at the first row, because Spark's own
+    null-aware anti join has to broadcast the right side whatever its size.
     """
-    values = right.select(F.col(right_column).alias(column)).distinct()
     right_has_null = right.where(F.col(right_column).isNull()).select(F.lit(1)).exists()
     right_has_rows = right.select(F.lit(1)).exists()
-    return left.join(values, column, "left_anti").where(
+    return left_anti(left, column, right, right_column, spread_by).where(
         ~right_has_rows | (F.col(column).isNotNull() & ~right_has_null))
 
 
-def left_anti(left: DataFrame, column: str, right: DataFrame, right_column: str) -> DataFrame:
-    """NOT IN without the NULL traps: NULLs on the right are ignored, NULL rows are kept."""
-    values = right.select(F.col(right_column).alias(column)).distinct()
-    return left.join(values, column, "left_anti")
-
-
 def uncovered(complaints: DataFrame, inspections: DataFrame, null_aware: bool = True) -> DataFrame:
     """Distinct complaint categories that match no checklist item."""
     anti = not_in if null_aware else left_anti
@@ -56,7 +70,8 @@ def gap_vehicles(complaints: DataFrame, inspections: DataFrame,
     anti = not_in if null_aware else left_anti
     pairs = complaints.where(F.col("vehicle_id").isNotNull()).select(
         "complaint_category", "vehicle_id").distinct()
-    return anti(pairs, "complaint_category", inspections, "checklist_item")
+    return anti(pairs, "complaint_category", inspections, "checklist_item",
+                spread_by="vehicle_id")
 
 
 def epdi_gaps(complaints: DataFrame, inspections: DataFrame, null_aware: bool = True,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def assign_ids(new: DataFrame, existing: DataFrame, key: str, id_col: str = "new_id",
-               existing_id: str = "id", hex_digits: int = 3) -> DataFrame:
+               existing_id: str = "id", hex_digits: int = 4) -> DataFrame:
     """Number ``new`` from ``max(existing id) + 1`` on, without gaps.
 
     Rows are ordered by (leading ``hex_digits`` of md5(key), key).  The md5

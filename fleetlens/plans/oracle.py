@@ -456,7 +456,7 @@ ORACLE: dict[str, str] = {
     "assign_ids": statement(
         """SELECT complaint_id, customer_name,
            (SELECT max(n) FROM sc WHERE processed) + row_number() OVER (
-               ORDER BY md5(complaint_id)[:3], complaint_id) AS new_id
+               ORDER BY md5(complaint_id)[:4], complaint_id) AS new_id
            FROM sc WHERE NOT processed""", "sc"),
     "parse_classification": _ANSWERS,
     "table_counts": statement(
@@ -603,12 +603,12 @@ ORACLE: dict[str, str] = {
               + _worst([None, V.FORM_ACTIONS["QUICK_FIX"], V.FORM_ACTIONS["FAIL"]], "_action")),
         "form"),
     "checklist_unpivot": statement("SELECT inspection_id, item, result, action FROM si", "si"),
-    "checklist_pivot": statement(
+    "checklist_pivot":
         _wide("(SELECT l_orderkey AS inspection_id, "
               f"{_list(V.CHECKLIST_KEYS)}[l_partkey % {len(V.CHECKLIST_KEYS)} + 1] AS key, "
               "CASE WHEN l_returnflag = 'N' THEN 'QUICK_FIX' WHEN l_returnflag = 'R' "
               "AND l_quantity <= 4 THEN 'FAIL' ELSE 'PASS' END AS result FROM lineitem)",
-              _worst(["PASS", "QUICK_FIX", "FAIL"], "_result"))).replace("WITH  ", "", 1),
+              _worst(["PASS", "QUICK_FIX", "FAIL"], "_result")),
     "spike_alert": statement("SELECT * FROM alert", "alert"),
     "stream_spike_alert": statement(
         """SELECT * FROM alert

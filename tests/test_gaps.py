@@ -30,6 +30,10 @@ def test_null_rules(spark, right, null_aware, left_anti):
     i = items(spark, *right)
     assert {r[0] for r in gaps.uncovered(c, i).collect()} == null_aware
     assert {r[0] for r in gaps.uncovered(c, i, null_aware=False).collect()} == left_anti
+    rows = c.select("complaint_category", "vehicle_id")
+    for anti, want in ((gaps.not_in, null_aware), (gaps.left_anti, left_anti)):
+        salted = anti(rows, "complaint_category", i, "checklist_item", spread_by="vehicle_id")
+        assert {r[0] for r in salted.collect()} == want and salted.columns == rows.columns
     c.createOrReplaceTempView("nc")
     i.createOrReplaceTempView("ni")
     sql = spark.sql("""SELECT DISTINCT complaint_category FROM nc

@@ -63,7 +63,7 @@ def test_table_sinks(spark):
     sinks.materialize(df, "t_sink")
     sinks.append(df, "t_sink")
     assert spark.table("t_sink").count() == 6
-    assert sinks.materialize(df, "t_sink").count() == 3
+    assert sinks.materialize(df, "t_sink", cluster_by="id").count() == 3
     first = sinks.replace_rows(df, "t_rows").first()
     assert first.generated_at is not None
     assert sinks.replace_rows(df.limit(1), "t_rows").count() == 1
