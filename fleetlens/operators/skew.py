@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1024
-HOT_KEY_ROWS = 1_000_000
-SMALL_LEFT_BYTES = 1024 * 1024 * 1024
+HOT_KEY_ROWS = 500_000
+SMALL_LEFT_BYTES = 256 * 1024 * 1024
 STAND_IN_KEYS = 1 << 20
 
 
