@@ -94,20 +94,30 @@ def _with_rules(linked: DataFrame) -> DataFrame:
 def complaint_detail(complaints: DataFrame, correlation: DataFrame) -> DataFrame:
     """All complaints with issue, checklist item and coverage text.
 
-    ``complaint_id`` is the primary key of both frames.  For use with a stored
-    correlation table; :func:`complaint_detail_from_bronze` needs no self-join.
+    ``complaint_id`` is the primary key of both frames.  For use where only a
+    correlation table is stored; the two forms below need no self-join.
     """
     return _with_rules(_classified(complaints).join(
         correlation.select("complaint_id", *LINKED), "complaint_id", "left"))
 
 
-def complaint_detail_from_bronze(complaints: DataFrame, inspections: DataFrame,
-                                 deliveries: DataFrame, min_days: int = 1,
-                                 **join_options) -> DataFrame:
-    """Same rows in one pass: complaints the guard excludes keep NULL link columns."""
-    linked = link(_classified(complaints), inspections, deliveries, **join_options)
+def detail_from_links(linked: DataFrame, min_days: int = 1) -> DataFrame:
+    """Same rows from the result of :func:`link`, without any join.
+
+    Complaints the guard excludes keep NULL link columns.
+    """
+    if "specific_issue" not in linked.columns:
+        linked = _classified(linked)
     kept = after_delivery(min_days)
     return _with_rules(linked.select(
         "complaint_id", "vehicle_id", "complaint_category", "description", "specific_issue",
         *[F.when(kept, F.col(c)).alias(c) for c in LINKED],
     ))
+
+
+def complaint_detail_from_bronze(complaints: DataFrame, inspections: DataFrame,
+                                 deliveries: DataFrame, min_days: int = 1,
+                                 **join_options) -> DataFrame:
+    """Same rows straight from the bronze frames, in the pass that links them."""
+    return detail_from_links(
+        link(_classified(complaints), inspections, deliveries, **join_options), min_days)

@@ -8,7 +8,7 @@ from fleetlens.operators import correlation as corr
 from fleetlens.operators import dashboard as dash
 from fleetlens.operators.gaps import epdi_gaps, gap_analysis, gap_vehicles
 from fleetlens.operators.rollups import quality_checks, table_counts
-from fleetlens.sources.sinks import append, materialize
+from fleetlens.sources.sinks import append, materialize, replace_rows
 from fleetlens.sources import staging as stg
 
 
@@ -35,26 +35,34 @@ def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> dict[str, Data
 
 
 def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """Links, correlation and gaps.
+
+    The links of all complaints are stored once: the correlation is a filter over
+    them and the gold detail table a projection, so neither repeats the join.
+    """
     c, i, d = (spark.table(f"{prefix}bronze_{n}")
                for n in ("complaints", "inspections", "deliveries"))
-    linked = materialize(corr.correlate(c, i, d), f"{prefix}silver_complaint_correlation")
+    links = materialize(corr.link(c, i, d), f"{prefix}silver_complaint_links")
+    linked = materialize(corr.guard_after_delivery(links),
+                         f"{prefix}silver_complaint_correlation")
     gaps = materialize(epdi_gaps(c, i), f"{prefix}silver_epdi_gaps")
     materialize(gap_vehicles(c, i), f"{prefix}silver_epdi_gap_vehicles")
     return quality_checks(linked, gaps)
 
 
 def run_gold(spark: SparkSession, prefix: str = "") -> DataFrame:
-    complaints = spark.table(f"{prefix}bronze_complaints")
+    links = spark.table(f"{prefix}silver_complaint_links")
     linked = spark.table(f"{prefix}silver_complaint_correlation")
     gaps = spark.table(f"{prefix}silver_epdi_gaps")
     dashboard = materialize(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
     analysis = materialize(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
     delivery = materialize(dash.delivery_service_link(linked),
                            f"{prefix}gold_delivery_service_link")
-    detail = materialize(corr.complaint_detail(complaints, linked),
-                         f"{prefix}gold_complaint_detail")
+    detail = materialize(corr.detail_from_links(links), f"{prefix}gold_complaint_detail")
     recommended = materialize(dash.checklist_recommendations(detail),
                               f"{prefix}gold_checklist_recommendations")
+    replace_rows(dash.enhanced_recommendations(recommended),
+                 f"{prefix}gold_checklist_recommendations_ai")
     return table_counts(spark, {
         "dashboard_rows": dashboard, "gap_rows": analysis, "delivery_rows": delivery,
         "detail_rows": detail, "reco_rows": recommended})

@@ -82,6 +82,8 @@ def test_detail_both_ways(spark, sf_dir):
     cid = [f(spark, sf_dir) for f in (src.complaints, src.inspections, src.deliveries)]
     stored = corr.complaint_detail(cid[0], corr.correlate(*cid))
     fused = corr.complaint_detail_from_bronze(*cid)
+    links = corr.detail_from_links(corr.link(*cid))
+    assert links.columns == fused.columns and links.exceptAll(fused).count() == 0
     assert stored.columns == fused.columns
     assert stored.exceptAll(fused).count() == 0 and fused.exceptAll(stored).count() == 0
     assert fused.count() == cid[0].count()

@@ -145,6 +145,9 @@ def test_stored_pipeline(spark, sf_dir):
     assert spark.table("again_bronze_complaints").count() == taken
     assert gold.detail_rows == taken and gold.gap_rows == silver.gap_rows
     reco = spark.table("p_gold_checklist_recommendations")
+    ai = spark.table("p_gold_checklist_recommendations_ai")
+    assert sorted(r.priority for r in ai.collect()) == list(range(1, reco.count() + 1))
+    assert "generated_at" in ai.columns
     detail = spark.table("p_gold_complaint_detail")
     assert reco.agg(F.sum("total_complaints")).first()[0] == detail.where(
         "specific_issue <> 'Uncategorised - Review Needed'").count()
