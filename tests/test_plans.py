@@ -49,3 +49,16 @@ def test_inspection_summary_combines_before_both_shuffles(spark, sf_dir):
 
 def test_recent_rows_need_no_full_sort(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(spark, sf_dir, "recent_topn")
+
+
+@pytest.mark.parametrize("name", ["complaint_correlation", "vehicle_risk_profile"])
+def test_vehicle_joins_reuse_the_aggregation_partitioning(spark, sf_dir, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, sf_dir, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # two for the inspection summary, one each for deliveries and complaints
+    assert text.count("SortMergeJoin") == 2
+    assert text.count("Exchange hashpartitioning") == 4
