@@ -459,6 +459,10 @@ ORACLE: dict[str, str] = {
                ORDER BY md5(complaint_id)[:4], complaint_id) AS new_id
            FROM sc WHERE NOT processed""", "sc"),
     "parse_classification": _ANSWERS,
+    "load_csv": statement(
+        """SELECT complaint_id, vin, complaint_date, nullif(description, '') AS description,
+           category, (cents / 100)::DECIMAL(5,2) AS ai_confidence, processed FROM sc""", "sc"),
+    "query_table": statement(f"{_REPORT} WHERE severity = 'Critical'", "analysis"),
     "table_counts": statement(
         """SELECT (SELECT count(*) FROM c) AS complaints, (SELECT count(*) FROM i) AS inspections,
            (SELECT count(*) FROM d) AS deliveries""", "c", "i", "d"),

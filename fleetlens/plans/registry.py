@@ -20,6 +20,7 @@ from fleetlens.operators import dashboard as dash
 from fleetlens.operators import gaps, inspections, recurrence, rollups, topn
 from fleetlens.operators.ids import assign_ids
 from fleetlens.session import checkpoint_dir
+from fleetlens.sources import sinks
 from fleetlens.sources import staging as stg
 from fleetlens.sources import star_schema as src
 from fleetlens.streaming.alerts import spike_alert
@@ -117,6 +118,25 @@ def parse_classification(spark, sf):
     return stg.parse_classification(src.model_answers(spark, sf))
 
 
+@query("load_csv")
+def load_csv(spark, sf):
+    """Export the staged complaints as CSV and load them back, blanks as NULL."""
+    folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    staged = src.staging_complaints(spark, sf).select(
+        "complaint_id", "vin", "complaint_date", "description", "category", "ai_confidence",
+        "processed")
+    staged.write.csv(folder, header=True)
+    return stg.load_csv(spark, folder, staged.schema, multi_line=False)
+
+
+@query("query_table")
+def query_table(spark, sf):
+    """Filtered read of a named table; the gap report has one row per category."""
+    _joined(gaps.gap_analysis(_gaps(spark, sf)), "affected_vehicles").createOrReplaceTempView(
+        "gap_report")
+    return sinks.query_table(spark, "gap_report", F.col("severity") == "Critical")
+
+
 @query("table_counts")
 def table_counts(spark, sf):
     c, i, d = _cid(spark, sf)

@@ -62,10 +62,16 @@ def read_jdbc(spark: SparkSession, properties: dict[str, str] | None = None,
         **jdbc_options(**scan), **(properties or {})).load()
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header row; empty fields are NULL."""
+def load_csv(spark: SparkSession, path: str, schema: T.StructType,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with a header row; empty fields are NULL.
+
+    Quoted line breaks are kept by default, for which Spark reads a file in one
+    task; where no field holds a line break, ``multi_line=False`` lets it split
+    large files.
+    """
     return spark.read.csv(path, header=True, schema=schema, nullValue="", emptyValue="",
-                          multiLine=True, escape='"').select(
+                          multiLine=multi_line, escape='"').select(
         *[F.nullif(F.col(f.name), F.lit("")).alias(f.name)
           if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema])
 

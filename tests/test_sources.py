@@ -46,6 +46,11 @@ def test_csv_blank_is_null(spark, tmp_path):
                            T.StructField("n", T.IntegerType())])
     rows = sorted(map(tuple, staging.load_csv(spark, str(tmp_path), schema).collect()))
     assert rows == [(1, "a, b", 2), (2, None, None), (3, None, 4)]
+    split = staging.load_csv(spark, str(tmp_path), schema, multi_line=False)
+    assert sorted(map(tuple, split.collect())) == rows
+    (tmp_path / "y.csv").write_text('id,name,n\n4,"two\nlines ""quoted""",5\n')
+    both = staging.load_csv(spark, str(tmp_path), schema).where("id = 4").first()
+    assert tuple(both) == (4, 'two\nlines "quoted"', 5)
 
 
 def test_jdbc_options():
