@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontam, exact, simhash, substring
+import public_tokenizers
+
+from fleetlens.llm import decontam, exact, packing, quality, simhash, substring, tokens
+from fleetlens.llm.labelled import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.contamination(docs, benchmark).select(
@@ -37,9 +44,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.token_counts(table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    return quality.score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
