@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fleetlens.llm import decontam, exact, packing, quality, simhash, substring, tokens
+from fleetlens.llm import decontam, exact, langid, packing, quality, simhash, substring, tokens, toxicity
 from fleetlens.llm.labelled import held_out
+from fleetlens.llm.scratch import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +46,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.detect(docs, langid.fit(docs)).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return tokens.token_counts(table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -63,6 +77,8 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }

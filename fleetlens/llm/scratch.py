@@ -7,12 +7,25 @@ set as its checkpoint folder.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        to = tempfile.mkdtemp(prefix="fleetlens-package-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
