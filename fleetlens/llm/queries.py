@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fleetlens.llm import decontam, exact, langid, packing, quality, simhash, substring, tokens, toxicity
+from fleetlens.llm import decontam, exact, langid, packing, pseudolm, quality, simhash, substring, tokens, toxicity
 from fleetlens.llm.labelled import held_out
 from fleetlens.llm.scratch import ship_package
 
@@ -52,6 +52,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudolm.pseudo_likelihood(docs, pseudolm.fit(docs))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.detect(docs, langid.fit(docs)).select(
@@ -78,6 +83,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
