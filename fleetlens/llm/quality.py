@@ -182,21 +182,36 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, label: str = "qu
     return model
 
 
-def score_quality(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The documents with all their columns and `_score` between 0 and 1."""
+def scores(model: dict, column: pa.Array) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    if "constant" in model:
+        return np.full(len(column), model["constant"])
+    raw = model["slope"] * raw_scores(model, features(column)) + model["shift"]
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
+def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id_col and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            for block in bw.blocks(batch, "_text"):
-                if "constant" in model:
-                    p = np.full(block.num_rows, model["constant"])
-                else:
-                    raw = model["slope"] * raw_scores(model, features(block.column("_text"))) + model["shift"]
-                    p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-                yield pa.RecordBatch.from_arrays(
-                    [*block.columns[:-1], pa.array(p, pa.float64())], [*block.schema.names[:-1], "_score"])
+            for block in bw.blocks(batch, 1):
+                p = scores(shared.value, block.column(1))
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(p, pa.float64())], ["_id", "score"])
+
+    return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, score double").withColumnRenamed("_id", id_col)
+
+
+def keep_quality(docs: DataFrame, model: dict, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents whose score is at least `least`, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in bw.blocks(batch, at):
+                yield block.filter(pa.array(scores(shared.value, block.column(at)) >= least))
 
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return docs.withColumn("_text", F.col(text_col)).mapInArrow(run, f"{kinds}, _score double")
+    return docs.mapInArrow(run, docs.schema)

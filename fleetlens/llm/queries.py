@@ -70,10 +70,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(docs, labels)
-    return quality.score_quality(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+    return quality.score_quality(docs, quality.fit(docs, labels)).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {
