@@ -5,8 +5,8 @@ counted inside a block of some megabytes of text; what the block can decide itse
 with the same window in the block) is decided there.  For each window of a block, the occurrences in its smallest
 document travel on, packed by hash range into one binary row for each range.  A range therefore
 gets at most one document for each window and block, however often a window occurs.  There the smallest id of
-all is found, and occurrences in other documents are to be removed.  Positions return to their document,
-where they merge into maximal intervals.
+all is found, and occurrences in other documents are to be removed.  Positions return, again packed, to the part
+of the documents that theirs belongs to, and merge into maximal intervals.
 
 Equal hashes count as equal windows; n windows are expected to give n**2 / 2**65 false matches (0.0005 for 130 million).
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ _BASE = 0x2545F4914F6CDD1D
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 _BASE = np.uint64(_BASE)
 
-PASS = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("payload", pa.binary())])
+PASS = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), ("payload", pa.binary())])
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -69,24 +70,26 @@ def _group_starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _positions(docs: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Positions by document, packed."""
+def _by_part(docs: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Documents and positions packed for each part of the documents."""
     if not len(docs):
         return
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order].astype("<i4")
-    edges = [*_group_starts(docs).tolist(), len(docs)]
+    part = (bw.mix(docs.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    order = np.lexsort((at, docs, part))
+    part, docs, at = part[order], docs[order], at[order]
+    edges = [*_group_starts(part).tolist(), len(part)]
     for lo, hi in zip(edges, edges[1:]):
-        yield int(docs[lo]), at[lo:hi].tobytes()
+        steps = np.diff(docs[lo:hi], prepend=docs[lo]).astype(np.uint64)
+        yield int(part[lo]), np.array([hi - lo, docs[lo]], "<i8").tobytes() + pack(steps) + pack(at[lo:hi])
 
 
-def _rows(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-    bucket, doc, payload = zip(*rows)
+def _rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    bucket, decided, payload = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(payload, pa.binary())], schema=PASS)
+        [pa.array(bucket, pa.int32()), pa.array(decided), pa.array(payload, pa.binary())], schema=PASS)
 
 
-def _block_rows(block: pa.RecordBatch, size: int, buckets: int) -> list[tuple[int, int | None, bytes]]:
+def _block_rows(block: pa.RecordBatch, size: int, buckets: int) -> list[tuple[int, bool, bytes]]:
     ids = block.column(0).to_numpy(zero_copy_only=False)
     words = bw.split_words(block.column(1))
     n = np.maximum(words.per_doc - size + 1, 0)
@@ -102,7 +105,7 @@ def _block_rows(block: pa.RecordBatch, size: int, buckets: int) -> list[tuple[in
     starts = _group_starts(h)
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
     later = doc > least
-    out = [(int(d % buckets), d, p) for d, p in _positions(doc[later], at[later])]
+    out = [(part, True, payload) for part, payload in _by_part(doc[later], at[later], buckets)]
 
     keep = ~later
     h, doc, at = h[keep], doc[keep], at[keep]
@@ -113,39 +116,56 @@ def _block_rows(block: pa.RecordBatch, size: int, buckets: int) -> list[tuple[in
         part = h[lo:hi]
         payload = np.array([hi - lo, base], "<i8").tobytes() + pack(np.diff(part, prepend=np.uint64(0)))
         payload += pack((doc[lo:hi] - base).astype(np.uint64)) + pack(at[lo:hi])
-        out.append((int(bucket[lo]), None, payload))
+        out.append((int(bucket[lo]), False, payload))
     return out
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """One hash range: what other blocks decided passes; the rest is compared across blocks."""
-    decided = table.filter(pa.compute.is_valid(table.column("doc")))
-    parts = []
-    for payload in table.filter(pa.compute.is_null(table.column("doc"))).column("payload"):
+def _decide(key: tuple, table: pa.Table, parts: int) -> pa.Table:
+    """One hash range: what blocks decided for the part of the same number passes; the rest is compared across blocks."""
+    decided = table.column("decided")
+    out_part = [key[0].as_py()] * pa.compute.sum(decided).as_py()
+    out = table.filter(decided).column("payload").to_pylist()
+    found = []
+    for payload in table.filter(pa.compute.invert(decided)).column("payload"):
         data = memoryview(payload.as_buffer())
         n, base = np.frombuffer(data[:16], "<i8").tolist()
         h, data = unpack(data[16:], n)
         doc, data = unpack(data, n)
         at, _ = unpack(data, n)
-        parts.append((np.cumsum(h), doc.astype(np.int64) + base, at.astype(np.int32)))
-    out = [decided.select(["doc", "payload"])]
-    if parts:
-        h, doc, at = (np.concatenate(x) for x in zip(*parts))
-        del parts
+        found.append((np.cumsum(h), doc.astype(np.int64) + base, at.astype(np.int32)))
+    if found:
+        h, doc, at = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.argsort(h)
         h, doc, at = h[order], doc[order], at[order]
         starts = _group_starts(h)
         least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
         later = doc > least
-        found = list(_positions(doc[later], at[later]))
-        if found:
-            docs, payloads = zip(*found)
-            out.append(pa.table([pa.array(docs, pa.int64()), pa.array(payloads, pa.binary())], ["doc", "payload"]))
-    return pa.concat_tables(out)
+        for part, payload in _by_part(doc[later], at[later], parts):
+            out_part.append(part)
+            out.append(payload)
+    return pa.table([pa.array(out_part, pa.int32()), pa.array(out, pa.binary())], ["part", "payload"])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One part of the documents: all positions of each, in order."""
+    found = []
+    for payload in table.column("payload"):
+        data = memoryview(payload.as_buffer())
+        n, base = np.frombuffer(data[:16], "<i8").tolist()
+        steps, data = unpack(data[16:], n)
+        at, _ = unpack(data, n)
+        found.append((np.cumsum(steps.astype(np.int64)) + base, at.astype("<i4")))
+    docs, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, docs))
+    docs, at = docs[order], at[order]
+    edges = [*_group_starts(docs).tolist(), len(docs)]
+    return pa.table([pa.array(docs[edges[:-1]], pa.int64()),
+                     pa.array([at[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])], pa.binary())], ["doc", "found"])
 
 
 def repeated_positions(docs: DataFrame, id_col: str, text_col: str, size: int, range_windows: int) -> DataFrame:
-    """(doc, payload): start positions, packed as 32-bit numbers, of windows that begin in a smaller id as well."""
+    """(doc, found): start positions, packed as 32-bit numbers, of windows that begin in a smaller id as well."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long"), F.col(text_col))
     # a word takes six bytes or so
@@ -159,8 +179,12 @@ def repeated_positions(docs: DataFrame, id_col: str, text_col: str, size: int, r
                 if found:
                     yield _rows(found)
 
-    sent = rows.mapInArrow(run, "bucket int, doc long, payload binary")
-    return sent.groupBy("bucket").applyInArrow(_decide, "doc long, payload binary")
+    def decide(key: tuple, table: pa.Table) -> pa.Table:
+        return _decide(key, table, buckets)
+
+    sent = rows.mapInArrow(run, "bucket int, decided boolean, payload binary")
+    decided = sent.groupBy("bucket").applyInArrow(decide, "part int, payload binary")
+    return decided.groupBy("part").applyInArrow(_gather, "doc long, found binary")
 
 
 def _texts(words: bw.Words, kept: np.ndarray) -> pa.Array:
@@ -176,13 +200,13 @@ def _texts(words: bw.Words, kept: np.ndarray) -> pa.Array:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13,
-                     range_windows: int = 2_000_000) -> DataFrame:
+                     range_windows: int = 500_000) -> DataFrame:
     """One row per document: id_col, n_words, n_removed, spans (start word and length of each removed interval) and
     kept_text, the kept words joined by one space."""
     found = repeated_positions(docs, id_col, text_col, size, range_windows)
-    lists = found.groupBy("doc").agg(F.collect_list("payload").alias("found")).hint("shuffle_hash")
+    found = found.hint("shuffle_hash")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(lists, F.col("_id").cast("long") == F.col("doc"), "left").select("_id", "_text", "found")
+    rows = rows.join(found, F.col("_id").cast("long") == F.col("doc"), "left").select("_id", "_text", "found")
     id_type = dict(docs.dtypes)[id_col]
     schema = "_id {}, n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string"
 
@@ -198,9 +222,9 @@ def _cut(block: pa.RecordBatch, size: int) -> pa.RecordBatch:
     words = bw.split_words(block.column(1))
     n_words = words.per_doc
     change = np.zeros(len(words.start) + 1, np.int64)
-    for k, lists in enumerate(block.column(2)):
-        for payload in lists.as_py() or () if lists.is_valid else ():
-            at = np.frombuffer(payload, "<i4")
+    for k, found in enumerate(block.column(2)):
+        if found.is_valid:
+            at = np.frombuffer(found.as_buffer(), "<i4")
             at = at[at + size <= n_words[k]].astype(np.int64) + words.first[k]
             np.add.at(change, at, 1)
             np.add.at(change, at + size, -1)
