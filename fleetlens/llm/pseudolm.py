@@ -57,7 +57,8 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, listed: int) -> dict[str, np.ndarray]:
-    """Hashes of the listed words (sorted), their class and log share of it; for each class the log share of an unlisted word."""
+    """Hashes of the listed words (sorted), their class and log share of it; for each class the log share of an unlisted word in
+    it, and of the class."""
     top = counts.orderBy(F.desc("n"), "word").limit(listed).collect()
     known = counts.sparkSession.createDataFrame([(r.word,) for r in top], "word long")
     rest = counts.join(F.broadcast(known), "word", "left_anti").groupBy("ending").agg(
@@ -76,7 +77,7 @@ def vocabulary(counts: DataFrame, listed: int) -> dict[str, np.ndarray]:
         within = np.log(n / np.maximum(total[own], 1e-9))
         unlisted = np.log(left / kinds / np.maximum(total, 1e-9))
     return {"word": np.array([r.word for r in top], np.int64).view(np.uint64)[order], "own": own[order],
-            "within": within[order], "unlisted": unlisted}
+            "within": within[order], "unlisted": unlisted, "classes": np.log((total + 1) / (total + 1).sum())}
 
 
 def encode(words: bw.Words, vocab: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +119,13 @@ def log_probs(net: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray
     return out
 
 
-def start(seed: int = 0) -> dict[str, np.ndarray]:
+def start(vocab: dict[str, np.ndarray], seed: int = 0) -> dict[str, np.ndarray]:
+    """Weights to begin with: the classes' own shares, whatever stands around."""
     rng = np.random.default_rng(seed)
     net = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
     net["embed"] = rng.normal(0, 0.1, _SHAPES["embed"]).astype(np.float32)
     net["out"] = rng.normal(0, 0.1, _SHAPES["out"]).astype(np.float32)
+    net["shift"] = vocab["classes"].astype(np.float32)
     return net
 
 
@@ -164,7 +167,7 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds: int, stride: int, rate: float) -> dict:
-    net = start()
+    net = start(vocab)
     context = docs.sparkSession.sparkContext
     shared_vocab = context.broadcast(vocab)
     for r in range(rounds):
