@@ -1,0 +1,153 @@
+"""Substring, exact and SimHash deduplication against plain Python, on awkward rows."""
+
+import hashlib
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from fleetlens.llm import exact, simhash, substring
+from fleetlens.llm.components import components
+from tests.llm.conftest import ROWS
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def removed(rows, size):
+    """Expected (n_words, n_removed, kept text) of each row."""
+    least = {}
+    for i, text in rows:
+        w = words_of(text)
+        for k in range(len(w) - size + 1):
+            if i is not None:
+                key = tuple(w[k:k + size])
+                least[key] = min(least.get(key, i), i)
+    out = []
+    for i, text in rows:
+        w = words_of(text)
+        gone = {j for k in range(len(w) - size + 1) if i is not None and least[tuple(w[k:k + size])] < i
+                for j in range(k, k + size)}
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+def key(row):
+    return str(row)
+
+
+def found_rows(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in df.collect()), key=key)
+
+
+def test_substrings_of_awkward_rows(odd_docs, no_docs):
+    assert found_rows(substring.dedup_substrings(odd_docs, size=13)) == sorted(removed(ROWS, 13), key=key)
+    assert substring.dedup_substrings(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("range_windows", [10, 1_000_000])
+def test_substrings_of_random_texts(llm_spark, range_windows):
+    rng = random.Random(range_windows)
+    rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for k in rng.sample(range(1000), 60)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring.dedup_substrings(docs, size=5, range_windows=range_windows)
+    assert found_rows(got) == sorted(removed(rows, 5), key=key)
+    for r in got.collect():
+        assert sum(s.length for s in r.spans) == r.n_removed
+        assert all(a.start + a.length < b.start for a, b in zip(r.spans, r.spans[1:]))  # maximal
+
+
+def test_exact_duplicates_of_awkward_rows(odd_docs, no_docs):
+    groups = {}
+    for i, text in ROWS:
+        groups.setdefault(text or "", []).append(i)
+    want = []
+    for i, text in ROWS:
+        ids = [x for x in groups[text or ""] if x is not None]
+        keep = max(ids) if ids else None
+        want.append((i, keep, len(groups[text or ""]), i == keep, hashlib.sha256((text or "").encode()).hexdigest()))
+    docs = odd_docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    got = exact.exact_duplicates(docs, carry=["sha", "_id"])
+    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.sha) for r in got.collect()]
+    assert sorted(rows, key=key) == sorted(want, key=key)
+    assert exact.exact_duplicates(no_docs).collect() == []
+
+
+def test_dropping_exact_duplicates_keeps_all_columns(odd_docs):
+    got = exact.drop_exact_duplicates(odd_docs)
+    assert got.columns == odd_docs.columns
+    assert sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == [1, 2, 3, 5, 6, 8, 9, 10, 11, 12, 13, 14]
+
+
+def fingerprint(text, shingle=4):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+    pieces = [b" ".join(w[k:k + shingle]) for k in range(max(1, len(w) - shingle + 1))] if w else []
+    votes = [xxhash.xxh64(p, seed=42).intdigest() for p in pieces]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in votes) > len(votes))
+
+
+def linked(prints, max_bits=4):
+    """Smallest id of each component."""
+    parent = list(range(len(prints)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in range(len(prints)):
+        for b in range(a):
+            if bin(prints[a][1] ^ prints[b][1]).count("1") <= max_bits:
+                parent[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(prints):
+        if i is not None:
+            least[top(k)] = min(i, least.get(top(k), i))
+    return [(i, p, least.get(top(k))) for k, (i, p) in enumerate(prints)]
+
+
+def simhash_rows(df):
+    return sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in df.collect()), key=key)
+
+
+def test_simhash_of_awkward_rows(odd_docs, no_docs):
+    want = linked([(i, fingerprint(t)) for i, t in ROWS])
+    assert simhash_rows(simhash.near_duplicates(odd_docs)) == sorted(want, key=key)
+    assert simhash.near_duplicates(no_docs).collect() == []
+    got = simhash.drop_near_duplicates(odd_docs)
+    assert got.columns == odd_docs.columns
+
+
+def test_simhash_query_equals_brute_force(llm_spark, sf_dir):
+    docs = llm_spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = linked([(r.doc_id, fingerprint(r.text)) for r in docs.collect()])
+    assert simhash_rows(simhash.near_duplicates(docs)) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("list_block", [3, 4096])
+def test_links_of_dense_and_spread_fingerprints(llm_spark, list_block):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for c in centres for _ in range(60)}
+    prints = sorted(prints | {rng.getrandbits(64) for _ in range(50)} | {0, 2**64 - 1, 15})
+    signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
+    nodes = llm_spark.createDataFrame(signed, "fp long").repartition(3)
+    edges = components(simhash.links(nodes, list_block=list_block)).collect()
+    root = {r.node: r.root for r in edges}
+    got = {}
+    for (fp,) in signed:
+        got.setdefault(root.get(fp, fp), set()).add(fp % 2**64)
+    want = {}
+    for p, _, least in linked([(p, p) for p in prints]):
+        want.setdefault(least, set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components_of_a_path_a_star_and_loops(llm_spark):
+    path = [(k, k + 1) for k in range(0, 40)]
+    star = [(500, k) for k in range(501, 560)]
+    edges = llm_spark.createDataFrame([*path, *star, (7, 7), (None, 3), (900, 900), (41, 40)], "a long, b long")
+    got = {r.node: r.root for r in components(edges.repartition(4)).collect()}
+    assert got == {**{k: 0 for k in range(1, 42)}, **{k: 500 for k in range(501, 560)}}
