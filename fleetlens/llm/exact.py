@@ -30,9 +30,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"))
 
     lengths = rows.groupBy("_bytes").agg(F.count("*").alias("n")).where("n > 1").select("_bytes")
-    same_length = rows.select("_bytes", "_prefix").join(lengths, "_bytes", "left_semi")
-    prefixes = store(same_length.groupBy("_bytes", "_prefix").agg(F.count("*").alias("n")).where("n > 1").select(
-        "_bytes", "_prefix", F.lit(True).alias("_shared")), "prefixes")
+    prefixes = rows.groupBy("_bytes", "_prefix").agg(F.count("*").alias("n")).join(lengths, "_bytes", "left_semi")
+    prefixes = store(prefixes.where("n > 1").select("_bytes", "_prefix", F.lit(True).alias("_shared")), "prefixes")
 
     hashed = store(rows.join(prefixes, ["_bytes", "_prefix"], "left").select(
         "_id", "_carry", F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_sha")), "hashed")
