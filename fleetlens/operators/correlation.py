@@ -48,7 +48,7 @@ def link(complaints: DataFrame, inspections: DataFrame, deliveries: DataFrame,
     """Every complaint, all its columns, with its vehicle's inspections and latest delivery."""
     joined = left_join_unique(
         complaints, [inspection_summary(inspections), latest_delivery(deliveries)],
-        key="vehicle_id", spread_by="complaint_id", **join_options)
+        key="vehicle_id", **join_options)
     return joined.select(
         *complaints.columns, "inspection_status", "fail_count", "failed_items",
         "latest_inspection_date", "delivery_id", "dealer_id", "delivery_date",

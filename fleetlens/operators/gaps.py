@@ -8,25 +8,22 @@ from pyspark.sql import functions as F
 from fleetlens.functions.rules import gap_severity
 from fleetlens.operators.topn import top_n_per_key
 
-# longest vehicle list put into one row; longer sets are read from gap_vehicles
-INLINE_VEHICLES = 1000
-SALTS = 64
-
 
 def left_anti(left: DataFrame, column: str, right: DataFrame, right_column: str,
               spread_by: str | None = None) -> DataFrame:
     """NOT IN without the NULL traps: NULLs on the right are ignored, NULL rows are kept.
 
     If ``left`` repeats the values of ``column``, one of them may hold a third of
-    its rows: ``spread_by`` then names a column that splits such a value over
-    ``SALTS`` tasks, each with its own copy of the distinct right values.
+    its rows: ``spread_by`` then names a column that splits such a value over as
+    many tasks as a shuffle has, each with its own copy of the distinct right values.
     """
     values = right.select(F.col(right_column).alias(column)).distinct()
     if spread_by is None:
         return left.join(values, column, "left_anti")
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.sequence(F.lit(0), F.lit(n - 1))
     return (
-        left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+        left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
         .join(values.withColumn("_salt", F.explode(salts)), [column, "_salt"], "left_anti")
         .select(*left.columns)
     )
@@ -74,42 +71,20 @@ def gap_vehicles(complaints: DataFrame, inspections: DataFrame,
                 spread_by="vehicle_id")
 
 
-def epdi_gaps(complaints: DataFrame, inspections: DataFrame, null_aware: bool = True,
-              inline_vehicles: int = INLINE_VEHICLES) -> DataFrame:
-    """One row per uncovered category: counts, dates and the affected vehicles.
+def epdi_gaps(complaints: DataFrame, inspections: DataFrame,
+              null_aware: bool = True) -> DataFrame:
+    """One row per uncovered category: counts and dates.
 
-    ``affected_vehicles`` holds the sorted set when it has at most
-    ``inline_vehicles`` members and NULL otherwise, as a set that grows with the
-    fleet does not fit one row; ``vehicle_count`` is always exact and
-    :func:`gap_vehicles` lists every set in full.
+    The affected vehicles are a relation of their own, :func:`gap_vehicles`, at every size.
     """
     anti = not_in if null_aware else left_anti
-    pairs = _per_vehicle(complaints)
-    totals = pairs.groupBy("complaint_category").agg(
+    totals = _per_vehicle(complaints).groupBy("complaint_category").agg(
         F.sum("n").alias("complaint_count"),
         F.count("vehicle_id").alias("vehicle_count"),
         F.min("first").alias("first_reported"),
         F.max("last").alias("last_reported"),
     )
-    gaps = anti(totals, "complaint_category", inspections, "checklist_item")
-    sets = (
-        top_n_per_key(pairs.where(F.col("vehicle_id").isNotNull())
-                      .select("complaint_category", "vehicle_id"),
-                      ["complaint_category"], [F.col("vehicle_id")], inline_vehicles)
-        .groupBy("complaint_category")
-        .agg(F.array_sort(F.collect_list("vehicle_id")).alias("vehicles"))
-    )
-    # null-safe: left_anti keeps a NULL category
-    joined = gaps.join(
-        sets.withColumnRenamed("complaint_category", "set_category"),
-        F.col("complaint_category").eqNullSafe(F.col("set_category")), "left")
-    none = F.array().cast("array<string>")
-    return joined.select(
-        "complaint_category", "complaint_count", "vehicle_count",
-        F.when(F.col("vehicle_count") <= inline_vehicles,
-               F.coalesce("vehicles", none)).alias("affected_vehicles"),
-        "first_reported", "last_reported",
-    )
+    return anti(totals, "complaint_category", inspections, "checklist_item")
 
 
 def gap_analysis(gaps: DataFrame) -> DataFrame:
@@ -119,7 +94,6 @@ def gap_analysis(gaps: DataFrame) -> DataFrame:
         F.col("complaint_category").alias("gap_category"),
         "complaint_count",
         "vehicle_count",
-        "affected_vehicles",
         "first_reported",
         "last_reported",
         F.date_diff("last_reported", "first_reported").alias("gap_duration_days"),
@@ -136,6 +110,15 @@ def lookup_gap(gaps: DataFrame, category: str) -> DataFrame:
     return gaps.where(F.col("gap_category") == F.lit(category))
 
 
+def lookup_gap_class(classified: DataFrame, category: str,
+                     subcategory: str | None = None) -> DataFrame:
+    """Gap classes of a category, or of one subcategory of it."""
+    found = classified.where(F.col("category") == F.lit(category))
+    if subcategory is not None:
+        found = found.where(F.col("subcategory") == F.lit(subcategory))
+    return found
+
+
 def gap_context(gaps: DataFrame, n: int = 15) -> DataFrame:
     """First ``n`` gap rows per category as one text block."""
     def shown(column: str):

@@ -3,81 +3,48 @@
 A left join to a frame with one row per key sends all left rows of a key to one
 task.  When a key can hold a third of all rows that task never ends, and runtime
 skew handling cannot help because the right side is an aggregate, not a plain
-shuffle.  For large inputs the join is therefore done in two parts:
+shuffle.  The join is therefore always done in two parts:
 
-* hot keys: at most ``MAX_HOT_KEYS`` keys, each with one right row, so their
-  right rows are a table of at most ``MAX_HOT_KEYS`` rows and can be broadcast;
-* all other rows are shuffled by key; hot and NULL-key rows go through the same
-  join under spread-out stand-in keys, so no task gets more than its share.
+* rows of heavy keys stay where they are.  A key is heavy from ``HEAVY_ROWS`` rows
+  and 1/``MOST_HEAVY`` of all rows on, so there are at most ``MOST_HEAVY`` of them; each
+  has one right row, and these are broadcast.  Rows without a key match nothing
+  and stay where they are as well;
+* all other rows are shuffled by key.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1024
-HOT_KEY_ROWS = 500_000
-SMALL_LEFT_BYTES = 256 * 1024 * 1024
-STAND_IN_KEYS = 1 << 20
+HEAVY_ROWS = 500_000
+MOST_HEAVY = 100_000
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; reads statistics only, runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS,
-             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """The heaviest keys of ``df``, at most ``max_keys`` rows.
-
-    Any key left out has fewer than ``min_rows`` rows or less than
-    1/``max_keys`` of all rows.  Only picks the join path, never the result.
-    """
+def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Keys of ``df`` with at least ``heavy_rows`` rows and 1/``MOST_HEAVY`` of all rows."""
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(max_keys)
+        .where((F.col("_rows") >= heavy_rows) & (F.col("_rows") * MOST_HEAVY >= total))
         .select(key)
     )
 
 
-def left_join_unique(left: DataFrame, rights: list[DataFrame], key: str, spread_by: str,
-                     small_left_bytes: int = SMALL_LEFT_BYTES,
-                     hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """``left`` left-joined to every frame in ``rights``, each unique on ``key``.
-
-    ``spread_by`` is any column of ``left`` with many values; it only decides
-    which task a hot row goes to.
-    """
-    def chain(start: DataFrame) -> DataFrame:
-        return reduce(lambda acc, r: acc.join(r, key, "left"), rights, start)
-
-    if estimated_bytes(left) < small_left_bytes:
-        return chain(left)
-
-    added = [c for r in rights for c in r.columns if c != key]
-    hot = chain(hot_keys(left, key, hot_key_rows)).select(
-        key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added])
-    stand_in = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(spread_by), F.lit(STAND_IN_KEYS))
-                        .cast("string"))
-    tagged = (
-        left.join(F.broadcast(hot), key, "left")
-        .withColumn("_key", F.col(key))
-        .withColumn(key, F.when(F.col("_hot") | F.col(key).isNull(), stand_in)
-                    .otherwise(F.col(key).cast("string")))
-    )
-    return chain(tagged).select(
-        *[F.col("_key" if c == key else c).alias(c) for c in left.columns],
-        *[_pick_hot(c) for c in added],
-    )
-
+def left_join_unique(left: DataFrame, rights: list[DataFrame], key: str,
+                     heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``left`` left-joined to every frame in ``rights``, each unique on ``key``."""
+    def chain(start: DataFrame, how: str = "left") -> DataFrame:
+        return reduce(lambda acc, r: acc.join(r, key, how), rights, start)
 
-def _pick_hot(name: str) -> Column:
-    return F.when(F.col("_hot"), F.col(f"_hot_{name}")).otherwise(F.col(name)).alias(name)
+    heavy = heavy_keys(left, key, heavy_rows)
+    # at most MOST_HEAVY rows by their definition
+    matched = F.broadcast(chain(heavy).withColumn("_heavy", F.lit(True)))
+    stay = left.join(matched, key, "left").where("_heavy OR " f"`{key}` IS NULL").drop("_heavy")
+    move = left.where(F.col(key).isNotNull()).join(F.broadcast(heavy), key, "left_anti")
+    columns = [*left.columns, *[c for r in rights for c in r.columns if c != key]]
+    return chain(move).select(columns).unionByName(stay.select(columns))

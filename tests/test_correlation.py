@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import correlation as corr
-from fleetlens.operators.skew import hot_keys
+from fleetlens.operators.skew import MOST_HEAVY, heavy_keys, left_join_unique
 from fleetlens.sources import star_schema as src
 
 DAY = dt.date(2024, 3, 1)
@@ -62,20 +62,48 @@ def skewed(spark):
     return frames(spark, c, i, d)
 
 
-def test_hot_key_path_equals_plain_join(skewed):
-    plain = corr.link(*skewed)
-    split = corr.link(*skewed, small_left_bytes=0, hot_key_rows=20)
-    assert split.columns == plain.columns
-    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
-    assert plain.count() == 600
+def same(a, b):
+    return a.columns == b.columns and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_hot_rows_leave_their_partition(skewed):
-    c = skewed[0]
-    assert [r.vehicle_id for r in hot_keys(c, "vehicle_id", 20).collect()] == ["HOT", "LOST"]
-    assert hot_keys(c, "vehicle_id", 20, max_keys=1).count() == 1
-    plan = corr.link(*skewed, small_left_bytes=0, hot_key_rows=20)._jdf.queryExecution().toString()
-    assert "xxhash64" in plan and "CartesianProduct" not in plan
+def plain_link(c, i, d):
+    rows = c.join(corr.inspection_summary(i), "vehicle_id", "left").join(
+        corr.latest_delivery(d), "vehicle_id", "left")
+    return rows.withColumn("days_since_delivery", F.date_diff("complaint_date", "delivery_date"))
+
+
+@pytest.mark.parametrize("heavy_rows", [1, 20, 500_000])
+def test_split_join_equals_plain_join(skewed, heavy_rows):
+    split = corr.link(*skewed, heavy_rows=heavy_rows)
+    assert same(plain_link(*skewed).select(split.columns), split)
+    assert split.count() == 600
+
+
+def test_heavy_keys_are_bounded_by_their_share(spark, skewed):
+    heavy = heavy_keys(skewed[0], "vehicle_id", 20).collect()
+    assert sorted(r.vehicle_id for r in heavy) == ["HOT", "LOST"]
+    many = spark.range(MOST_HEAVY * 2 + 2).select((F.col("id") / 2).cast("long").alias("k"))
+    assert heavy_keys(many, "k", 1).count() <= MOST_HEAVY
+
+
+@pytest.mark.parametrize("key_type", ["bigint", "string", "date"])
+def test_split_join_with_keys_of_any_type(spark, key_type):
+    """A hot key, keys without a match and rows without a key."""
+    left = spark.range(2000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(None)).when(F.col("id") % 3 == 0, 5)
+        .otherwise(F.col("id") % 40).alias("n"), "id")
+    right = spark.range(20).select(F.col("id").alias("n"), (F.col("id") * 10).alias("v"))
+    if key_type == "date":
+        left, right = (x.withColumn("n", F.date_add(F.lit("2024-01-01"), F.col("n").cast("int")))
+                       for x in (left, right))
+    left, right = (x.select(F.col("n").cast(key_type).alias("k"), *x.columns[1:])
+                   for x in (left, right))
+    assert same(left.join(right, "k", "left"), left_join_unique(left, [right], "k", heavy_rows=100))
+
+
+def test_rows_of_heavy_keys_are_not_shuffled(skewed):
+    plan = corr.link(*skewed, heavy_rows=20)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastHashJoin" in plan and "Union" in plan
 
 
 def test_detail_both_ways(spark, sf_dir):

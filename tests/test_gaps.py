@@ -41,18 +41,14 @@ def test_null_rules(spark, right, null_aware, left_anti):
     assert {r[0] for r in sql.collect()} == null_aware
 
 
-def test_gap_rows_and_inline_limit(spark):
+def test_gap_rows_and_their_vehicles(spark):
     c = complaints(spark, [("A", "1"), ("A", "2"), ("A", "1"), ("A", None), ("B", "3"),
                            ("N", None), ("X", "9")])
     i = items(spark, "X")
     rows = {r.complaint_category: r for r in gaps.epdi_gaps(c, i).collect()}
     assert (rows["A"].complaint_count, rows["A"].vehicle_count) == (4, 2)
-    assert rows["A"].affected_vehicles == ["1", "2"]
     assert (rows["A"].first_reported, rows["A"].last_reported) == (DAY, DAY + dt.timedelta(3))
-    assert rows["N"].affected_vehicles == [] and set(rows) == {"A", "B", "N"}
-    short = {r.complaint_category: r for r in gaps.epdi_gaps(c, i, inline_vehicles=1).collect()}
-    assert short["A"].affected_vehicles is None and short["A"].vehicle_count == 2
-    assert short["B"].affected_vehicles == ["3"]
+    assert rows["N"].vehicle_count == 0 and set(rows) == {"A", "B", "N"}
     assert sorted(map(tuple, gaps.gap_vehicles(c, i).collect())) == [
         ("A", "1"), ("A", "2"), ("B", "3")]
 
@@ -61,7 +57,17 @@ def test_safe_variant_keeps_the_null_category(spark):
     c = complaints(spark, [(None, "1"), ("A", "2")])
     rows = {r.complaint_category: r for r in gaps.epdi_gaps(
         c, items(spark, None, "B"), null_aware=False).collect()}
-    assert rows[None].affected_vehicles == ["1"] and rows["A"].affected_vehicles == ["2"]
+    assert rows[None].vehicle_count == rows["A"].vehicle_count == 1
+    pairs = gaps.gap_vehicles(c, items(spark, None, "B"), null_aware=False).collect()
+    assert set(map(tuple, pairs)) == {(None, "1"), ("A", "2")}
+
+
+def test_vehicle_sets_are_complete_at_every_size(spark):
+    c = complaints(spark, [("A", str(n % 2500)) for n in range(5000)] + [("B", "1")])
+    i = items(spark, "X")
+    assert gaps.gap_vehicles(c, i).where("complaint_category = 'A'").count() == 2500
+    assert {r.complaint_category: r.vehicle_count for r in gaps.epdi_gaps(c, i).collect()} == {
+        "A": 2500, "B": 1}
 
 
 def test_analysis_and_lookup(spark):
