@@ -10,6 +10,29 @@ def append(df: DataFrame, table: str) -> None:
     df.write.mode("append").saveAsTable(table)
 
 
+def fresh_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table as it is now, also where another session (as a stream has) wrote to it."""
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def append_new(df: DataFrame, table: str, key: str) -> None:
+    """Append the rows whose ``key`` the table doesn't hold yet, one for each key.
+
+    Doing it again with the same rows, or with rows resent later, adds nothing: the
+    table itself remembers what has arrived, however long ago.  Rows without a
+    key are told apart by all their columns.
+    """
+    spark = df.sparkSession
+    keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
+    keyless = df.where(F.col(key).isNull()).distinct()
+    if spark.catalog.tableExists(table):
+        there = fresh_table(spark, table)
+        keyed = keyed.join(there.select(key), key, "left_anti").select(df.columns)
+        keyless = keyless.subtract(there.where(F.col(key).isNull()).select(df.columns))
+    append(keyed.unionByName(keyless), table)
+
+
 def materialize(df: DataFrame, table: str, cluster_by: str | None = None) -> DataFrame:
     """Create or replace ``table`` from ``df`` and return it as read back.
 
@@ -29,9 +52,9 @@ def replace_rows(df: DataFrame, table: str, stamp: str = "generated_at") -> Data
 
 
 def query_table(spark: SparkSession, table: str, where: Column | None = None,
-                limit: int = 500) -> DataFrame:
-    """Filtered read of at most ``limit`` rows."""
+                limit: int | None = None) -> DataFrame:
+    """Filtered read; with a limit, of some ``limit`` rows in no order."""
     df = spark.table(table)
     if where is not None:
         df = df.where(where)
-    return df.limit(limit)
+    return df if limit is None else df.limit(limit)

@@ -63,12 +63,11 @@ def read_jdbc(spark: SparkSession, properties: dict[str, str] | None = None,
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = False) -> DataFrame:
     """CSV with a header row; empty fields are NULL.
 
-    Quoted line breaks are kept by default, for which Spark reads a file in one
-    task; where no field holds a line break, ``multi_line=False`` lets it split
-    large files.
+    Large files are split.  Fields with quoted line breaks need ``multi_line``, for
+    which Spark reads a file in one task: keep such files small.
     """
     return spark.read.csv(path, header=True, schema=schema, nullValue="", emptyValue="",
                           multiLine=multi_line, escape='"').select(

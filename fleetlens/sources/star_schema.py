@@ -68,6 +68,7 @@ CONDITION_OF_PRIORITY = {
 SEVERITIES = ["Low", "Medium", "High", "Critical"]
 COMPLAINT_STATES = ["Open", "Open", "Resolved", "In Progress", "Resolved"]
 DEALERS = 8
+MODELS, VARIANTS, SUBCATEGORIES, INSPECTORS = 5, 4, 7, 9
 
 
 
@@ -90,6 +91,10 @@ def _result(n: int, labels: tuple[str, str, str] = ("FAIL", "QUICK_FIX", "PASS")
             f"WHEN 0 THEN '{fail}' WHEN 1 THEN '{fix}' WHEN 2 THEN '{fix}' ELSE '{ok}' END")
 
 
+def _any_result(label: str) -> str:
+    return "'" + label + "' IN (" + ", ".join(_result(n) for n in range(len(V.CHECKLIST_KEYS))) + ")"
+
+
 _ITEM_STATUS = "l_returnflag = 'R' AND l_quantity <= 4"
 
 
@@ -102,9 +107,9 @@ def staging_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_staging_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same records as a file stream."""
+    """The same records as a file stream; a file source wants a folder or, as here, a pattern."""
     return as_staging_complaints(
-        spark.readStream.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events*.parquet"))
+        spark.readStream.schema(SCHEMAS["events"]).parquet(f"{sf_dir}/events.parque[t]"))
 
 
 _CATEGORY = f"CASE WHEN event_id % 97 <> 5 THEN {_lookup(CATEGORY_OF_EVENT, 'event_type')} END"
@@ -122,7 +127,11 @@ def as_staging_complaints(events: DataFrame) -> DataFrame:
         f"{_COMPLAINT_DATE} AS complaint_date",
         f"{_DESCRIPTION} AS description",
         f"{_CATEGORY} AS category",
+        f"concat('Model ', user_id % {MODELS}) AS model",
+        f"concat('Variant ', user_id % {VARIANTS}) AS variant",
+        f"concat('Sub ', event_id % {SUBCATEGORIES}) AS subcategory",
         f"{_CATEGORY} AS ai_category",
+        f"concat('Sub ', event_id % {SUBCATEGORIES}) AS ai_subcategory",
         f"{_pick(SEVERITIES, f'event_id % {len(SEVERITIES)}')} AS severity",
         f"{_pick(COMPLAINT_STATES, f'event_id % {len(COMPLAINT_STATES)}')} AS status",
         "CAST(event_id % 100 * 0.01 AS DECIMAL(5,2)) AS ai_confidence",
@@ -163,6 +172,14 @@ def staging_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat('Dealer ', o_orderkey % {DEALERS}) AS dealer_name",
         "to_date(o_orderdate) AS inspection_date",
         *sheets,
+        f"concat('Model ', o_custkey % {MODELS}) AS model",
+        f"concat('Variant ', o_custkey % {VARIANTS}) AS variant",
+        f"concat('Inspector ', o_orderkey % {INSPECTORS}) AS inspector_name",
+        f"CASE WHEN {_any_result('FAIL')} THEN 'FAIL' WHEN {_any_result('QUICK_FIX')} "
+        "THEN 'CONDITIONAL' ELSE 'PASS' END AS overall_result",
+        "CAST(o_orderkey % 200 * 0.5 AS DECIMAL(5,2)) AS risk_score",
+        "CAST(0.5 + o_orderkey % 10 * 0.04 AS DECIMAL(5,2)) AS risk_confidence",
+        f"NOT ({_any_result('FAIL')}) AS delivery_cleared",
         "o_orderkey % 3 = 0 AS processed",
         "concat('VH-', o_custkey) AS vehicle_id",
         f"{_pick(ITEM_NAMES, f'o_orderkey % {len(ITEM_NAMES)}')} AS checklist_item",

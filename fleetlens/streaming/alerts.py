@@ -14,8 +14,8 @@ def spike_alert(complaints: DataFrame, time_col: str = "created_at",
                 watermark: str = "1 hour") -> DataFrame:
     """Windows in which a key has more than ``more_than`` complaints.
 
-    On a stream the watermark bounds the state to open windows; on a static
-    frame it is ignored.  Counts combine before the shuffle, so a hot dealer
+    On a stream the watermark bounds the state to open windows; a complaint later than
+    that is not in the counts of the stream.  On a static frame it is ignored.  Counts combine before the shuffle, so a hot dealer
     sends one row per window and task.
     """
     # watermarks need instants: zone-free times of a stream are taken as UTC and
@@ -35,3 +35,15 @@ def spike_alert(complaints: DataFrame, time_col: str = "created_at",
         .select(bound("start").alias("window_start"), bound("end").alias("window_end"),
                 *keys, "complaints")
     )
+
+
+def open_windows(complaints: DataFrame, time_col: str = "created_at",
+                 watermark: str = "1 hour", **options) -> DataFrame:
+    """Alerts of the windows that a stream over the same complaints still holds back.
+
+    In append mode a stream gives a window once the watermark has passed its end; this
+    batch pass gives the others, so that both together are complete.
+    """
+    last = complaints.agg(F.max(time_col)).scalar()
+    return spike_alert(complaints, time_col, watermark=watermark, **options).where(
+        F.col("window_end") > last - F.expr(f"INTERVAL {watermark}"))

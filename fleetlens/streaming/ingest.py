@@ -1,9 +1,10 @@
 """Incremental staging -> bronze ingest.
 
-The stream's checkpoint replaces the processed flag.  Every micro-batch is
-written to its own folder with overwrite, so a batch that is retried after a
-crash replaces its first attempt instead of appending to it.  Ids seen before
-are dropped by the stream's state, which is partitioned by id.
+The stream's checkpoint replaces the processed flag.  Every micro-batch appends the
+ids that the bronze table doesn't hold yet, so a batch that is retried, a stream that starts
+again with a fresh checkpoint, and records that are resent however late give each id
+once.  What has been seen is kept in the table's files, not in the stream's state, and the
+batch run fills the same table.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetlens.sources.sinks import append_new
+
 
 def staged_stream(spark: SparkSession, folder: str, schema: T.StructType,
                   max_files: int = 1000) -> DataFrame:
@@ -23,38 +25,19 @@ def staged_stream(spark: SparkSession, folder: str, schema: T.StructType,
 
 
 def ingest_stream(staged: DataFrame, id_col: str, columns: list[str],
-                  to_bronze: Callable[[DataFrame], DataFrame], target: str, checkpoint: str,
-                  time_col: str = "ingested_at",
-                  resent_within: str | None = None) -> StreamingQuery:
-    """Run the available input through ``to_bronze`` into ``target`` (parquet).
-
-    By default every id is remembered: no record is lost, however late, and the
-    state grows with the ids (use the RocksDB state store for large feeds).  If
-    the feed delivers in ``time_col`` order and resends within a known time,
-    ``resent_within`` bounds the state to that time.
-    """
+                  to_bronze: Callable[[DataFrame], DataFrame], table: str,
+                  checkpoint: str) -> StreamingQuery:
+    """Run the available input through ``to_bronze`` into the managed ``table``.
 
+    ``id_col`` names the key both before and after ``to_bronze``.  One stream or batch
+    run at a time may write the table.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        to_bronze(batch.select(*columns)).write.mode("overwrite").parquet(
-            f"{target}/batch_id={batch_id}")
-
-    if resent_within is None:
-        unique = staged.dropDuplicates([id_col])
-    else:
-        # watermarks need an instant; read zone-free times in the session zone
-        unique = (
-            staged.withColumn(time_col, F.col(time_col).cast("timestamp"))
-            .withWatermark(time_col, resent_within)
-            .dropDuplicatesWithinWatermark([id_col])
-        )
+        append_new(to_bronze(batch.select(*columns)), table, id_col)
+
     return (
-        unique.writeStream.foreachBatch(write)
+        staged.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_bronze(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """The ingested table, without the batch folder column."""
-    return spark.read.schema(schema).parquet(target).select(*schema.names)
