@@ -128,6 +128,35 @@ CRITICAL_ITEMS = [
     (ELECTRICAL_ITEM, 0.06, "Electrical fault — known software recurrence"),
 ]
 
+# --- fixed values: defect score, SQL form: (fails, at least, critical, score), first match wins;
+# critical None means either
+SCORE_BASE = [
+    (0, False, None, "0.05"),
+    (1, False, False, "0.22"),
+    (1, False, True, "0.38"),
+    (2, False, False, "0.44"),
+    (2, False, True, "0.60"),
+    (3, True, True, "0.82"),
+    (3, True, None, "0.68"),
+]
+SCORE_OTHERWISE = "0.10"
+SCORE_ELECTRICAL, SCORE_DEALER, SCORE_CONDITION = "0.06", "0.08", "0.06"
+SCORE_CAP = "0.97"
+
+# --- fixed values: texts of the model scorer's factors ------------------------
+FACTOR_ONE_FAIL = "1 inspection item failed"
+FACTOR_TWO_FAILS = "2 inspection items failed"
+FACTOR_MORE_FAILS = " inspection items failed — above safe threshold"
+FACTOR_DEALER = ("Dealer ", " — elevated historical complaint rate")
+FACTOR_CONDITION = "Vehicle delivery condition: "
+
+# --- fixed values: texts of the delivery decision -----------------------------
+HOLD_RECURRENCE = ("HOLD DELIVERY — Recurrence risk detected in ",
+                   " item(s). Same fixes applied before led to complaints in ", "% of cases.")
+CLEAR = "Clear for delivery"
+FIX_FIRST = "Quick fixes required before delivery"
+HOLD_FAILED = "Hold delivery — critical failures detected"
+
 # --- fixed values: inspection form -------------------------------------------
 CHECKLIST_KEYS = [
     "exterior_body", "paint_finish", "engine_bay", "ac_system", "brakes",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
-from fleetlens.functions.rules import first_match
+from fleetlens.functions.rules import first_match, sql_text
 
 
 def _dec(value: str) -> Column:
@@ -23,50 +23,41 @@ def risk_score_sql(fail_count: Column, engine: Column, brake: Column, electrical
     one fail with an unknown engine flag and no brake fail scores 0.10.
     """
     critical = engine | brake
-    minor = ~engine & ~brake
-    base = first_match(
-        [
-            (fail_count == 0, _dec("0.05")),
-            ((fail_count == 1) & minor, _dec("0.22")),
-            ((fail_count == 1) & critical, _dec("0.38")),
-            ((fail_count == 2) & minor, _dec("0.44")),
-            ((fail_count == 2) & critical, _dec("0.60")),
-            ((fail_count >= 3) & critical, _dec("0.82")),
-            (fail_count >= 3, _dec("0.68")),
-        ],
-        _dec("0.10"),
-    )
+    arms = []
+    for fails, at_least, wants_critical, score in V.SCORE_BASE:
+        test = fail_count >= fails if at_least else fail_count == fails
+        if wants_critical is not None:
+            test = test & (critical if wants_critical else ~critical)
+        arms.append((test, _dec(score)))
+    none = _dec("0.00")
     score = (
-        base
-        + F.when(electrical, _dec("0.06")).otherwise(_dec("0.00"))
-        + F.when(dealer.isin(V.HIGH_RISK_DEALERS), _dec("0.08")).otherwise(_dec("0.00"))
-        + F.when(condition.isin(V.WORN_CONDITIONS), _dec("0.06")).otherwise(_dec("0.00"))
+        first_match(arms, _dec(V.SCORE_OTHERWISE))
+        + F.when(electrical, _dec(V.SCORE_ELECTRICAL)).otherwise(none)
+        + F.when(dealer.isin(V.HIGH_RISK_DEALERS), _dec(V.SCORE_DEALER)).otherwise(none)
+        + F.when(condition.isin(V.WORN_CONDITIONS), _dec(V.SCORE_CONDITION)).otherwise(none)
     )
-    return F.least(score, _dec("0.97")).cast("double")
+    return F.least(score, _dec(V.SCORE_CAP)).cast("double")
 
 
 def register_score_defect_risk(spark: SparkSession, name: str = "score_defect_risk") -> None:
     """Make :func:`risk_score_sql` callable from SQL text as a temporary function."""
-    dealers = ", ".join(f"'{d}'" for d in V.HIGH_RISK_DEALERS)
-    worn = ", ".join(f"'{c}'" for c in V.WORN_CONDITIONS)
+    arms = []
+    for fails, at_least, wants_critical, score in V.SCORE_BASE:
+        test = f"fails {'>=' if at_least else '='} {fails}"
+        if wants_critical is not None:
+            test += " AND (engine OR brake)" if wants_critical else " AND NOT (engine OR brake)"
+        arms.append(f"WHEN {test} THEN {score}")
+    dealers, worn = (", ".join(map(sql_text, v)) for v in (V.HIGH_RISK_DEALERS, V.WORN_CONDITIONS))
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(
             fails INT, engine BOOLEAN, brake BOOLEAN, electrical BOOLEAN,
             dealer STRING, cond STRING)
         RETURNS DOUBLE
-        RETURN CAST(LEAST(0.97,
-            CASE WHEN fails = 0 THEN 0.05
-                 WHEN fails = 1 THEN
-                    CASE WHEN NOT (engine OR brake) THEN 0.22 WHEN engine OR brake THEN 0.38
-                         ELSE 0.10 END
-                 WHEN fails = 2 THEN
-                    CASE WHEN NOT (engine OR brake) THEN 0.44 WHEN engine OR brake THEN 0.60
-                         ELSE 0.10 END
-                 WHEN fails >= 3 THEN IF(engine OR brake, 0.82, 0.68)
-                 ELSE 0.10 END
-            + IF(electrical, 0.06, 0.00)
-            + IF(dealer IN ({dealers}), 0.08, 0.00)
-            + IF(cond IN ({worn}), 0.06, 0.00)) AS DOUBLE)
+        RETURN CAST(LEAST({V.SCORE_CAP},
+            CASE {' '.join(arms)} ELSE {V.SCORE_OTHERWISE} END
+            + IF(electrical, {V.SCORE_ELECTRICAL}, 0.00)
+            + IF(dealer IN ({dealers}), {V.SCORE_DEALER}, 0.00)
+            + IF(cond IN ({worn}), {V.SCORE_CONDITION}, 0.00)) AS DOUBLE)
     """)
 
 
@@ -94,10 +85,9 @@ def risk_score_model(df: DataFrame, items_col: str = "failed_items") -> DataFram
     factors = [
         first_match(
             [
-                (fails == 1, "1 inspection item failed"),
-                (fails == 2, "2 inspection items failed"),
-                (fails >= 3, F.concat(fails.cast("string"),
-                                      F.lit(" inspection items failed — above safe threshold"))),
+                (fails == 1, V.FACTOR_ONE_FAIL),
+                (fails == 2, V.FACTOR_TWO_FAILS),
+                (fails >= 3, F.concat(fails.cast("string"), F.lit(V.FACTOR_MORE_FAILS))),
             ],
             F.lit(None).cast("string"),
         )
@@ -109,10 +99,10 @@ def risk_score_model(df: DataFrame, items_col: str = "failed_items") -> DataFram
     risky_dealer = dealer.isin(V.HIGH_RISK_DEALERS)
     score = score + F.when(risky_dealer, 0.08).otherwise(0.0)
     factors.append(F.when(risky_dealer, F.concat(
-        F.lit("Dealer "), dealer, F.lit(" — elevated historical complaint rate"))))
+        F.lit(V.FACTOR_DEALER[0]), dealer, F.lit(V.FACTOR_DEALER[1]))))
     worn = condition.isin(V.WORN_CONDITIONS)
     score = score + F.when(worn, 0.06).otherwise(0.0)
-    factors.append(F.when(worn, F.concat(F.lit("Vehicle delivery condition: "), condition)))
+    factors.append(F.when(worn, F.concat(F.lit(V.FACTOR_CONDITION), condition)))
 
     return (
         df.withColumn("_score", score)

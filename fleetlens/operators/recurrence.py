@@ -108,14 +108,13 @@ def inspection_decision(scored: DataFrame, rates: DataFrame) -> DataFrame:
     text = first_match(
         [
             (F.col("warnings") > 0, F.concat(
-                F.lit("HOLD DELIVERY — Recurrence risk detected in "),
+                F.lit(V.HOLD_RECURRENCE[0]),
                 F.col("warnings").cast("string"),
-                F.lit(" item(s). Same fixes applied before led to complaints in "),
-                F.col("_first_rate"), F.lit("% of cases."))),
-            (F.col("overall_result") == "PASS", "Clear for delivery"),
-            (F.col("overall_result") == "CONDITIONAL", "Quick fixes required before delivery"),
+                F.lit(V.HOLD_RECURRENCE[1]), F.col("_first_rate"), F.lit(V.HOLD_RECURRENCE[2]))),
+            (F.col("overall_result") == "PASS", V.CLEAR),
+            (F.col("overall_result") == "CONDITIONAL", V.FIX_FIRST),
         ],
-        "Hold delivery — critical failures detected",
+        V.HOLD_FAILED,
     )
     return (
         decided.withColumn("risk_score", F.round(F.col("risk_score") + F.col("_add"), 2))

@@ -72,9 +72,12 @@ def complaint_trends(staged: DataFrame) -> DataFrame:
 
 
 def dealer_performance(staged_complaints: DataFrame, staged_inspections: DataFrame) -> DataFrame:
-    """Inspections, fail rate and complaints per inspection for every dealer."""
+    """Inspections, fail rate and complaints per inspection for every dealer.
+
+    An inspection fails by its overall result, not by that of one item.
+    """
     inspected = staged_inspections.groupBy("dealer_code", "dealer_name").agg(
-        F.count(F.lit(1)).alias("inspected"), F.count_if(is_fail(F.col("status"))).alias("failed"))
+        F.count(F.lit(1)).alias("inspected"), F.count_if(is_fail(F.col("overall_result"))).alias("failed"))
     complained = staged_complaints.groupBy("dealer_code", "dealer_name").agg(
         F.count(F.lit(1)).alias("complained"))
     both = inspected.join(complained, ["dealer_code", "dealer_name"], "full")

@@ -147,3 +147,16 @@ def test_decision_without_history(spark):
     row = recurrence.inspection_decision(
         inspection_score(df), spark.createDataFrame([], RATES)).first()
     assert (row.warnings, row.risk_score, row.delivery_cleared) == (0, 5.0, True)
+
+
+def test_undated_repairs_come_last(spark):
+    """NULL dates sort after all dates, newest first; an undated repair can't have a later complaint."""
+    item = V.CHECKLIST_KEYS[0]
+    sheets = spark.createDataFrame(
+        [("I1", "V1", None, "FAIL", "fixed"), ("I2", "V1", dt.date(2024, 1, 1), "FAIL", "fixed"),
+         ("I3", "V2", dt.date(2024, 2, 1), "QUICK_FIX", "fixed")],
+        f"inspection_id string, vin string, inspection_date date, {item}_result string, {item}_action string")
+    complaints = spark.createDataFrame([("C1", "V1", dt.date(2024, 3, 1), "Service")],
+                                       "complaint_id string, vin string, complaint_date date, category string")
+    rows = recurrence.recurrence_pairs(sheets, complaints, items=[item]).orderBy("case_no").collect()
+    assert [(r.inspection_id, r.complaint_id) for r in rows] == [("I3", None), ("I2", "C1"), ("I1", None)]

@@ -55,40 +55,44 @@ def test_sql_function_equals_columns(spark):
     assert tuple(named) == (0.05, 0.22, 0.68, 0.97)
 
 
-def expected_model(fails, items, dealer, cond):
-    score = {0: 0.05, 1: 0.22, 2: 0.44}.get(min(fails, 2), 0.68)
-    factors = []
-    if fails == 1:
-        factors.append("1 inspection item failed")
-    if fails == 2:
-        factors.append("2 inspection items failed")
-    if fails > 2:
-        factors.append(f"{fails} inspection items failed — above safe threshold")
-    for item, penalty, text in V.CRITICAL_ITEMS:
-        if item in items:
-            score += penalty
-            factors.append(text)
-    if dealer in V.HIGH_RISK_DEALERS:
-        score += 0.08
-        factors.append(f"Dealer {dealer} — elevated historical complaint rate")
-    if cond in V.WORN_CONDITIONS:
-        score += 0.06
-        factors.append(f"Vehicle delivery condition: {cond}")
-    level = "HIGH" if score >= 0.70 else "MEDIUM" if score >= 0.35 else "LOW"
-    return round(min(score, 0.97), 2), level, factors[:3]
-
-
-def test_model_grid(spark):
-    names = [V.ENGINE_ITEM, V.BRAKE_ITEM, V.ELECTRICAL_ITEM, "Other"]
-    lists = [list(c) for n in range(5) for c in itertools.combinations(names, n)]
-    rows = [(f, json.dumps(i), d, c) for f, i, d, c in itertools.product(
-        (-1, 0, 1, 2, 3, 9), lists, ("DLR-002", "DLR-9", None), ("Poor", "Good", None))]
+ENGINE, BRAKE, ELECTRICAL = V.ENGINE_ITEM, V.BRAKE_ITEM, V.ELECTRICAL_ITEM
+ONE, TWO = "1 inspection item failed", "2 inspection items failed"
+MANY = "{} inspection items failed — above safe threshold"
+DEALER = "Dealer DLR-003 — elevated historical complaint rate"
+WORN = "Vehicle delivery condition: Poor"
+TEXT = {item: text for item, _, text in V.CRITICAL_ITEMS}
+
+# worked out by hand: fails, failed items, dealer, condition -> score, level, first three factors
+MODEL_ROWS = [
+    (0, [], None, None, 0.05, "LOW", []),
+    (0, [], "DLR-003", "Poor", 0.19, "LOW", [DEALER, WORN]),
+    (1, [], "DLR-9", "Good", 0.22, "LOW", [ONE]),
+    (1, ["Other"], "DLR-003", "Good", 0.30, "LOW", [ONE, DEALER]),
+    (1, [], "DLR-003", "Poor", 0.36, "MEDIUM", [ONE, DEALER, WORN]),
+    (1, [ENGINE], None, "Good", 0.38, "MEDIUM", [ONE, TEXT[ENGINE]]),
+    (1, [BRAKE], None, None, 0.36, "MEDIUM", [ONE, TEXT[BRAKE]]),
+    (1, [ELECTRICAL], None, "Poor", 0.34, "LOW", [ONE, TEXT[ELECTRICAL], WORN]),
+    (2, [], "DLR-9", "Good", 0.44, "MEDIUM", [TWO]),
+    (2, [ENGINE, BRAKE], None, None, 0.74, "HIGH", [TWO, TEXT[ENGINE], TEXT[BRAKE]]),
+    (2, [ENGINE, ELECTRICAL], "DLR-003", "Poor", 0.80, "HIGH",
+     [TWO, TEXT[ENGINE], TEXT[ELECTRICAL]]),
+    (3, [], None, None, 0.44, "MEDIUM", [MANY.format(3)]),
+    (3, [ENGINE, BRAKE, ELECTRICAL], "DLR-003", "Poor", 0.94, "HIGH",
+     [MANY.format(3), TEXT[ENGINE], TEXT[BRAKE]]),
+    (9, ["Other", BRAKE], "DLR-003", None, 0.66, "MEDIUM", [MANY.format(9), TEXT[BRAKE], DEALER]),
+    (-1, [], None, None, 0.68, "MEDIUM", []),
+    (-1, [ENGINE, BRAKE], None, None, 0.97, "HIGH", [TEXT[ENGINE], TEXT[BRAKE]]),
+]
+
+
+def test_model_rows(spark):
+    rows = [(n, f, json.dumps(i), d, c) for n, (f, i, d, c, *_) in enumerate(MODEL_ROWS)]
     df = scoring.risk_score_model(spark.createDataFrame(
-        rows, "fail_count int, failed_items string, dealer_id string, delivery_condition string"))
-    for r in df.collect():
-        want = expected_model(r.fail_count, json.loads(r.failed_items), r.dealer_id,
-                              r.delivery_condition)
-        assert (r.risk_score, r.risk_level, r.top_risk_factors) == want, r
+        rows, "n int, fail_count int, failed_items string, dealer_id string, "
+              "delivery_condition string"))
+    got = {r.n: (r.risk_score, r.risk_level, r.top_risk_factors) for r in df.collect()}
+    assert got == {n: want for n, (*_, score, level, texts) in enumerate(MODEL_ROWS)
+                   for want in [(score, level, texts)]}
 
 
 def test_model_items_as_array_or_broken_json(spark):
