@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.operators import correlation as corr
 from fleetlens.operators import dashboard as dash
+from fleetlens.operators import rollups
 from fleetlens.operators.gaps import epdi_gaps, gap_analysis, gap_vehicles
-from fleetlens.operators.rollups import quality_checks, table_counts
-from fleetlens.sources.sinks import append, materialize, replace_rows
 from fleetlens.sources import staging as stg
-
+from fleetlens.sources.sinks import append_new, fresh_table, materialize, replace_rows
 
 FEEDS = [
     ("complaints", "complaint_id", stg.COMPLAINT_COLUMNS, stg.to_bronze_complaints),
@@ -19,19 +19,15 @@ FEEDS = [
 ]
 
 
-def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> dict[str, DataFrame]:
-    """Append the unprocessed rows of the three feeds to bronze.
+def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> None:
+    """Append the unprocessed rows of the three feeds that bronze doesn't hold yet.
 
-    Returns the feeds with these rows marked, to be stored as their next
-    version.  The batch form trusts that a feed does not change between the two
-    reads; :mod:`fleetlens.streaming.ingest` needs no such trust.
+    The bronze tables decide what is new, so a run may be repeated, or a stream
+    (:mod:`fleetlens.streaming.ingest`) may have brought some of the rows before.
     """
-    marked = {}
     for name, id_col, columns, to_bronze in FEEDS:
-        feed = staged[name]
-        append(to_bronze(stg.read_unprocessed(feed, columns)), f"{prefix}bronze_{name}")
-        marked[name] = stg.mark_processed(feed, feed.where("NOT processed"), id_col)
-    return marked
+        new = to_bronze(stg.read_unprocessed(staged[name], columns))
+        append_new(new, f"{prefix}bronze_{name}", id_col)
 
 
 def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:
@@ -40,37 +36,85 @@ def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:
     The links of all complaints are stored once: the correlation is a filter over
     them and the gold detail table a projection, so neither repeats the join.
     """
-    c, i, d = (spark.table(f"{prefix}bronze_{n}")
+    c, i, d = (fresh_table(spark, f"{prefix}bronze_{n}")
                for n in ("complaints", "inspections", "deliveries"))
     links = materialize(corr.link(c, i, d), f"{prefix}silver_complaint_links")
     linked = materialize(corr.guard_after_delivery(links),
                          f"{prefix}silver_complaint_correlation")
     gaps = materialize(epdi_gaps(c, i), f"{prefix}silver_epdi_gaps")
     materialize(gap_vehicles(c, i), f"{prefix}silver_epdi_gap_vehicles")
-    return quality_checks(linked, gaps)
+    return rollups.quality_checks(linked, gaps)
 
 
 def run_gold(spark: SparkSession, prefix: str = "") -> DataFrame:
     links = spark.table(f"{prefix}silver_complaint_links")
     linked = spark.table(f"{prefix}silver_complaint_correlation")
     gaps = spark.table(f"{prefix}silver_epdi_gaps")
-    dashboard = materialize(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
-    analysis = materialize(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
-    delivery = materialize(dash.delivery_service_link(linked),
-                           f"{prefix}gold_delivery_service_link")
+    materialize(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
+    materialize(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
+    materialize(dash.delivery_service_link(linked), f"{prefix}gold_delivery_service_link")
     detail = materialize(corr.detail_from_links(links), f"{prefix}gold_complaint_detail")
     recommended = materialize(dash.checklist_recommendations(detail),
                               f"{prefix}gold_checklist_recommendations")
     replace_rows(dash.enhanced_recommendations(recommended),
                  f"{prefix}gold_checklist_recommendations_ai")
-    return table_counts(spark, {
-        "dashboard_rows": dashboard, "gap_rows": analysis, "delivery_rows": delivery,
-        "detail_rows": detail, "reco_rows": recommended})
+    return gold_checks(spark, prefix)
+
+
+def gold_checks(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """Row counts of the stored gold tables."""
+    names = {"dashboard_rows": "complaint_dashboard", "gap_rows": "epdi_gap_analysis",
+             "delivery_rows": "delivery_service_link", "detail_rows": "complaint_detail",
+             "reco_rows": "checklist_recommendations"}
+    return rollups.table_counts(
+        spark, {k: spark.table(f"{prefix}gold_{n}") for k, n in names.items()})
+
+
+def run_rollups(spark: SparkSession, staged: dict[str, DataFrame], prefix: str = "") -> None:
+    """The four tables behind the summary cards."""
+    c, i, d = (spark.table(f"{prefix}bronze_{n}")
+               for n in ("complaints", "inspections", "deliveries"))
+    materialize(rollups.complaint_trends(staged["complaints"]), f"{prefix}gold_complaint_trends")
+    materialize(rollups.dealer_performance(staged["complaints"], staged["inspections"]),
+                f"{prefix}gold_dealer_performance")
+    materialize(rollups.vehicle_risk_profile(c, i, d), f"{prefix}gold_vehicle_risk_profile")
+    materialize(rollups.checklist_gap_analysis(spark.table(f"{prefix}gold_complaint_detail")),
+                f"{prefix}gold_checklist_gap_analysis")
+
+
+def summary_cards(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """The four cards from the stored rollups."""
+    return rollups.summary_cards(*(spark.table(f"{prefix}gold_{n}") for n in (
+        "complaint_trends", "dealer_performance", "vehicle_risk_profile",
+        "checklist_gap_analysis")))
 
 
 def run_all(spark: SparkSession, staged: dict[str, DataFrame],
             prefix: str = "") -> tuple[DataFrame, DataFrame]:
-    """The three stages in order; returns the silver and the gold checks."""
+    """The stages in order; returns the silver and the gold checks."""
     run_bronze(staged, prefix)
     silver = run_silver(spark, prefix)
-    return silver, run_gold(spark, prefix)
+    gold = run_gold(spark, prefix)
+    run_rollups(spark, staged, prefix)
+    return silver, gold
+
+
+def drop_tables(spark: SparkSession, prefix: str) -> None:
+    """Drop every table whose name begins with ``prefix``, which must not be empty."""
+    if not prefix:
+        raise ValueError("a prefix is needed")
+    for table in spark.catalog.listTables():
+        if table.name.startswith(prefix) and not table.isTemporary:
+            spark.sql(f"DROP TABLE `{table.name}`")
+
+
+def stored_detail(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """The detail table by the join of stored complaints and stored correlation."""
+    return corr.complaint_detail(spark.table(f"{prefix}bronze_complaints"),
+                                 spark.table(f"{prefix}silver_complaint_correlation"))
+
+
+def stored_recommendations(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """The stored recommendations with improved procedures, without their load time."""
+    table = spark.table(f"{prefix}gold_checklist_recommendations_ai")
+    return table.where(F.col("generated_at").isNotNull()).drop("generated_at")

@@ -8,7 +8,7 @@ the fixed rule values and the expressions that derive the input frames.
 from __future__ import annotations
 
 from fleetlens.functions import rule_values as V
-from fleetlens.plans.registry import LOOKUP_CATEGORY, LOOKUP_TEXT
+from fleetlens.plans.registry import LOOKUP_CATEGORY, LOOKUP_SUBCATEGORY, LOOKUP_TEXT
 from fleetlens.sources import star_schema as src
 
 
@@ -101,6 +101,9 @@ _step("sc", f"""
                 THEN {_case('event_type', src.CATEGORY_OF_EVENT)} END AS category,
            {_list(src.SEVERITIES)}[event_id % {len(src.SEVERITIES)} + 1] AS severity,
            {_list(src.COMPLAINT_STATES)}[event_id % {len(src.COMPLAINT_STATES)} + 1] AS status,
+           'Model ' || user_id % {src.MODELS} AS model,
+           'Variant ' || user_id % {src.VARIANTS} AS variant,
+           'Sub ' || event_id % {src.SUBCATEGORIES} AS subcategory,
            event_id % 100 AS cents, event_id % 3 = 0 AS processed,
            'VH-' || user_id * 11 AS vehicle_id, 'CU-' || user_id AS customer_id, ts
     FROM events)""")
@@ -139,6 +142,13 @@ _step("si", f"""
                CASE WHEN result = 'PASS' THEN '' WHEN inspection_id % 2 = 0 THEN 'Adjusted'
                     ELSE 'Replaced part' END END AS action
     FROM sheet WHERE idx < {len(V.CHECKLIST_KEYS)}""", "sheet")
+# one row per inspection sheet
+_step("so", """
+    SELECT n, dealer_code, dealer_name,
+           CASE WHEN bool_or(result = 'FAIL') THEN 'FAIL'
+                WHEN bool_or(result = 'QUICK_FIX') THEN 'CONDITIONAL' ELSE 'PASS' END
+               AS overall_result
+    FROM si GROUP BY ALL""", "si")
 _step("ins", """
     SELECT vehicle_id,
            CASE WHEN bool_or(status ILIKE 'fail') THEN 'FAIL' ELSE 'PASS' END
@@ -169,9 +179,6 @@ _step("detail", f"""
 _step("gaps", """
     SELECT complaint_category, count(complaint_id) AS complaint_count,
            count(DISTINCT vehicle_id) AS vehicle_count,
-           CASE WHEN count(DISTINCT vehicle_id) <= 1000
-                THEN array_to_string(list_sort(list(DISTINCT vehicle_id)), '|')
-           END AS affected_vehicles,
            min(complaint_date) AS first_reported, max(complaint_date) AS last_reported
     FROM c WHERE complaint_category NOT IN (SELECT checklist_item FROM i)
     GROUP BY complaint_category""", "c", "i")
@@ -196,7 +203,7 @@ _step("dash", f"""
     FROM s WHERE dealer_id IS NOT NULL GROUP BY ALL""", "s")
 _step("analysis", f"""
     SELECT complaint_category AS gap_category, complaint_count, vehicle_count,
-           affected_vehicles, first_reported, last_reported,
+           first_reported, last_reported,
            (last_reported - first_reported)::INTEGER AS gap_duration_days,
            lv.severity, lv.action AS action_required,
            'Add [' || complaint_category || '] to ePDI checklist (affects ' || vehicle_count
@@ -250,10 +257,10 @@ _step("perf", f"""
            {_pct('coalesce(b.n, 0)', 'coalesce(a.n, 0)')} AS complaint_rate_pct,
            {_pct('coalesce(a.f, 0)', 'coalesce(a.n, 0)')} AS fail_rate_pct
     FROM (SELECT dealer_code, dealer_name, count(*) AS n,
-                 count(*) FILTER (WHERE result = 'FAIL') AS f
-          FROM si WHERE item = {_q(V.CHECKLIST_KEYS[0])} GROUP BY ALL) a
+                 count(*) FILTER (WHERE overall_result = 'FAIL') AS f
+          FROM so GROUP BY ALL) a
     FULL JOIN (SELECT dealer_code, dealer_name, count(*) AS n FROM sc GROUP BY ALL) b
-      ON a.dealer_code = b.dealer_code AND a.dealer_name = b.dealer_name""", "si", "sc")
+      ON a.dealer_code = b.dealer_code AND a.dealer_name = b.dealer_name""", "so", "sc")
 _step("scorer", f"""
     SELECT vehicle_id, dealer_id, delivery_condition, fail_count, failed_items,
            list_contains(failed_items, {_q(V.ENGINE_ITEM)}) AS eng,
@@ -324,20 +331,36 @@ _step("alert", """
     GROUP BY ALL HAVING count(*) > 5""", "sc")
 
 
-def statement(body: str, *needs: str) -> str:
+# what the stored run takes from the staging tables
+STORED: dict[str, tuple[str, list[str]]] = {
+    "c": ("""SELECT n AS complaint_id, vehicle_id, customer_id, complaint_date,
+             complaint_category, description FROM sc WHERE NOT processed""", ["sc"]),
+    "i": (f"""SELECT n AS inspection_id, 'VH-' || o_custkey AS vehicle_id,
+              {_q(V.DEFAULT_DEALER)} AS dealer_id, inspection_date,
+              {_list(src.ITEM_NAMES)}[n % {len(src.ITEM_NAMES)} + 1] AS checklist_item,
+              result AS status, NULL::VARCHAR AS notes
+              FROM si JOIN orders ON o_orderkey = n
+              WHERE item = {_q(V.CHECKLIST_KEYS[0])} AND n % 3 <> 0""", ["si"]),
+    "d": ("""SELECT n AS delivery_id, vehicle_id, dealer_id, delivery_date, delivery_condition
+             FROM sd WHERE NOT processed""", ["sd"]),
+}
+
+
+def statement(body: str, *needs: str, stored: bool = False) -> str:
     """``body`` with the steps it needs as common table expressions, in order."""
-    wanted: set[str] = set()
+    steps = STEPS | (STORED if stored else {})
+    ordered: dict[str, str] = {}
 
     def visit(name: str) -> None:
-        if name not in wanted:
-            wanted.add(name)
-            for parent in STEPS[name][1]:
+        if name not in ordered:
+            sql, parents = steps[name]
+            for parent in parents:
                 visit(parent)
+            ordered[name] = sql
 
     for name in needs:
         visit(name)
-    ctes = ", ".join(f"{n} AS ({sql})" for n, (sql, _) in STEPS.items() if n in wanted)
-    return f"WITH {ctes} {body}"
+    return "WITH " + ", ".join(f"{n} AS ({sql})" for n, sql in ordered.items()) + f" {body}"
 
 
 def _wide(source: str, pick: str, items=V.CHECKLIST_KEYS) -> str:
@@ -353,7 +376,7 @@ def _worst(choices: list[str | None], suffix: str) -> str:
     return f"{_list(choices)}{_WORST} AS \"@{suffix}\""
 
 
-_REPORT = """SELECT gap_category, complaint_count, vehicle_count, affected_vehicles,
+_REPORT = """SELECT gap_category, complaint_count, vehicle_count,
     first_reported, last_reported, gap_duration_days, severity, action_required,
     recommendation FROM analysis"""
 _LINKED = "* EXCLUDE (failed_items), array_to_string(failed_items, '|') AS failed_items"
@@ -431,22 +454,12 @@ _ANSWERS = f"""
     FROM obj"""
 
 
-def _bronze_inspections() -> str:
-    item = f"{_list(src.ITEM_NAMES)}[n % {len(src.ITEM_NAMES)} + 1]"
-    return statement(f"""
-        SELECT n AS inspection_id, 'VH-' || o_custkey AS vehicle_id,
-               {_q(V.DEFAULT_DEALER)} AS dealer_id, inspection_date, {item} AS checklist_item,
-               result AS status, NULL::VARCHAR AS notes
-        FROM si JOIN orders ON o_orderkey = n
-        WHERE item = {_q(V.CHECKLIST_KEYS[0])} AND n % 3 <> 0""", "si")
-
-
 ORACLE: dict[str, str] = {
     "ingest_unprocessed": statement(
         """SELECT complaint_id, vehicle_id, customer_id, complaint_date, complaint_category,
            description FROM sc WHERE NOT processed""", "sc"),
     "bronze_complaints": statement("SELECT * FROM c WHERE complaint_id % 3 <> 0", "c"),
-    "bronze_inspections": _bronze_inspections(),
+    "bronze_inspections": statement("SELECT * FROM i", "i", stored=True),
     "bronze_deliveries": statement(
         f"SELECT *, {_q(V.DEFAULT_SIGNATURE)} AS customer_signature FROM d "
         "WHERE delivery_id % 3 <> 0", "d"),
@@ -462,6 +475,9 @@ ORACLE: dict[str, str] = {
     "load_csv": statement(
         """SELECT complaint_id, vin, complaint_date, nullif(description, '') AS description,
            category, (cents / 100)::DECIMAL(5,2) AS ai_confidence, processed FROM sc""", "sc"),
+    "load_csv_multi_line": statement(
+        """SELECT complaint_id, nullif(description || chr(10) || category, '') AS description
+           FROM sc""", "sc"),
     "query_table": statement(f"{_REPORT} WHERE severity = 'Critical'", "analysis"),
     "table_counts": statement(
         """SELECT (SELECT count(*) FROM c) AS complaints, (SELECT count(*) FROM i) AS inspections,
@@ -513,6 +529,18 @@ ORACLE: dict[str, str] = {
             FROM (SELECT complaint_id, {ISSUE} AS specific_issue FROM c)
             LEFT JOIN (VALUES {_values(V.ISSUE_ACTIONS.items())}) a(issue, action)
                 ON issue = specific_issue""", "c"),
+    "stored_correlation": statement(f"SELECT {_LINKED} FROM s", "s", stored=True),
+    "stored_detail": statement(f"SELECT {_LINKED} FROM detail", "detail", stored=True),
+    "stored_recommendations_ai": statement("SELECT * FROM ranked", "ranked", stored=True),
+    "stored_counts": statement(
+        """SELECT (SELECT count(*) FROM c) AS bronze_complaints,
+           (SELECT count(*) FROM i) AS bronze_inspections,
+           (SELECT count(*) FROM d) AS bronze_deliveries,
+           (SELECT count(*) FROM linked) AS silver_complaint_links,
+           (SELECT count(*) FROM s) AS silver_complaint_correlation,
+           (SELECT count(*) FROM (SELECT DISTINCT complaint_category, vehicle_id FROM c
+            WHERE complaint_category NOT IN (SELECT checklist_item FROM i)))
+               AS silver_epdi_gap_vehicles""", "c", "i", "d", "linked", "s", stored=True),
     "gold_checks": statement(
         f"""SELECT (SELECT count(*) FROM dash) AS dashboard_rows,
             (SELECT count(*) FROM gaps) AS gap_rows,
@@ -522,20 +550,39 @@ ORACLE: dict[str, str] = {
                 + coalesce(inspection_status = 'FAIL', false)::INTEGER
                 FROM s WHERE dealer_id IS NOT NULL)) AS delivery_rows,
             (SELECT count(*) FROM detail) AS detail_rows,
-            (SELECT count(*) FROM reco) AS reco_rows""", "dash", "gaps", "s", "detail", "reco"),
+            (SELECT count(*) FROM reco) AS reco_rows""", "dash", "gaps", "s", "detail", "reco",
+        stored=True),
     "ai_priority": statement("SELECT * FROM ranked", "ranked"),
     "gap_pct": statement(
         """SELECT what_customers_complain_about, pct_caught_by_inspection, gap_pct
            FROM ranked""", "ranked"),
     "lookup_gap": statement(
         f"{_REPORT} WHERE gap_category = {_q(LOOKUP_CATEGORY)}", "analysis"),
+    "lookup_gap_class": statement(
+        f"""SELECT * FROM gapclass WHERE category = {_q(LOOKUP_CATEGORY)}
+            AND subcategory = {_q(LOOKUP_SUBCATEGORY)}""", "gapclass"),
+    "lookup_gap_category": statement(
+        f"SELECT * FROM gapclass WHERE category = {_q(LOOKUP_CATEGORY)}", "gapclass"),
     "top_recommendations": statement(
-        f"""SELECT * FROM reco WHERE contains(what_customers_complain_about, {_q(LOOKUP_TEXT)})
-            ORDER BY priority DESC, what_customers_complain_about LIMIT 5""", "reco"),
+        f"""SELECT * FROM ranked WHERE contains(what_customers_complain_about, {_q(LOOKUP_TEXT)})
+            ORDER BY priority DESC LIMIT 5""", "ranked"),
     "recent_topn": statement(
-        """SELECT complaint_id, vin, dealer_name, complaint_date, category,
+        """SELECT complaint_id, vin, model, variant, customer_name, dealer_name, complaint_date,
+           category, subcategory, ai_category, subcategory AS ai_subcategory,
            (cents / 100)::DECIMAL(5,2) AS ai_confidence, severity, status, description,
            ts AS created_at FROM sc ORDER BY ts DESC, complaint_id DESC LIMIT 20""", "sc"),
+    "recent_inspections": statement(
+        f"""SELECT 'INS-' || n AS inspection_id,
+           'VIN-' || (o_custkey // 10 * 11 + CASE WHEN n % 10 = 0 THEN 0 ELSE 1 END) AS vin,
+           'Model ' || o_custkey % {src.MODELS} AS model,
+           'Variant ' || o_custkey % {src.VARIANTS} AS variant, dealer_name,
+           'Inspector ' || n % {src.INSPECTORS} AS inspector_name,
+           o_orderdate::DATE AS inspection_date, overall_result,
+           (n % 200 * 0.5)::DECIMAL(5,2) AS risk_score,
+           (0.5 + n % 10 * 0.04)::DECIMAL(5,2) AS risk_confidence,
+           overall_result <> 'FAIL' AS delivery_cleared, o_orderdate AS created_at
+           FROM so JOIN orders ON o_orderkey = n
+           ORDER BY o_orderdate DESC, 'INS-' || n DESC LIMIT 20""", "so"),
     "metrics_summary": statement(
         """SELECT (SELECT count(*) FROM c) AS total_complaints,
            (SELECT count(*) FROM i) AS total_inspections,
@@ -571,7 +618,7 @@ ORACLE: dict[str, str] = {
                     count(*) FILTER (WHERE gap_classification = 'Critical Gap')
                         AS critical_gaps,
                     {_mean('pdi_catch_rate_pct', 1)} AS avg_catch_rate FROM gapclass)""",
-        "trends", "perf", "profile", "gapclass"),
+        "trends", "perf", "profile", "gapclass", stored=True),
     "gap_context": statement(
         """SELECT category, string_agg('- Complaint: ' || coalesce(category, 'None') || '/' || subcategory
                || ' (count=' || complaint_count || ', PDI catch rate=' || pdi_catch_rate_pct
@@ -580,6 +627,7 @@ ORACLE: dict[str, str] = {
                      ORDER BY complaint_count DESC, subcategory) AS rn FROM gapclass)
            WHERE rn <= 15 GROUP BY category""", "gapclass"),
     "risk_score_sql": statement("SELECT vehicle_id, risk_score FROM risk", "risk"),
+    "risk_score_function": statement("SELECT vehicle_id, risk_score FROM risk", "risk"),
     "risk_score_model": statement(_MODEL, "scorer"),
     "inspection_score": statement("SELECT * FROM scored", "scored"),
     "inspection_score_clamped": statement(
@@ -614,8 +662,6 @@ ORACLE: dict[str, str] = {
               "AND l_quantity <= 4 THEN 'FAIL' ELSE 'PASS' END AS result FROM lineitem)",
               _worst(["PASS", "QUICK_FIX", "FAIL"], "_result")),
     "spike_alert": statement("SELECT * FROM alert", "alert"),
-    "stream_spike_alert": statement(
-        """SELECT * FROM alert
-           WHERE window_end <= (SELECT max(ts) FROM sc) - INTERVAL 1 HOUR""", "alert", "sc"),
+    "stream_spike_alert": statement("SELECT * FROM alert", "alert"),
     "stream_ingest": statement("SELECT * FROM c", "c"),
 }

@@ -14,23 +14,26 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
 from fleetlens.functions import scoring
-from fleetlens.functions.rules import classify_issue, coverage_gap, map_checklist_item
+from fleetlens.functions.rules import (
+    classify_issue, coverage_gap, map_checklist_item, sql_text)
 from fleetlens.operators import correlation as corr
 from fleetlens.operators import dashboard as dash
 from fleetlens.operators import gaps, inspections, recurrence, rollups, topn
 from fleetlens.operators.ids import assign_ids
-from fleetlens.session import checkpoint_dir
+from fleetlens.plans import medallion
+from fleetlens.session import scratch_path
 from fleetlens.sources import sinks
 from fleetlens.sources import staging as stg
 from fleetlens.sources import star_schema as src
-from fleetlens.streaming.alerts import spike_alert
-from fleetlens.streaming.ingest import ingest_stream, read_bronze
+from fleetlens.streaming.alerts import open_windows, spike_alert
+from fleetlens.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LOOKUP_CATEGORY = "Service"
 LOOKUP_TEXT = "System"
+LOOKUP_SUBCATEGORY = "Service Process / Scheduling"
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -121,19 +124,30 @@ def parse_classification(spark, sf):
 @query("load_csv")
 def load_csv(spark, sf):
     """Export the staged complaints as CSV and load them back, blanks as NULL."""
-    folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "csv")
     staged = src.staging_complaints(spark, sf).select(
         "complaint_id", "vin", "complaint_date", "description", "category", "ai_confidence",
         "processed")
     staged.write.csv(folder, header=True)
-    return stg.load_csv(spark, folder, staged.schema, multi_line=False)
+    return stg.load_csv(spark, folder, staged.schema)
+
+
+@query("load_csv_multi_line")
+def load_csv_multi_line(spark, sf):
+    """The same with a line break in every description."""
+    folder = scratch_path(spark, "csv")
+    staged = src.staging_complaints(spark, sf).select(
+        "complaint_id", F.concat(F.col("description"), F.lit("\n"), F.col("category"))
+        .alias("description"))
+    staged.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                     ignoreTrailingWhiteSpace=False)
+    return stg.load_csv(spark, folder, staged.schema, multi_line=True)
 
 
 @query("query_table")
 def query_table(spark, sf):
     """Filtered read of a named table; the gap report has one row per category."""
-    _joined(gaps.gap_analysis(_gaps(spark, sf)), "affected_vehicles").createOrReplaceTempView(
-        "gap_report")
+    gaps.gap_analysis(_gaps(spark, sf)).createOrReplaceTempView("gap_report")
     return sinks.query_table(spark, "gap_report", F.col("severity") == "Critical")
 
 
@@ -178,7 +192,7 @@ def gap_left_anti(spark, sf):
 
 @query("epdi_gaps")
 def epdi_gaps(spark, sf):
-    return _joined(_gaps(spark, sf), "affected_vehicles")
+    return _gaps(spark, sf)
 
 
 @query("epdi_gap_vehicles")
@@ -199,7 +213,7 @@ def complaint_dashboard(spark, sf):
 
 @query("gap_analysis")
 def gap_analysis(spark, sf):
-    return _joined(gaps.gap_analysis(_gaps(spark, sf)), "affected_vehicles")
+    return gaps.gap_analysis(_gaps(spark, sf))
 
 
 @query("delivery_service_link")
@@ -242,16 +256,53 @@ def action_lookup(spark, sf):
     return dash.action_lookup(issues, "specific_issue")
 
 
+# --- stored run --------------------------------------------------------------
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _staged(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {"complaints": src.staging_complaints(spark, sf),
+            "inspections": src.staging_inspections(spark, sf),
+            "deliveries": src.staging_deliveries(spark, sf)}
+
+
+def _stored_run(spark: SparkSession, sf: str) -> str:
+    """Table prefix of a stored run over ``sf``, made once for each session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        prefix = f"run_{uuid.uuid4().hex}_"
+        medallion.run_all(spark, _staged(spark, sf), prefix)
+        _stored[key] = prefix
+    return _stored[key]
+
+
+@query("stored_correlation")
+def stored_correlation(spark, sf):
+    table = f"{_stored_run(spark, sf)}silver_complaint_correlation"
+    return _joined(spark.table(table), "failed_items")
+
+
+@query("stored_detail")
+def stored_detail(spark, sf):
+    return _joined(medallion.stored_detail(spark, _stored_run(spark, sf)), "failed_items")
+
+
+@query("stored_recommendations_ai")
+def stored_recommendations_ai(spark, sf):
+    return medallion.stored_recommendations(spark, _stored_run(spark, sf))
+
+
+@query("stored_counts")
+def stored_counts(spark, sf):
+    prefix = _stored_run(spark, sf)
+    names = ("bronze_complaints", "bronze_inspections", "bronze_deliveries",
+             "silver_complaint_links", "silver_complaint_correlation", "silver_epdi_gap_vehicles")
+    return rollups.table_counts(spark, {n: spark.table(prefix + n) for n in names})
+
+
 @query("gold_checks")
 def gold_checks(spark, sf):
-    detail = _detail(spark, sf)
-    return rollups.table_counts(spark, {
-        "dashboard_rows": _dashboard(spark, sf),
-        "gap_rows": _gaps(spark, sf),
-        "delivery_rows": dash.delivery_service_link(_correlation(spark, sf)),
-        "detail_rows": detail,
-        "reco_rows": dash.checklist_recommendations(detail),
-    })
+    return medallion.gold_checks(spark, _stored_run(spark, sf))
 
 
 @query("ai_priority")
@@ -268,24 +319,47 @@ def gap_pct(spark, sf):
 # --- lookups and reports -----------------------------------------------------
 @query("lookup_gap")
 def lookup_gap(spark, sf):
-    return _joined(gaps.lookup_gap(gaps.gap_analysis(_gaps(spark, sf)), LOOKUP_CATEGORY),
-                   "affected_vehicles")
+    return gaps.lookup_gap(gaps.gap_analysis(_gaps(spark, sf)), LOOKUP_CATEGORY)
+
+
+@query("lookup_gap_class")
+def lookup_gap_class(spark, sf):
+    return gaps.lookup_gap_class(rollups.checklist_gap_analysis(_detail(spark, sf)),
+                                 LOOKUP_CATEGORY, LOOKUP_SUBCATEGORY)
+
+
+@query("lookup_gap_category")
+def lookup_gap_category(spark, sf):
+    return gaps.lookup_gap_class(rollups.checklist_gap_analysis(_detail(spark, sf)),
+                                 LOOKUP_CATEGORY)
 
 
 @query("top_recommendations")
 def top_recommendations(spark, sf):
-    return dash.lookup_recommendations(_recommendations(spark, sf), LOOKUP_TEXT)
+    return dash.lookup_recommendations(
+        dash.enhanced_recommendations(_recommendations(spark, sf)), LOOKUP_TEXT)
 
 
 @query("recent_topn")
 def recent_topn(spark, sf):
     return topn.top_n(
         src.staging_complaints(spark, sf).select(
-            "complaint_id", "vin", "dealer_name", "complaint_date", "category", "ai_confidence",
-            "severity", "status", "description", "created_at"),
+            "complaint_id", "vin", "model", "variant", "customer_name", "dealer_name",
+            "complaint_date", "category", "subcategory", "ai_category", "ai_subcategory",
+            "ai_confidence", "severity", "status", "description", "created_at"),
         [F.desc("created_at"), F.desc("complaint_id")], 20)
 
 
+@query("recent_inspections")
+def recent_inspections(spark, sf):
+    return topn.top_n(
+        src.staging_inspections(spark, sf).select(
+            "inspection_id", "vin", "model", "variant", "dealer_name", "inspector_name",
+            "inspection_date", "overall_result", "risk_score", "risk_confidence",
+            "delivery_cleared", "created_at"),
+        [F.desc("created_at"), F.desc("inspection_id")], 20)
+
+
 @query("metrics_summary")
 def metrics_summary(spark, sf):
     return rollups.metrics_summary(*_cid(spark, sf), _gaps(spark, sf))
@@ -336,9 +410,7 @@ def checklist_gap_analysis(spark, sf):
 
 @query("summary_cards")
 def summary_cards(spark, sf):
-    cards = rollups.summary_cards(
-        complaint_trends(spark, sf), dealer_performance(spark, sf),
-        vehicle_risk_profile(spark, sf), checklist_gap_analysis(spark, sf))
+    cards = medallion.summary_cards(spark, _stored_run(spark, sf))
     return cards.select("complaints.*", "dealers.*", "vehicles.*", "gaps.*")
 
 
@@ -366,6 +438,21 @@ def risk_score_sql(spark, sf):
         ).alias("risk_score"))
 
 
+@query("risk_score_function")
+def risk_score_function(spark, sf):
+    """The score by its SQL function, from SQL text."""
+    scoring.register_score_defect_risk(spark)
+    _scorer_input(spark, sf).createOrReplaceTempView("scorer_input")
+    engine, brake, electrical = (
+        sql_text(i) for i in (V.ENGINE_ITEM, V.BRAKE_ITEM, V.ELECTRICAL_ITEM))
+    return spark.sql(f"""
+        SELECT vehicle_id, score_defect_risk(
+            INT(fail_count), array_contains(failed_items, {engine}),
+            array_contains(failed_items, {brake}), array_contains(failed_items, {electrical}),
+            dealer_id, delivery_condition) AS risk_score
+        FROM scorer_input""")
+
+
 @query("risk_score_model")
 def risk_score_model(spark, sf):
     rows = _scorer_input(spark, sf).withColumn("failed_items", F.to_json("failed_items"))
@@ -428,20 +515,21 @@ def batch_spike_alert(spark, sf):
 
 @query("stream_spike_alert")
 def stream_spike_alert(spark, sf):
-    """The alert as a stream: only windows the watermark has closed."""
-    base = f"{checkpoint_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    """The alert as a stream, closed by a batch pass over the windows still open at its end."""
+    base = scratch_path(spark, "alerts")
     alerts = spike_alert(src.stream_staging_complaints(spark, sf))
     run = (alerts.writeStream.format("parquet").outputMode("append")
            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
            .start(f"{base}/rows"))
     run.awaitTermination()
-    return spark.read.schema(alerts.schema).parquet(f"{base}/rows")
+    streamed = spark.read.schema(alerts.schema).parquet(f"{base}/rows")
+    return streamed.unionByName(open_windows(src.staging_complaints(spark, sf)))
 
 
 @query("stream_ingest")
 def stream_ingest(spark, sf):
-    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    table = f"ingest_{uuid.uuid4().hex}"
     ingest_stream(src.stream_staging_complaints(spark, sf), "complaint_id",
-                  [*stg.COMPLAINT_COLUMNS], stg.to_bronze_complaints,
-                  f"{base}/rows", f"{base}/state").awaitTermination()
-    return read_bronze(spark, f"{base}/rows", stg.BRONZE_COMPLAINTS)
+                  [*stg.COMPLAINT_COLUMNS], stg.to_bronze_complaints, table,
+                  scratch_path(spark, "ingest")).awaitTermination()
+    return sinks.fresh_table(spark, table)

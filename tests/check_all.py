@@ -19,7 +19,9 @@ def main(sf_dir: str = "/root/testdata/sf0.01", *names: str) -> int:
     for name in names or queries:
         start = time.time()
         try:
-            found = differences(queries[name](spark, sf_dir), con, oracle[name])
+            result = queries[name](spark, sf_dir)
+            found = differences(result, con, oracle[name]) if name in oracle else (
+                [] if result.count() else ["no rows"])
         except Exception as e:  # report and go on with the next query
             found = [f"{type(e).__name__}: {str(e)[:1500]}"]
         bad += bool(found)

@@ -55,3 +55,10 @@ def differences(df, con, sql: str) -> list[str]:
         problems.append(f"{len(extra)} rows only in Spark, {len(missing)} only in DuckDB "
                         f"(of {sum(want.values())}); {names}: {extra[:2]} / {missing[:2]}")
     return problems
+
+
+def in_order(con, sql: str, columns: list[str]) -> list[tuple]:
+    """Rows of a statement in its order, with the columns in the order given."""
+    result = con.execute(sql)
+    at = [[c[0] for c in result.description].index(n) for n in columns]
+    return [tuple(r[i] for i in at) for r in result.fetchall()]

@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as contract
-from tests.compare import connect, differences
-
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+from fleetlens.plans.oracle import ORACLE
+from fleetlens.plans.registry import QUERIES
+from tests.compare import connect, differences, in_order
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +22,28 @@ def test_query(spark, sf_dir, duck, name):
     assert differences(QUERIES[name](spark, sf_dir), duck, ORACLE[name]) == []
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE.items() <= contract.oracle_sql().items()
+
+
+@pytest.mark.parametrize("name, order", [
+    ("gap_analysis", "complaint_count DESC, gap_category"),
+    ("query_table", "complaint_count DESC, gap_category"),
+    ("checklist_recommendations", "priority, total_complaints DESC, what_customers_complain_about"),
+    ("top_recommendations", "priority DESC"),
+    ("distinct_dealers", "dealer_id"),
+    ("distinct_dealer_names", "dealer_code NULLS FIRST, dealer_name NULLS FIRST"),
+    ("distinct_categories", "category NULLS FIRST, subcategory NULLS FIRST"),
+    ("recent_topn", "created_at DESC, complaint_id DESC"),
+    ("recent_inspections", "created_at DESC, inspection_id DESC"),
+])
+def test_order_of_rows(spark, sf_dir, duck, name, order):
+    df = QUERIES[name](spark, sf_dir)
+    want = in_order(duck, f"SELECT * FROM ({ORACLE[name]}) ORDER BY {order}", df.columns)
+    assert [tuple(r) for r in df.collect()] == want and want
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert "complaint_id" in df.columns and df.count() > 0

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens import session
 from fleetlens.operators import dashboard, ids, rollups, topn
 from fleetlens.plans import medallion
 from fleetlens.sources import sinks, staging
@@ -46,10 +47,10 @@ def test_csv_blank_is_null(spark, tmp_path):
                            T.StructField("n", T.IntegerType())])
     rows = sorted(map(tuple, staging.load_csv(spark, str(tmp_path), schema).collect()))
     assert rows == [(1, "a, b", 2), (2, None, None), (3, None, 4)]
-    split = staging.load_csv(spark, str(tmp_path), schema, multi_line=False)
-    assert sorted(map(tuple, split.collect())) == rows
+    whole = staging.load_csv(spark, str(tmp_path), schema, multi_line=True)
+    assert sorted(map(tuple, whole.collect())) == rows
     (tmp_path / "y.csv").write_text('id,name,n\n4,"two\nlines ""quoted""",5\n')
-    both = staging.load_csv(spark, str(tmp_path), schema).where("id = 4").first()
+    both = staging.load_csv(spark, str(tmp_path), schema, multi_line=True).where("id = 4").first()
     assert tuple(both) == (4, 'two\nlines "quoted"', 5)
 
 
@@ -140,14 +141,15 @@ def test_stored_pipeline(spark, sf_dir):
     staged = {"complaints": src.staging_complaints(spark, sf_dir),
               "inspections": src.staging_inspections(spark, sf_dir),
               "deliveries": src.staging_deliveries(spark, sf_dir)}
-    marked = medallion.run_bronze(staged, "again_")
-    assert all(df.where("NOT processed").count() == 0 for df in marked.values())
-    medallion.run_bronze(marked, "again_")
     silver, gold = (df.first() for df in medallion.run_all(spark, staged, "p_"))
+    tables = [t.name for t in spark.catalog.listTables() if t.name.startswith("p_")]
+    before = {t: spark.table(t).count() for t in tables}
+    medallion.run_all(spark, staged, "p_")
+    assert {t: spark.table(t).count() for t in tables} == before
     taken = staged["complaints"].where("NOT processed").count()
     assert silver.bad_rows_remaining == 0
     assert silver.corr_rows == silver.distinct_complaints <= taken
-    assert spark.table("again_bronze_complaints").count() == taken
+    assert before["p_bronze_complaints"] == taken
     assert gold.detail_rows == taken and gold.gap_rows == silver.gap_rows
     reco = spark.table("p_gold_checklist_recommendations")
     ai = spark.table("p_gold_checklist_recommendations_ai")
@@ -158,3 +160,28 @@ def test_stored_pipeline(spark, sf_dir):
         "specific_issue <> 'Uncategorised - Review Needed'").count()
     assert spark.table("p_gold_complaint_dashboard").agg(F.sum("total_complaints")).first()[0] == (
         spark.table("p_silver_complaint_correlation").where("dealer_id IS NOT NULL").count())
+    medallion.drop_tables(spark, "p_")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("p_")]
+    with pytest.raises(ValueError):
+        medallion.drop_tables(spark, "")
+
+
+def test_shared_folder(spark, monkeypatch):
+    path = session.scratch_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    spark.range(3).write.parquet(path)
+    session.remove_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster)
