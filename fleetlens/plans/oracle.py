@@ -591,6 +591,11 @@ ORACLE: dict[str, str] = {
         "c", "i", "d", "gaps"),
     "dealer_risk_counts": statement(
         "SELECT dealer_risk_flag, count(*) AS cnt FROM dash GROUP BY ALL", "dash"),
+    "dealer_risk_map": statement(
+        """SELECT nullif(count(*) FILTER (WHERE dealer_risk_flag = 'Normal'), 0) AS normal,
+           nullif(count(*) FILTER (WHERE dealer_risk_flag = 'Monitor'), 0) AS monitor,
+           nullif(count(*) FILTER (WHERE dealer_risk_flag = 'High Risk Dealer'), 0) AS high_risk
+           FROM dash""", "dash"),
     "distinct_dealers": statement("SELECT DISTINCT dealer_id FROM dash", "dash"),
     "distinct_categories": statement(
         "SELECT DISTINCT category, subcategory FROM gapclass", "gapclass"),

@@ -370,6 +370,15 @@ def dealer_risk_counts(spark, sf):
     return rollups.dealer_risk_counts(_dashboard(spark, sf))
 
 
+@query("dealer_risk_map")
+def dealer_risk_map(spark, sf):
+    """The same counts by their keys; a flag that no group has is NULL."""
+    counts = rollups.dealer_risk_map(rollups.dealer_risk_counts(_dashboard(spark, sf)))
+    flags = {"normal": "Normal", "monitor": "Monitor", "high_risk": "High Risk Dealer"}
+    return counts.select(*[
+        F.try_element_at("dealer_risk", F.lit(flag)).alias(name) for name, flag in flags.items()])
+
+
 @query("distinct_dealers")
 def distinct_dealers(spark, sf):
     return topn.distinct_values(
