@@ -1,20 +1,15 @@
-"""Intermediate tables in the folder that driver and executors share (spark.checkpoint.dir).
-
-A stored table cuts the lineage: executors may be lost at any time and the plan restarts from the table.
-Where the setting is absent, as in local tests, one temporary folder is made for the session and
-set as its checkpoint folder.
-"""
+"""Intermediate tables in the shared folder, and the package on its way to the workers."""
 
 from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+from fleetlens.session import scratch_path
+
 _shipped: set[str] = set()
 
 
@@ -28,28 +23,11 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = tempfile.mkdtemp(prefix="fleetlens-shared-")
-        spark.conf.set("spark.checkpoint.dir", given)
-        spark.sparkContext.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back, with the same schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    """Write the frame to the shared folder and read it back, with the same schema.
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables stored so far; frames that read them are void afterwards."""
-    jvm = spark.sparkContext._jvm
-    for path in _made:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _made.clear()
+    A stored table cuts the lineage: executors may be lost at any time and the plan restarts from the table.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

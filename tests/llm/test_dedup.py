@@ -151,3 +151,64 @@ def test_components_of_a_path_a_star_and_loops(llm_spark):
     edges = llm_spark.createDataFrame([*path, *star, (7, 7), (None, 3), (900, 900), (41, 40)], "a long, b long")
     got = {r.node: r.root for r in components(edges.repartition(4)).collect()}
     assert got == {**{k: 0 for k in range(1, 42)}, **{k: 500 for k in range(501, 560)}}
+
+
+def overlap(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_linked_and_others_are_not(llm_spark):
+    docs = llm_spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    component = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert len(component) == docs.count()
+    sets = {}
+    for r in docs.collect():
+        w = words_of(r.text.lower())
+        sets[r.doc_id] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and overlap(sets[a], sets[b]) >= 0.8]
+    assert len(near) > 50
+    assert sum(component[a] == component[b] for a, b in near) >= 0.95 * len(near)
+    groups = {}
+    for i, c in component.items():
+        groups.setdefault(c, []).append(i)
+    for c, members in groups.items():
+        assert c == min(members)
+        for i in members if len(members) > 1 else ():
+            assert max(overlap(sets[i], sets[k]) for k in members if k != i) > 0.6
+
+
+def test_similar_texts_of_every_length(llm_spark):
+    """One word changed at the end: linked from the length on at which 0.8 of the shingles stay, at 0.9 for sure."""
+    rows = []
+    for n in (6, 12, 18, 30, 60, 200):
+        words = [f"w{n}x{k}" for k in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "other"]))]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [got[k + 1] == k for k in (0, 6, 8, 10)] == [False, True, True, True]
+    assert all(got[k] == k for k in range(0, 12, 2))
+
+
+def test_similar_texts_of_awkward_rows(odd_docs, no_docs):
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(odd_docs).collect()}
+    assert {(4, 4), (5, 4), (6, 4), (None, 4), (7, 7), (8, 7), (None, 7), (1, 1), (3, 1), (9, 9), (12, 12)} <= got
+    assert simhash.similar_documents(no_docs).collect() == []
+    kept = simhash.drop_similar(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert not {5, 6, 8, 3} & {r.doc_id for r in kept.collect()}
+
+
+@pytest.mark.parametrize("list_block", [2, 4096])
+def test_a_large_group_of_similar_texts_is_one_component(llm_spark, list_block):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(150)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.component_id for r in simhash.similar_documents(docs, list_block=list_block).collect()}
+    assert got == {0}
