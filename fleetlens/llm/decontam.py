@@ -5,8 +5,8 @@ vocabulary.  Words of a text that no item has can't lie in a match, so only runs
 through it; the length of the longest match that ends at each word decides.  A match of `window` words or more, or
 of a whole shorter item, is an occurrence.  Matched words are compared byte by byte before they count.
 
-Items go to automata of bounded size, by a hash of their id; one automaton after the other passes over
-the documents in the same stage, without a shuffle.
+Items go to automata of bounded size, by a hash of their id and text; up to AT_ONCE of them pass over a block of documents one after the
+other, without a shuffle.  Should the items need more, the documents are stored between passes.
 
 Defined results: a null, empty or wordless text has no hit; a null, empty or wordless item occurs nowhere.  Items without an id
 are found but not listed.  Repeated items count once by their id.  Repeated documents give repeated rows.
@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bytewords as bw
+from fleetlens.llm.scratch import store
+
+AT_ONCE = 8
 
 
 class Automaton:
@@ -195,11 +198,15 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, columns: list, item_col: str
     shards = automata(benchmark, item_col, bench_text, window, shard_bytes)
     if not shards:  # the words are counted all the same
         shards = [docs.sparkSession.sparkContext.broadcast(Automaton([], window))]
-    for shard in shards:
-        def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(shards), AT_ONCE):
+        def run(batches: Iterator[pa.RecordBatch], group=shards[lo:lo + AT_ONCE]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in bw.blocks(batch, "_text"):
-                    yield _scan(shard.value, block)
+                    for shard in group:
+                        block = _scan(shard.value, block)
+                    yield block
+        if lo:
+            rows = store(rows, "scanned")
         rows = rows.mapInArrow(run, rows.schema)
     return rows
 
