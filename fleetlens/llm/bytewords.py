@@ -1,7 +1,7 @@
 """Words of a whole Arrow column of texts as numpy arrays, without a Python object per word.
 
-A block is a slice of an Arrow batch.  Its UTF-8 bytes are scanned once; words are described by their
-start, length and document.  A null text is an empty text.
+A block is a slice of an Arrow batch.  Its UTF-8 bytes are scanned once; words are described by
+their start, length and document.  A null text is an empty text.
 """
 
 from __future__ import annotations

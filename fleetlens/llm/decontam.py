@@ -1,15 +1,18 @@
 """Benchmark passages in documents, by a generalised suffix automaton of the test items (operator 3).
 
-Items and texts are lower-cased (A-Z) and cut into words.  The automaton takes all items, each word by its number in the items'
-vocabulary.  Words of a text that no item has can't lie in a match, so only runs of known words are streamed
-through it; the length of the longest match that ends at each word decides.  A match of `window` words or more, or
-of a whole shorter item, is an occurrence.  Matched words are compared byte by byte before they count.
-
-Items go to automata of bounded size, by a hash of their id and text; up to AT_ONCE of them pass over a block of documents one after the
-other, without a shuffle.  Should the items need more, the documents are stored between passes.
-
-Defined results: a null, empty or wordless text has no hit; a null, empty or wordless item occurs nowhere.  Items without an id
-are found but not listed.  Repeated items count once by their id.  Repeated documents give repeated rows.
+Items and texts are lower-cased (A-Z) and cut into words.  The automaton takes all items, each word
+by its number in the items' vocabulary.  Words of a text that no item has can't lie in a match, so
+only runs of known words are streamed through it; the length of the longest match that ends at each
+word decides.  A match of `window` words or more, or of a whole shorter item, is an occurrence.
+Matched words are compared byte by byte before they count.
+
+Items go to automata of bounded size, by a hash of their id and text; up to AT_ONCE of them pass
+over a block of documents one after the other, without a shuffle.  Should the items need more, the
+documents are stored between passes.
+
+Defined results: a null, empty or wordless text has no hit; a null, empty or wordless item occurs
+nowhere.  Items without an id are found but not listed.  Repeated items count once by their id.
+Repeated documents give repeated rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,14 @@
 """Exact duplicates by progressive refinement (operator 5).
 
-Texts are grouped by byte length, then by a hash of their first characters, and only rows of groups that still have two
-members get a SHA-256 of the whole text.  Lengths and prefix hashes are counted (combined before the
-shuffle), so a length or a text that a third of all rows share is one row per task; the joins back to the
-rows are equi-joins that Spark may split.
-
-Defined results: a null text counts as empty.  Of equal texts the row with the largest id stays; null ids count in
-group_size, are never the id that stays while another exists, and have kept = true only where all ids are null.
-Rows that repeat the id that stays are all marked kept.  Other columns play no part and clash with nothing.
+Texts are grouped by byte length, then by a hash of their first characters, and only rows of groups
+that still have two members get a SHA-256 of the whole text.  Lengths and prefix hashes are counted
+(combined before the shuffle), so a length or a text that a third of all rows share is one row per
+task; the joins back to the rows are equi-joins that Spark may split.
+
+Defined results: a null text counts as empty.  Of equal texts the row with the largest id stays;
+null ids count in group_size, are never the id that stays while another exists, and have kept = true
+only where all ids are null. Rows that repeat the id that stays are all marked kept.  Other columns
+play no part and clash with nothing.
 """
 
 from __future__ import annotations

@@ -1,15 +1,17 @@
 """Language by nearest centroid (operator 8).
 
-A text is a vector of hashed character trigrams (UTF-8 bytes of letters, A-Z lower-cased, everything else one space), damped
-counts times inverse document frequency, of length one.  Each language has several centroids, made by spherical
-k-means over a bounded sample; a text gets the language of the centroid with the largest cosine.  It is marked as rejected where that
-cosine is below what nearly all training texts of the centroid reach.
-
-Document frequencies count every training document, in Spark; only a vector of fixed size returns.  The sample has at most `most`
-documents of each language.  Vectors, not texts, go to the driver.
-
-Defined results: `und` with score 0 for a null text or one without a letter, and for every text if there is nothing to learn from.
-Rows with a null language teach nothing.  Ties go to the language that sorts first.  Repeated rows score alike; other columns play no part.
+A text is a vector of hashed character trigrams (UTF-8 bytes of letters, A-Z lower-cased, everything
+else one space), damped counts times inverse document frequency, of length one.  Each language has
+several centroids, made by spherical k-means over a bounded sample; a text gets the language of the
+centroid with the largest cosine.  It is marked as rejected where that cosine is below what nearly
+all training texts of the centroid reach.
+
+Document frequencies count every training document, in Spark; only a vector of fixed size returns.
+The sample has at most `most` documents of each language.  Vectors, not texts, go to the driver.
+
+Defined results: `und` with score 0 for a null text or one without a letter, and for every text if
+there is nothing to learn from. Rows with a null language teach nothing.  Ties go to the language
+that sorts first.  Repeated rows score alike; other columns play no part.
 """
 
 from __future__ import annotations

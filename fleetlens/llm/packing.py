@@ -1,16 +1,19 @@
 """Documents packed into token sequences of a fixed window (operator 2).
 
-A document is its token ids and one end id.  It is cut into full windows and a tail; a full window is a sequence of its own.  Tails are
-packed by length only: their histogram (one count for each length below the window) goes to the driver.  Combinations of one, two or
-three lengths that fill the window exactly are enumerated, non-negative least squares finds how often to repeat
-each so that the histogram is met, the solution is rounded and cut to what is there, and the remaining counts are packed
-greedily, exact fills first.  The plan lists patterns with their repeats, so its size depends on the window alone.
-
-Every piece then finds its place by arithmetic: pieces of a length are numbered, in small groups whose sizes are summed up,
-and a number falls into one range of the plan.  No sequence is put together in one place.
-
-Defined results: a null or empty text is the end id alone.  Repeated rows, and rows with a null id, are packed one by one.  An empty
-table gives no piece.  Other columns play no part.
+A document is its token ids and one end id.  It is cut into full windows and a tail; a full window
+is a sequence of its own.  Tails are packed by length only: their histogram (one count for each
+length below the window) goes to the driver.  Combinations of one, two or three lengths that fill
+the window exactly are enumerated, non-negative least squares finds how often to repeat each so that
+the histogram is met, the solution is rounded and cut to what is there, and the remaining counts are
+packed greedily, exact fills first.  The plan lists patterns with their repeats, so its size depends
+on the window alone.
+
+Every piece then finds its place by arithmetic: pieces of a length are numbered, in small groups
+whose sizes are summed up, and a number falls into one range of the plan.  No sequence is put
+together in one place.
+
+Defined results: a null or empty text is the end id alone.  Repeated rows, and rows with a null id,
+are packed one by one.  An empty table gives no piece.  Other columns play no part.
 """
 
 from __future__ import annotations

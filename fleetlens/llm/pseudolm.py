@@ -1,16 +1,20 @@
 """Masked pseudo-likelihood of whole texts (operator 7).
 
-A word's probability given its neighbours is that of its class, from a network over the `WINDOW` classes on either side, times that of the word
-within its class, from corpus counts.  The most frequent words are classes of their own; the others fall into classes by their ending.  The
-score of a text is the sum of the logarithms over all its words, each masked in turn.
-
-Counts cover every word of every document: they are added up in a block, then in Spark.  Of them the driver gets the `listed` most frequent
-words and one row for each class; words beyond the list share what their class has left.  The network is trained where
-the texts are: in each round every task starts from the same weights, takes steps over positions drawn from all of its documents (one in
-`stride`, other ones in each round), and the weights are averaged, number by number, in Spark.  So training sees a fixed share of all data.
-
-Defined results: a null, empty or wordless text has n_tokens 0, log_prob 0 and no mean.  An empty table gives an empty result.  Repeated rows
-count as often as they are there and score alike; other columns play no part.
+A word's probability given its neighbours is that of its class, from a network over the `WINDOW`
+classes on either side, times that of the word within its class, from corpus counts.  The most
+frequent words are classes of their own; the others fall into classes by their ending.  The score of
+a text is the sum of the logarithms over all its words, each masked in turn.
+
+Counts cover every word of every document: they are added up in a block, then in Spark.  Of them the
+driver gets the `listed` most frequent words and one row for each class; words beyond the list share
+what their class has left.  The network is trained where the texts are: in each round every task
+starts from the same weights, takes steps over positions drawn from all of its documents (one in
+`stride`, other ones in each round), and the weights are averaged, number by number, in Spark.  So
+training sees a fixed share of all data.
+
+Defined results: a null, empty or wordless text has n_tokens 0, log_prob 0 and no mean.  An empty
+table gives an empty result.  Repeated rows count as often as they are there and score alike; other
+columns play no part.
 """
 
 from __future__ import annotations

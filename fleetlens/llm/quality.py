@@ -1,19 +1,21 @@
 """Text quality from positive and unlabelled rows (operator 10).
 
-Trusted positives are training rows with label 1; the unlabelled rows are a sample of all training documents, whatever
-their label.  A small network over surface features of the whole text minimises the
-non-negative unbiased risk
+Trusted positives are training rows with label 1; the unlabelled rows are a sample of all training
+documents, whatever their label.  A small network over surface features of the whole text minimises
+the non-negative unbiased risk
 
     prior * loss(positives as 1) + max(0, loss(unlabelled as 0) - prior * loss(positives as 0))
 
-with the class prior estimated from the labelled training rows.  Its output is then calibrated on labelled training rows so
-that a score is a probability.  Features are scale-free shares, so a long text is judged as a whole; no id, language or source is read.
+with the class prior estimated from the labelled training rows.  Its output is then calibrated on
+labelled training rows so that a score is a probability.  Features are scale-free shares, so a long
+text is judged as a whole; no id, language or source is read.
 
-The samples are bounded (`most` rows each) and their features, not their texts, go to the driver.  Scoring is one pass.
+The samples are bounded (`most` rows each) and their features, not their texts, go to the driver.
+Scoring is one pass.
 
-Defined results: a null text counts as empty and gets the score of an empty text; ties and repeated rows score alike.  Without
-positives or without unlabelled rows every document gets the prior (1 if there are no labels) as score.
-Other columns play no part.
+Defined results: a null text counts as empty and gets the score of an empty text; ties and repeated
+rows score alike.  Without positives or without unlabelled rows every document gets the prior (1 if
+there are no labels) as score. Other columns play no part.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
-"""The registered queries of the operators: whole tables, production parameters, digests of the operators' outputs."""
+"""The registered queries of the operators: whole tables, production parameters, digests of the
+operators' outputs.
+"""
 
 from __future__ import annotations
 

@@ -1,18 +1,21 @@
 """Repeated word windows across documents (operator 1).
 
-Every window of `size` consecutive words gets a rolling Rabin-Karp hash modulo 2**64 over hashes of its words.  Windows are first
-counted inside a block of some megabytes of text; what the block can decide itself (a smaller id
-with the same window in the block) is decided there.  For each window of a block, the occurrences in its smallest
-document travel on, packed by hash range into one binary row for each range.  A range therefore
-gets at most one document for each window and block, however often a window occurs.  There the smallest id of
-all is found, and occurrences in other documents are to be removed.  Positions return, again packed, to the part
-of the documents that theirs belongs to, and merge into maximal intervals.
-
-Equal hashes count as equal windows; n windows are expected to give n**2 / 2**65 false matches (0.0005 for 130 million).
-
-Defined results: a null or empty text has no words; it keeps the empty text.  Rows with a null id keep all words and remove
-none.  Rows that repeat an id are one document: windows shared only among them stay.  Where such rows
-differ in text, each loses the positions found for any of them.  Other columns play no part.
+Every window of `size` consecutive words gets a rolling Rabin-Karp hash modulo 2**64 over hashes of
+its words.  Windows are first counted inside a block of some megabytes of text; what the block can
+decide itself (a smaller id with the same window in the block) is decided there.  For each window of
+a block, the occurrences in its smallest document travel on, packed by hash range into one binary
+row for each range.  A range therefore gets at most one document for each window and block, however
+often a window occurs.  There the smallest id of all is found, and occurrences in other documents
+are to be removed.  Positions return, again packed, to the part of the documents that theirs belongs
+to, and merge into maximal intervals.
+
+Equal hashes count as equal windows; n windows are expected to give n**2 / 2**65 false matches
+(0.0005 for 130 million).
+
+Defined results: a null or empty text has no words; it keeps the empty text.  Rows with a null id
+keep all words and remove none.  Rows that repeat an id are one document: windows shared only among
+them stay.  Where such rows differ in text, each loses the positions found for any of them.  Other
+columns play no part.
 """
 
 from __future__ import annotations

@@ -1,13 +1,13 @@
 """Token ids and token counts of whole texts (operator 9; also used by packing).
 
-Batches are cut by bytes, not by rows.  Texts are split where no token can reach across: before white space that
-follows another character.  A unit (white space and what follows it) encodes alone as it does in its text, so each unit is
-encoded once for a block and the ids or counts are gathered for all its places; a worker also
-remembers units between blocks, in tables of fixed size.  A single text that is longer than a block goes through in
-pieces that end at unit borders.
-
-Units are told apart by 64 bits of hash.  The vocabulary file is a parameter; it must be readable under the same path
-on every machine.  A null text is an empty text.  Other columns play no part.
+Batches are cut by bytes, not by rows.  Texts are split where no token can reach across: before
+white space that follows another character.  A unit (white space and what follows it) encodes alone
+as it does in its text, so each unit is encoded once for a block and the ids or counts are gathered
+for all its places; a worker also remembers units between blocks, in tables of fixed size.  A single
+text that is longer than a block goes through in pieces that end at unit borders.
+
+Units are told apart by 64 bits of hash.  The vocabulary file is a parameter; it must be readable
+under the same path on every machine.  A null text is an empty text.  Other columns play no part.
 """
 
 from __future__ import annotations

@@ -1,16 +1,19 @@
 """Toxic texts by a weighted lexicon (operator 6).
 
-Texts are folded: A-Z and accented Latin capitals to lower case, look-alike letters of other scripts and full-width letters to Latin
-ones, digits that stand for letters to those letters, everything that is no letter to a space.  Entries of the lexicon are
-beginnings of words, matched by one Aho-Corasick automaton; a match inside an exception phrase doesn't count.  The summed weights,
-plain and normalised by length, go through a calibrated logistic curve.
-
-The lexicon starts from a few insults and learns more from labelled training rows: beginnings of words that occur in toxic texts and
-(nearly) never in others.  Candidates are counted in Spark over a bounded sample; among them a greedy cover
-picks, until every toxic text of the sample holds some entries or no candidate helps several of them.
-
-Defined results: a null or empty text has no match and scores like one.  Without labels of both kinds a fixed curve is used.  Ties in
-learning go to the longer, then to the first entry in order.  Repeated rows score alike; other columns play no part.
+Texts are folded: A-Z and accented Latin capitals to lower case, look-alike letters of other scripts
+and full-width letters to Latin ones, digits that stand for letters to those letters, everything
+that is no letter to a space.  Entries of the lexicon are beginnings of words, matched by one Aho-
+Corasick automaton; a match inside an exception phrase doesn't count.  The summed weights, plain and
+normalised by length, go through a calibrated logistic curve.
+
+The lexicon starts from a few insults and learns more from labelled training rows: beginnings of
+words that occur in toxic texts and (nearly) never in others.  Candidates are counted in Spark over
+a bounded sample; among them a greedy cover picks, until every toxic text of the sample holds some
+entries or no candidate helps several of them.
+
+Defined results: a null or empty text has no match and scores like one.  Without labels of both
+kinds a fixed curve is used.  Ties in learning go to the longer, then to the first entry in order.
+Repeated rows score alike; other columns play no part.
 """
 
 from __future__ import annotations
