@@ -61,12 +61,19 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, listed: int) -> dict[str, np.ndarray]:
-    """Hashes of the listed words (sorted), their class and log share of it; for each class the log share of an unlisted word in
-    it, and of the class."""
-    top = counts.orderBy(F.desc("n"), "word").limit(listed).collect()
-    known = counts.sparkSession.createDataFrame([(r.word,) for r in top], "word long")
-    rest = counts.join(F.broadcast(known), "word", "left_anti").groupBy("ending").agg(
-        F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+    """Hashes of the listed words (sorted), their class and log share of it; for each class the log share of an unlisted
+    word in it, and of the class.
+
+    Listed are the most frequent words, down to a frequency at which they are at most `listed`.
+    """
+    step = F.floor(F.log2("n") * 16)  # of their frequency; one row for each goes to the driver
+    sizes = {r.step: r.words for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}
+    least, words = max(sizes, default=0) + 1, 0
+    while least - 1 >= min(sizes, default=1) and words + sizes.get(least - 1, 0) <= listed:
+        least -= 1
+        words += sizes.get(least, 0)
+    top = sorted(counts.where(step >= least).collect(), key=lambda r: (-r.n, r.word))
+    rest = counts.where(step < least).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     own = np.array([k if k < OWN else r.ending for k, r in enumerate(top)], np.int64)
     n = np.array([r.n for r in top], float)
     total = np.bincount(own, n, CLASSES)
