@@ -37,7 +37,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashed = store(rows.join(prefixes, ["_bytes", "_prefix"], "left").select(
         "_id", "_carry", F.when(F.col("_shared"), F.sha2("_text", 256)).alias("_sha")), "hashed")
     twins = hashed.where("_sha is not null")
-    groups = twins.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # stored, so that both sides of the join are plain shuffles and a hot text can be split
+    groups = store(twins.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     alone = hashed.where("_sha is null").select(
         "_id", "_carry", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     found = alone.unionByName(twins.join(groups, "_sha").select("_id", "_carry", "keep_id", "group_size"))
