@@ -180,7 +180,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     ranges = plan_ranges(patterns)
 
     # number the pieces of each length, in groups whose sizes are summed up
-    groups = 1 + sum(counts.values()) // group_rows
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(tasks, sum(counts.values()) // group_rows)
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("_id", "start"), F.lit(groups)))
     sizes = pieces.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = sizes.select("length", "group", (F.sum("n").over(
