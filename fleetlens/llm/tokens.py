@@ -28,7 +28,7 @@ _encoders: dict[tuple[str, bool], UnitEncoder] = {}
 class UnitEncoder:
     """Counts or ids of units, with a direct-mapped table of units seen before."""
 
-    def __init__(self, path: str, with_ids: bool, bits: int = 19, pool: int = 3_000_000) -> None:
+    def __init__(self, path: str, with_ids: bool, bits: int = 20, pool: int = 4_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has its own tasks
         from tokenizers import Tokenizer
 
