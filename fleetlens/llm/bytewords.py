@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 PAD = 40  # readable bytes behind the last word, for lane-wise hashing
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
