@@ -212,3 +212,30 @@ def test_a_large_group_of_similar_texts_is_one_component(llm_spark, list_block):
     docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.component_id for r in simhash.similar_documents(docs, list_block=list_block).collect()}
     assert got == {0}
+
+
+def similar_pairs(rows, size=5):
+    """Smallest id reachable over pairs of texts whose sets of shingles overlap by 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        w = words_of(text.lower())
+        sets.append({tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))})
+    least = {i: i for i, _ in rows}
+    pairs = [(a[0], b[0]) for a, x in zip(rows, sets) for b, y in zip(rows, sets)
+             if a[0] < b[0] and 10 * len(x & y) >= 8 * len(x | y)]
+    for _ in rows:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_texts_that_repeat_a_line_are_linked_by_their_sets_only(llm_spark):
+    line, rows = "this very line of ten words comes again and again ", []
+    for repeats, own in ((20, 300), (50, 150), (50, 20)):
+        for _ in range(6):
+            k = len(rows)
+            rows.append((k, line * repeats + " ".join(f"own{k}x{j}" for j in range(own))))
+    rows += [(90, line * 30), (91, line * 7)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == similar_pairs(rows) == {k: k for k in range(18)} | {90: 90, 91: 90}
