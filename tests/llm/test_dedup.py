@@ -239,3 +239,32 @@ def test_texts_that_repeat_a_line_are_linked_by_their_sets_only(llm_spark):
     docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
     assert got == similar_pairs(rows) == {k: k for k in range(18)} | {90: 90, 91: 90}
+
+
+@pytest.mark.parametrize("list_block", [2, 4096])
+def test_similar_pairs_of_every_length_are_complete(llm_spark, list_block):
+    """Words appended and changed: every pair at 0.8 or more and no other, with a line that many share."""
+    rng, rows = random.Random(11), []
+    for n in (8, 9, 12, 18, 22, 30, 44, 60, 104, 204, 504):
+        for _ in range(6):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            if rng.random() < 0.5:
+                words += "a line of eight words that many share".split()
+            rows.append((len(rows), " ".join(words)))
+            more = max(1, round(rng.choice([0.1, 0.24, 0.26]) * (len(words) - 4)))
+            rows.append((len(rows), " ".join(words + [f"m{len(rows)}x{j}" for j in range(more)])))
+            for at in range(0, rng.randint(0, len(words) // 40 + 1)):
+                words[rng.randrange(len(words))] = f"c{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    want = similar_pairs(rows)
+    assert 40 < sum(i != c for i, c in want.items()) < 130
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, list_block=list_block).collect()}
+    assert got == want
+
+
+def test_appending_one_word_to_eight_is_similar(llm_spark):
+    docs = llm_spark.createDataFrame([(k, f"a{k // 2} b c d e f g h" + " i" * (k % 2)) for k in range(40)],
+                                     "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == {k: k // 2 * 2 for k in range(40)}
