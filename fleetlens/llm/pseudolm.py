@@ -6,8 +6,9 @@ frequent words are classes of their own; the others fall into classes by their e
 a text is the sum of the logarithms over all its words, each masked in turn.
 
 Counts cover every word of every document: they are added up in a block, then in Spark.  Of them the
-driver gets the `listed` most frequent words and one row for each class; words beyond the list share
-what their class has left.  The network is trained where the texts are: in each round every task
+driver gets the SHARED most frequent words and one row for each class; the other words, each at most
+about 1 / SHARED of all, meet their counts in a join, so every word scores with its own count.  A
+model that is fitted with `listed` words has no counts beyond them: these share what their class has left.  The network is trained where the texts are: in each round every task
 starts from the same weights, takes steps over positions drawn from all of its documents (one in
 `stride`, other ones in each round), and the weights are averaged, number by number, in Spark.  So
 training sees a fixed share of all data.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ CLASSES = OWN + ENDINGS
 _SHIFTS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 _SHAPES = {"embed": (2 * WINDOW, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "shift": (CLASSES,)}
 BATCH = 4096
+SHARED = 65_536  # words whose counts are sent to all tasks
 
 
 def endings(words: bw.Words) -> np.ndarray:
@@ -87,7 +90,9 @@ def vocabulary(counts: DataFrame, listed: int) -> dict[str, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         within = np.log(n / np.maximum(total[own], 1e-9))
         unlisted = np.log(left / kinds / np.maximum(total, 1e-9))
-    return {"word": np.array([r.word for r in top], np.int64).view(np.uint64)[order], "own": own[order],
+    with np.errstate(divide="ignore"):
+        mass = np.log(total)
+    return {"mass": mass, "word": np.array([r.word for r in top], np.int64).view(np.uint64)[order], "own": own[order],
             "within": within[order], "unlisted": unlisted, "classes": np.log((total + 1) / (total + 1).sum())}
 
 
@@ -212,32 +217,55 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
     return net
 
 
-def fit(docs: DataFrame, text_col: str = "text", listed: int = 65_536, rounds: int = 2, stride: int = 16,
+def fit(docs: DataFrame, text_col: str = "text", listed: int | None = None, rounds: int = 2, stride: int = 16,
         rate: float = 0.1) -> dict:
-    """Vocabulary and network for a table of documents."""
-    vocab = vocabulary(store(word_counts(docs, text_col), "words"), listed)
-    return {"vocab": vocab, "net": train(docs, vocab, text_col, rounds, stride, rate)}
+    """Vocabulary and network for a table of documents, and the counts of all words unless only `listed` ones are to count."""
+    counts = store(word_counts(docs, text_col), "words")
+    vocab = vocabulary(counts, SHARED if listed is None else listed)
+    net = train(docs, vocab, text_col, rounds, stride, rate)
+    return {"vocab": vocab, "net": net, "counts": counts if listed is None else None}
 
 
 def pseudo_likelihood(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_tokens, log_prob (sum over all words) and mean_log_prob."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counts = model.get("counts")
+    own_counts = counts is not None
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("vocab", "net")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = shared.value["vocab"], shared.value["net"]
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 33
         for batch in batches:
             for block in bw.blocks(batch, 1):
                 words = bw.split_words(block.column(1), lower=True)
                 own, within = encode(words, vocab)
+                n = words.per_doc
+                rare, sizes = np.zeros(0, np.uint64), np.zeros(len(n), np.int64)
+                if own_counts:
+                    h = bw.hash_words(words)
+                    away = np.flatnonzero(~np.isin(h, vocab["word"]))
+                    within[away] = -vocab["mass"][own[away]]  # the count's logarithm comes by the join
+                    rare, sizes = h[away], np.bincount(words.doc()[away], minlength=len(n))
                 for lo in range(0, len(own), 1 << 18):  # contexts of some words at a time
                     at = np.arange(lo, min(lo + (1 << 18), len(own)))
                     within[at] += log_probs(net, contexts(own, words.first, at), own[at])
-                n = words.per_doc
+                ends = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0), pa.array(n, pa.int64()), pa.array(bw.sum_by(within, words.first))],
-                    ["_id", "n_tokens", "log_prob"])
-
-    scored = rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, n_tokens long, log_prob double")
-    return scored.withColumnRenamed("_id", id_col).withColumn(
+                    [block.column(0), pa.array(np.arange(row, row + len(n))), pa.array(n, pa.int64()),
+                     pa.array(bw.sum_by(within, words.first)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare.view(np.int64)))],
+                    ["_id", "_row", "n_tokens", "log_prob", "rare"])
+                row += len(n)
+
+    scored = rows.mapInArrow(
+        run, f"_id {dict(rows.dtypes)['_id']}, _row long, n_tokens long, log_prob double, rare array<long>")
+    if own_counts:
+        scored = store(scored, "scored")
+        # a word that no document of the model has stands for the one unseen word of its class
+        rest = scored.select("_row", F.explode("rare").alias("word")).join(
+            counts.select("word", F.log("n").alias("log_n")), "word").groupBy("_row").agg(F.sum("log_n").alias("more"))
+        scored = scored.join(rest, "_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return scored.select(F.col("_id").alias(id_col), "n_tokens", "log_prob").withColumn(
         "mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

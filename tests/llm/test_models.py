@@ -142,3 +142,26 @@ def test_word_shares_within_classes_sum_to_one(llm_spark, sf_dir):
     total = np.bincount(vocab["own"], np.exp(vocab["within"]), pseudolm.CLASSES)
     assert np.allclose(total[:pseudolm.OWN], 1)
     assert (total[pseudolm.OWN:] < 1).all()
+
+
+def test_every_word_scores_with_its_own_count(llm_spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "SHARED", 3)
+    rows = [(1, "the cat the cat the cat nation nation station"), (2, "the ration dog"), (2, "the ration dog"),
+            (3, None), (4, "nation nation nation ration the")]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    model = pseudolm.fit(docs)
+    model["net"] = {k: np.zeros_like(v) for k, v in model["net"].items()}  # all classes alike
+    counts = {}
+    for _, text in rows:
+        for w in (text or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    one = lambda text: pa.array([text])
+    split = {w: bw.split_words(one(w), lower=True) for w in counts}
+    own = {w: pseudolm.encode(x, model["vocab"])[0][0] for w, x in split.items()}
+    total = {c: sum(counts[w] for w in counts if own[w] == c) + (c >= pseudolm.OWN) for c in own.values()}
+    want = [(i, sum(np.log(counts[w] / total[own[w]] / pseudolm.CLASSES) for w in (text or "").split())) for i, text in rows]
+    got = [(r.doc_id, r.log_prob) for r in pseudolm.pseudo_likelihood(docs, model).collect()]
+    assert [i for i, _ in sorted(got)] == [i for i, _ in sorted(want)]
+    assert np.allclose([x for _, x in sorted(got)], [x for _, x in sorted(want)], rtol=1e-4)
+    assert any(c >= pseudolm.OWN for c in own.values())
+    assert len({own[w] for w in ("station", "ration")}) == 1 and counts["station"] != counts["ration"]
