@@ -9,9 +9,9 @@ Counts cover every word of every document: they are added up in a block, then in
 driver gets the SHARED most frequent words and one row for each class; the other words, each at most
 about 1 / SHARED of all, meet their counts in a join, so every word scores with its own count.  A
 model that is fitted with `listed` words has no counts beyond them: these share what their class has left.  The network is trained where the texts are: in each round every task
-starts from the same weights, takes steps over positions drawn from all of its documents (one in
-`stride`, other ones in each round), and the weights are averaged, number by number, in Spark.  So
-training sees a fixed share of all data.
+starts from the same weights, takes steps over one position in `stride` of all of its words (other
+ones in each round), and the weights are averaged, number by number, in Spark.  There are as many
+rounds as `stride`, so every position of every document is a target once.
 
 Defined results: a null, empty or wordless text has n_tokens 0, log_prob 0 and no mean.  An empty
 table gives an empty result.  Repeated rows count as often as they are there and score alike; other
@@ -159,9 +159,10 @@ def steps(net: dict[str, np.ndarray], memory: dict[str, np.ndarray], around: np.
         back = (p @ net["out"].T) * (1 - h * h)
         grads = {"out": h.T @ p, "shift": p.sum(axis=0), "bias": back.sum(axis=0)}
         for k in range(2 * WINDOW):
-            rows, inverse = np.unique(x[:, k], return_inverse=True)
-            grad = np.zeros((len(rows), HIDDEN), np.float32)
-            np.add.at(grad, inverse, back)
+            order = np.argsort(x[:, k])
+            own = x[order, k]
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            rows, grad = own[at], np.add.reduceat(back[order], at)
             memory["embed"][k, rows] += grad * grad
             net["embed"][k, rows] -= rate * grad / np.sqrt(memory["embed"][k, rows])
         for k, grad in grads.items():
@@ -182,6 +183,11 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def positions(n: int, r: int, stride: int) -> np.ndarray:
+    """Targets of round r among n words: over `stride` rounds, each of them once."""
+    return np.arange(r % stride, n, stride)
+
+
 def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds: int, stride: int, rate: float) -> dict:
     net = start(vocab)
     context = docs.sparkSession.sparkContext
@@ -198,7 +204,7 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
                     words = bw.split_words(block.column(0), lower=True)
                     own, _ = encode(words, shared_vocab.value)
                     rng = np.random.default_rng(len(own) * rounds + r)
-                    at = rng.permutation(np.arange(r % stride, len(own), stride))
+                    at = rng.permutation(positions(len(own), r, stride))
                     steps(own_net, memory, contexts(own, words.first, at), own[at], rate)
                     seen += len(at)
             if seen:
@@ -217,7 +223,7 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
     return net
 
 
-def fit(docs: DataFrame, text_col: str = "text", listed: int | None = None, rounds: int = 2, stride: int = 16,
+def fit(docs: DataFrame, text_col: str = "text", listed: int | None = None, rounds: int = 2, stride: int = 2,
         rate: float = 0.1) -> dict:
     """Vocabulary and network for a table of documents, and the counts of all words unless only `listed` ones are to count."""
     counts = store(word_counts(docs, text_col), "words")

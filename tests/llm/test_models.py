@@ -1,5 +1,7 @@
 """Classifiers and the language model: held-out accuracy on the given tables, awkward rows, invariants."""
 
+import inspect
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -165,3 +167,10 @@ def test_every_word_scores_with_its_own_count(llm_spark, monkeypatch):
     assert np.allclose([x for _, x in sorted(got)], [x for _, x in sorted(want)], rtol=1e-4)
     assert any(c >= pseudolm.OWN for c in own.values())
     assert len({own[w] for w in ("station", "ration")}) == 1 and counts["station"] != counts["ration"]
+
+
+def test_every_position_is_a_training_target():
+    default = {k: p.default for k, p in inspect.signature(pseudolm.fit).parameters.items()}
+    for n in (0, 1, 5, 16, 1000):
+        at = [pseudolm.positions(n, r, default["stride"]) for r in range(default["rounds"])]
+        assert sorted(np.concatenate(at)) == list(range(n))
