@@ -53,4 +53,79 @@ FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), word AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), c AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM word JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+         1 + (1000000000 * (coalesce(n, 0) + 2)) // (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  WHERE x.term IS NULL OR y.term IS NOT NULL GROUP BY ALL
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_importance_resampling": rf"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT -row_number() OVER () AS r, NULL::BIGINT AS doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), feature AS (
+  SELECT r, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM (SELECT r, w FROM d UNION ALL SELECT r, w FROM b), (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
+), hashed AS (
+  SELECT k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2),
+      lambda i: (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT k, hex(encode(k)) AS h FROM (SELECT DISTINCT k FROM feature)), tab
+), f AS (
+  SELECT r, bucket, count(*) AS n FROM feature JOIN hashed USING (k) GROUP BY ALL
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                 / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (r > 0), 0)::BIGINT AS s,
+               coalesce(sum(n) FILTER (r < 0), 0)::BIGINT AS t FROM f GROUP BY bucket)
+), weight AS (
+  SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN gain USING (bucket) WHERE r > 0 GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (r)
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank, count(*) OVER () AS n
+  FROM scored WHERE words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)""",
 }

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fleetlens.llm import decontam, exact, langid, packing, pseudolm, quality, simhash, substring, tokens, toxicity
+from fleetlens.llm import (
+    decontam, divergence, exact, langid, orcids, packing, pseudolm, quality, resample, simhash, substring, tokens, toxicity)
 from fleetlens.llm.labelled import held_out
 from fleetlens.llm.scratch import ship_package
+from fleetlens.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    orcids.write_token_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return orcids.token_summary(orcids.read_token_ids(spark, path))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -87,4 +104,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_orc_token_ids": op12_orc_token_ids,
+    "op13_importance_resampling": op13_importance_resampling,
 }
