@@ -8,10 +8,11 @@ integers that ORC run-length encodes.  Stripes and row groups have their sizes a
 and a Bloom filter on the document's id let a reader skip files, stripes and row groups that do not hold
 an id.
 
-Texts are encoded once, into packed rows that are stored.  These are dealt out by ranges of the id, and of
-the text's hash and the row's own number behind it, so rows that share an id may fill several files;
-each task sorts its range and writes one file.  A row's place among all ids is its file's offset and its
-position.  The offsets are prefix sums over one number for each file, read from narrow columns alone.
+The texts are dealt out by ranges of the id, and of the text's hash and the row's number behind it, so rows
+that share an id may fill several files; each task sorts its range, encodes it text by text and writes
+one file.  Ids of tokens never cross a shuffle and are stored in the files alone.  A row's place among
+all ids is its file's offset and its position.  The offsets are prefix sums over one number for each file,
+read from narrow columns alone.
 
 Reading is parallel by stripe and needs no order: each row knows its place.  `read_token_ids` filters by
 document ids, which reach the files as search arguments.
@@ -37,81 +38,51 @@ from fleetlens.llm import tokens
 from fleetlens.llm.scratch import store
 
 ROW_IDS = 2048
-FILE_IDS = 64_000_000
+FILE_BYTES = 256 << 20
 STRIPE_BYTES, INDEX_ROWS = 64 << 20, 1000
-_WRITE_ROWS = 1000
+UNIT_BITS, UNIT_POOL = 22, 16_000_000  # 130 MB of units a worker remembers
+_WRITE_BYTES = 1 << 20
 _OFFSET_GROUP = 1000
-_ORDER = ["_id", "_tie", "_row", "chunk"]
 
 
-def _width(path: str) -> str:
-    """Two bytes hold an id where the vocabulary allows it."""
-    from tokenizers import Tokenizer
-
-    return "<u2" if max(Tokenizer.from_file(path).get_vocab(True).values(), default=0) < 1 << 16 else "<u4"
-
-
-def _encode(block: pa.RecordBatch, path: str, end_id: int, row_ids: int, width: str) -> pa.RecordBatch:
-    found, offsets = tokens.ids(block.column(3), path)
-    data = np.insert(found.astype(width), offsets[1:], end_id)
+def _encode(block: pa.RecordBatch, path: str, end_id: int, row_ids: int, part: int, position: int) -> pa.RecordBatch:
+    """Rows of a block of (id, text) documents, the first of them at this position of the file."""
+    found, offsets = tokens.ids(block.column(1), path, UNIT_BITS, UNIT_POOL)
+    data = np.insert(found.astype(np.int32), offsets[1:], end_id)
     sizes = np.diff(offsets) + 1
     chunks = -(-sizes // row_ids)
     chunk = bw.ragged(np.zeros(len(chunks), np.int64), chunks)
     doc = np.repeat(np.arange(len(sizes)), chunks)
     length = np.minimum(sizes[doc] - chunk * row_ids, row_ids)
-    ends = np.concatenate([[0], np.cumsum(length)]) * data.itemsize
-    packed = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-    own = pa.array(doc)
-    return pa.RecordBatch.from_arrays(
-        [*(block.column(k).take(own) for k in range(3)), pa.array(chunk), pa.array(chunks[doc]), pa.array(length),
-         packed.cast(pa.binary())], ["_id", "_tie", "_row", "chunk", "chunks", "length", "packed"])
-
-
-def encoded_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-                 row_ids: int = ROW_IDS) -> DataFrame:
-    """Rows of packed ids: _id, _tie and _row (order among equal ids), chunk, chunks, length, packed."""
-    width = _width(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in bw.blocks(batch, 3):
-                yield _encode(block, path, end_id, row_ids, width)
-
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tie"),
-                       F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, _tie long, _row long, chunk long, chunks long, "
-                                "length long, packed binary")
-
-
-def _unpack(batch: pa.RecordBatch, width: str, part: int, position: int) -> pa.RecordBatch:
-    data, _ = bw.raw_bytes(batch.column("packed"))
-    length = batch.column("length").to_numpy()
     ends = np.concatenate([[0], np.cumsum(length)])
-    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data.view(width).astype(np.int32)))
     return pa.RecordBatch.from_arrays(
-        [batch.column("_id"), batch.column("chunk"), batch.column("chunks"), pa.array(np.full(len(length), part), pa.int32()),
-         pa.array(position + ends[:-1], pa.int64()), pa.array(length, pa.int32()), ids],
+        [block.column(0).take(pa.array(doc)), pa.array(chunk), pa.array(chunks[doc]),
+         pa.array(np.full(len(doc), part), pa.int32()), pa.array(position + ends[:-1]), pa.array(length, pa.int32()),
+         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data))],
         ["doc_id", "chunk", "chunks", "part", "position", "length", "ids"])
 
 
 def write_token_ids(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
-                    row_ids: int = ROW_IDS, file_ids: int = FILE_IDS, stripe_bytes: int = STRIPE_BYTES,
+                    row_ids: int = ROW_IDS, file_bytes: int = FILE_BYTES, stripe_bytes: int = STRIPE_BYTES,
                     index_rows: int = INDEX_ROWS, bloom_fpp: float = 0.01) -> None:
-    """Write the documents' token ids to ORC files under `out`, in ascending order of their ids."""
-    width = _width(path)
-    rows = store(encoded_rows(docs, path, id_col, text_col, end_id, row_ids), "encoded")
-    total = rows.agg(F.sum("length")).first()[0] or 0
-    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // file_ids)
+    """Write the documents' token ids to ORC files under `out`, in ascending order of their ids.
 
+    A file holds the ids of about file_bytes of text.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, position = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, _WRITE_ROWS):
-                out_batch = _unpack(batch.slice(at, _WRITE_ROWS), width, part, position)
-                position += int(out_batch.column("length").to_numpy().sum())
-                yield out_batch
-
-    ordered = rows.repartitionByRange(files, *_ORDER).sortWithinPartitions(*_ORDER).drop("_tie", "_row")
+            for block in bw.blocks(batch, 1, _WRITE_BYTES):
+                rows = _encode(block, path, end_id, row_ids, part, position)
+                position += int(rows.column("length").to_numpy().sum())
+                yield rows
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_tie"),
+                       F.monotonically_increasing_id().alias("_row"))
+    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // file_bytes)
+    order = ["_id", "_tie", "_row"]
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("_id", "_text")
     schema = (f"doc_id {dict(rows.dtypes)['_id']}, chunk long, chunks long, part int, position long, length int, "
               "ids array<int>")
     ordered.mapInArrow(run, schema).write.options(**{

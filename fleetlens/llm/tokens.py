@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import bytewords as bw
 
-_encoders: dict[tuple[str, bool], UnitEncoder] = {}
+_encoders: dict[tuple, UnitEncoder] = {}
 
 
 class UnitEncoder:
@@ -66,7 +67,7 @@ class UnitEncoder:
                 return self.look_up(units)
             if total > len(self.pool):
                 self.pool = np.zeros(total, np.uint32)
-            self.pool[self.used:self.used + total] = np.fromiter((t for x in ids for t in x), np.uint32, total)
+            self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
             begins = self.used + np.cumsum(sizes) - sizes
             self.used += total
             begin[missing] = begins[inverse]
@@ -112,11 +113,11 @@ def _pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
     yield data
 
 
-def encoder(path: str, with_ids: bool) -> UnitEncoder:
-    """The worker's encoder for a vocabulary."""
-    if (path, with_ids) not in _encoders:
-        _encoders[path, with_ids] = UnitEncoder(path, with_ids)
-    return _encoders[path, with_ids]
+def encoder(path: str, with_ids: bool, *size: int) -> UnitEncoder:
+    """The worker's encoder for a vocabulary, with tables of this size."""
+    if (path, with_ids, *size) not in _encoders:
+        _encoders[path, with_ids, *size] = UnitEncoder(path, with_ids, *size)
+    return _encoders[path, with_ids, *size]
 
 
 def counts(column: pa.Array, path: str) -> np.ndarray:
@@ -139,9 +140,9 @@ def _piece_counts(column: pa.Array, path: str) -> np.ndarray:
     return np.array([len(x) for x in model.encode(column.fill_null("").to_pylist(), num_threads=1)], np.int64)
 
 
-def ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All token ids of the texts of a block, and the offsets of each text."""
-    found = encoder(path, True)
+def ids(column: pa.Array, path: str, *size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids of the texts of a block, and the offsets of each text; `size`: bits and pool of the encoder's tables."""
+    found = encoder(path, True, *size)
     data, offsets = bw.raw_bytes(column)
     if len(column) == 1 and len(data) > 2 * bw.BLOCK_BYTES:
         parts = []
