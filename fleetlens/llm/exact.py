@@ -47,6 +47,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose text also has a larger id; all columns stay.  Rows with a null id stay."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The documents without those whose text also has a larger id; all columns stay.
+
+    A document is its id and its text, so an id stays with one text and may go with another; a null id goes where its
+    text has an id that is not null.  Rows that repeat the id and text that stay all stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    found = exact_duplicates(keyed, "_id", "_text", carry=["_hash"])
+    gone = found.where("not kept").select("_id", "_hash").distinct()
+    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (own == gone["_hash"]), "left_anti")

@@ -153,118 +153,31 @@ def test_components_of_a_path_a_star_and_loops(llm_spark):
     assert got == {**{k: 0 for k in range(1, 42)}, **{k: 500 for k in range(501, 560)}}
 
 
-def overlap(a, b):
-    return len(a & b) / len(a | b)
-
-
-def test_similar_texts_are_linked_and_others_are_not(llm_spark):
-    docs = llm_spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    component = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert len(component) == docs.count()
-    sets = {}
-    for r in docs.collect():
-        w = words_of(r.text.lower())
-        sets[r.doc_id] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
-    ids = sorted(sets)
-    near = [(a, b) for a in ids for b in ids if a < b and overlap(sets[a], sets[b]) >= 0.8]
-    assert len(near) > 50
-    assert sum(component[a] == component[b] for a, b in near) >= 0.95 * len(near)
-    groups = {}
-    for i, c in component.items():
-        groups.setdefault(c, []).append(i)
-    for c, members in groups.items():
-        assert c == min(members)
-        for i in members if len(members) > 1 else ():
-            assert max(overlap(sets[i], sets[k]) for k in members if k != i) > 0.6
-
-
-def test_similar_texts_of_every_length(llm_spark):
-    """One word changed at the end: linked from the length on at which 0.8 of the shingles stay, at 0.9 for sure."""
-    rows = []
-    for n in (6, 12, 18, 30, 60, 200):
-        words = [f"w{n}x{k}" for k in range(n)]
-        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "other"]))]
-    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert [got[k + 1] == k for k in (0, 6, 8, 10)] == [False, True, True, True]
-    assert all(got[k] == k for k in range(0, 12, 2))
-
-
-def test_similar_texts_of_awkward_rows(odd_docs, no_docs):
-    got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(odd_docs).collect()}
-    assert {(4, 4), (5, 4), (6, 4), (None, 4), (7, 7), (8, 7), (None, 7), (1, 1), (3, 1), (9, 9), (12, 12)} <= got
-    assert simhash.similar_documents(no_docs).collect() == []
-    kept = simhash.drop_similar(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert not {5, 6, 8, 3} & {r.doc_id for r in kept.collect()}
-
-
-@pytest.mark.parametrize("list_block", [2, 4096])
-def test_a_large_group_of_similar_texts_is_one_component(llm_spark, list_block):
-    rng = random.Random(5)
-    base = [f"w{k}" for k in range(150)]
-    rows = []
-    for i in range(120):
-        words = list(base)
-        for _ in range(rng.randint(0, 3)):
-            words[rng.randrange(150)] = f"x{rng.randrange(1000)}"
-        rows.append((i, " ".join(words)))
-    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.component_id for r in simhash.similar_documents(docs, list_block=list_block).collect()}
-    assert got == {0}
-
-
-def similar_pairs(rows, size=5):
-    """Smallest id reachable over pairs of texts whose sets of shingles overlap by 0.8 or more."""
-    sets = []
-    for _, text in rows:
-        w = words_of(text.lower())
-        sets.append({tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))})
-    least = {i: i for i, _ in rows}
-    pairs = [(a[0], b[0]) for a, x in zip(rows, sets) for b, y in zip(rows, sets)
-             if a[0] < b[0] and 10 * len(x & y) >= 8 * len(x | y)]
-    for _ in rows:
-        for a, b in pairs:
-            least[a] = least[b] = min(least[a], least[b])
-    return least
-
-
-def test_texts_that_repeat_a_line_are_linked_by_their_sets_only(llm_spark):
-    line, rows = "this very line of ten words comes again and again ", []
-    for repeats, own in ((20, 300), (50, 150), (50, 20)):
-        for _ in range(6):
-            k = len(rows)
-            rows.append((k, line * repeats + " ".join(f"own{k}x{j}" for j in range(own))))
-    rows += [(90, line * 30), (91, line * 7)]
-    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert got == similar_pairs(rows) == {k: k for k in range(18)} | {90: 90, 91: 90}
-
-
-@pytest.mark.parametrize("list_block", [2, 4096])
-def test_similar_pairs_of_every_length_are_complete(llm_spark, list_block):
-    """Words appended and changed: every pair at 0.8 or more and no other, with a line that many share."""
-    rng, rows = random.Random(11), []
-    for n in (8, 9, 12, 18, 22, 30, 44, 60, 104, 204, 504):
-        for _ in range(6):
-            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
-            if rng.random() < 0.5:
-                words += "a line of eight words that many share".split()
-            rows.append((len(rows), " ".join(words)))
-            more = max(1, round(rng.choice([0.1, 0.24, 0.26]) * (len(words) - 4)))
-            rows.append((len(rows), " ".join(words + [f"m{len(rows)}x{j}" for j in range(more)])))
-            for at in range(0, rng.randint(0, len(words) // 40 + 1)):
-                words[rng.randrange(len(words))] = f"c{len(rows)}x{at}"
-            rows.append((len(rows), " ".join(words)))
-    want = similar_pairs(rows)
-    assert 40 < sum(i != c for i, c in want.items()) < 130
-    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, list_block=list_block).collect()}
-    assert got == want
-
-
-def test_appending_one_word_to_eight_is_similar(llm_spark):
-    docs = llm_spark.createDataFrame([(k, f"a{k // 2} b c d e f g h" + " i" * (k % 2)) for k in range(40)],
-                                     "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert got == {k: k // 2 * 2 for k in range(40)}
+TWICE = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon"), (1, "zeta eta theta iota kappa"),
+         (3, "c d e f"), (None, "c d e f"), (None, "null id alone"), (4, None), (6, ""), (4, "four and four"), (4, "four and four")]
+
+
+def left(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_no_text_is_lost_where_an_id_has_two(llm_spark):
+    docs = llm_spark.createDataFrame(TWICE, "doc_id long, text string").repartition(3)
+    same = [(1, "zeta eta theta iota kappa"), (None, "null id alone"), (4, "four and four"), (4, "four and four")]
+    assert left(exact.drop_exact_duplicates(docs)) == sorted(
+        [*same, (2, "alpha beta gamma delta epsilon"), (3, "c d e f"), (6, "")], key=str)
+    assert left(simhash.drop_near_duplicates(docs)) == sorted(
+        [*same, (1, "alpha beta gamma delta epsilon"), (3, "c d e f"), (4, None)], key=str)
+
+
+def test_near_copies_leave_one_document_each(llm_spark, sf_dir):
+    docs = llm_spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    component = {i: c for i, _, c in linked([(i, fingerprint(t)) for i, t in rows], 4)}
+    assert left(simhash.drop_near_duplicates(docs)) == sorted([(i, t) for i, t in rows if component[i] == i], key=str)
+
+
+def test_dropping_near_copies_of_awkward_rows(odd_docs, no_docs):
+    got = simhash.drop_near_duplicates(odd_docs)
+    assert got.columns == odd_docs.columns and simhash.drop_near_duplicates(no_docs).collect() == []
+    assert [r.text for r in got.collect()].count("word") == 2  # id 7 repeats; 8 and the null id go
