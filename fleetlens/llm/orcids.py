@@ -108,7 +108,7 @@ def read_token_ids(spark: SparkSession, out: str, doc_ids: Sequence | None = Non
     files = spark.read.orc(out)
     offsets = file_offsets(files.select("part", "length"))
     rows = files if doc_ids is None else files.where(F.col("doc_id").isin(list(doc_ids)))
-    return rows.join(offsets, "part").select(
+    return rows.join(F.broadcast(offsets), "part").select(  # two numbers for each file
         "doc_id", (F.col("before") + F.col("position") - F.col("chunk") * row_ids).alias("start"), "chunk", "chunks",
         "length", "ids")
 
