@@ -10,7 +10,7 @@ from fleetlens.operators import dashboard as dash
 from fleetlens.operators import rollups
 from fleetlens.operators.gaps import epdi_gaps, gap_analysis, gap_vehicles
 from fleetlens.sources import staging as stg
-from fleetlens.sources.sinks import append_new, fresh_table, materialize, replace_rows
+from fleetlens.sources.sinks import append_new, bucketed_rows, materialize, replace_rows
 
 FEEDS = [
     ("complaints", "complaint_id", stg.COMPLAINT_COLUMNS, stg.to_bronze_complaints),
@@ -23,11 +23,22 @@ def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> None:
     """Append the unprocessed rows of the three feeds that bronze doesn't hold yet.
 
     The bronze tables decide what is new, so a run may be repeated, or a stream
-    (:mod:`fleetlens.streaming.ingest`) may have brought some of the rows before.
+    (:mod:`fleetlens.streaming.ingest`) may have brought some of the rows before.  Of versions of
+    a record the newest by ``created_at``, where the feed has it, is taken.  The tables are bucketed
+    by vehicle, so that silver links them without an exchange.
     """
     for name, id_col, columns, to_bronze in FEEDS:
-        new = to_bronze(stg.read_unprocessed(staged[name], columns))
-        append_new(new, f"{prefix}bronze_{name}", id_col)
+        timed = staged[name]
+        newest = stg.INGESTED if "created_at" in timed.columns else None
+        if newest:
+            timed = timed.withColumn(newest, F.col("created_at"))
+        new = to_bronze(stg.read_unprocessed(timed, [*columns, *([newest] if newest else [])]))
+        append_new(new, f"{prefix}bronze_{name}", id_col, newest, bucket_by="vehicle_id")
+
+
+def bronze_tables(spark: SparkSession, prefix: str = "") -> list[DataFrame]:
+    """Complaints, inspections and deliveries, by bucket of their vehicle."""
+    return [bucketed_rows(spark, f"{prefix}bronze_{name}", "vehicle_id") for name, *_ in FEEDS]
 
 
 def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:
@@ -36,8 +47,7 @@ def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:
     The links of all complaints are stored once: the correlation is a filter over
     them and the gold detail table a projection, so neither repeats the join.
     """
-    c, i, d = (fresh_table(spark, f"{prefix}bronze_{n}")
-               for n in ("complaints", "inspections", "deliveries"))
+    c, i, d = bronze_tables(spark, prefix)
     links = materialize(corr.link(c, i, d), f"{prefix}silver_complaint_links")
     linked = materialize(corr.guard_after_delivery(links),
                          f"{prefix}silver_complaint_correlation")
@@ -72,8 +82,7 @@ def gold_checks(spark: SparkSession, prefix: str = "") -> DataFrame:
 
 def run_rollups(spark: SparkSession, staged: dict[str, DataFrame], prefix: str = "") -> None:
     """The four tables behind the summary cards."""
-    c, i, d = (spark.table(f"{prefix}bronze_{n}")
-               for n in ("complaints", "inspections", "deliveries"))
+    c, i, d = bronze_tables(spark, prefix)
     materialize(rollups.complaint_trends(staged["complaints"]), f"{prefix}gold_complaint_trends")
     materialize(rollups.dealer_performance(staged["complaints"], staged["inspections"]),
                 f"{prefix}gold_dealer_performance")

@@ -22,7 +22,7 @@ from fleetlens.operators import gaps, inspections, recurrence, rollups, topn
 from fleetlens.operators.ids import assign_ids
 from fleetlens.plans import medallion
 from fleetlens.session import scratch_path
-from fleetlens.sources import sinks
+from fleetlens.sources import csv_files, sinks
 from fleetlens.sources import staging as stg
 from fleetlens.sources import star_schema as src
 from fleetlens.streaming.alerts import open_windows, spike_alert
@@ -129,7 +129,7 @@ def load_csv(spark, sf):
         "complaint_id", "vin", "complaint_date", "description", "category", "ai_confidence",
         "processed")
     staged.write.csv(folder, header=True)
-    return stg.load_csv(spark, folder, staged.schema)
+    return csv_files.load_csv(spark, folder, staged.schema)
 
 
 @query("load_csv_multi_line")
@@ -141,7 +141,7 @@ def load_csv_multi_line(spark, sf):
         .alias("description"))
     staged.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False,
                      ignoreTrailingWhiteSpace=False)
-    return stg.load_csv(spark, folder, staged.schema, multi_line=True)
+    return csv_files.load_csv(spark, folder, staged.schema, multi_line=True)
 
 
 @query("query_table")

@@ -5,32 +5,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.topn import latest_by
+
 
 def append(df: DataFrame, table: str) -> None:
     df.write.mode("append").saveAsTable(table)
 
 
-def fresh_table(spark: SparkSession, table: str) -> DataFrame:
-    """The table as it is now, also where another session (as a stream has) wrote to it."""
+KEY_PART = "key_part"
+KEYS_A_PART = 10_000_000
+MOST_PARTS = 10_000
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame:
     spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
-def append_new(df: DataFrame, table: str, key: str) -> None:
+def fresh_table(spark: SparkSession, table: str) -> DataFrame:
+    """The table as it is now, also where another session (as a stream has) wrote to it."""
+    return _stored(spark, table).drop(KEY_PART)
+
+
+def _in_parts(df: DataFrame, key: str, keys_a_part: int) -> DataFrame:
+    """With the directory of each row: ranges of a numeric key, 256 hash classes of any other; NULL without key."""
+    numeric = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    part = f"`{key}` div {keys_a_part}" if numeric else f"pmod(xxhash64(`{key}`), 256)"
+    return df.withColumn(KEY_PART, F.expr(f"if(`{key}` IS NULL, NULL, cast({part} as bigint))"))
+
+
+def rows_to_append(df: DataFrame, table: str, key: str, newest: str | None = None,
+                   keys_a_part: int = KEYS_A_PART) -> DataFrame:
+    """The rows that :func:`append_new` adds, with their directories.
+
+    Only directories that the batch has keys for are read (all of them where it has keys for more than
+    MOST_PARTS), and of those only the key.
+    """
+    spark = df.sparkSession
+    df = _in_parts(df, key, keys_a_part)
+    columns = [c for c in df.columns if c != newest]
+    ties = F.xxhash64(*columns)
+    keyed = latest_by(df.where(F.col(key).isNotNull()).withColumn("_tie", ties), [key],
+                      [newest] if newest else [], ["_tie"]).select(columns)
+    keyless = df.where(F.col(key).isNull()).select(columns).distinct()
+    if spark.catalog.tableExists(table):
+        there = _stored(spark, table)
+        parts = [r[0] for r in keyed.select(KEY_PART).distinct().limit(MOST_PARTS + 1).collect()]
+        known = there.where(F.col(KEY_PART).isin(parts)) if len(parts) <= MOST_PARTS else there
+        keyed = keyed.join(known.select(key), key, "left_anti").select(columns)
+        keyless = keyless.subtract(there.where(F.col(KEY_PART).isNull()).select(columns))
+    return keyed.unionByName(keyless)
+
+
+def append_new(df: DataFrame, table: str, key: str, newest: str | None = None,
+               bucket_by: str | None = None, keys_a_part: int = KEYS_A_PART) -> None:
     """Append the rows whose ``key`` the table doesn't hold yet, one for each key.
 
     Doing it again with the same rows, or with rows resent later, adds nothing: the
-    table itself remembers what has arrived, however long ago.  Rows without a
-    key are told apart by all their columns.
+    table itself remembers what has arrived, however long ago.  Of several rows of a
+    batch with one key the newest by the column ``newest`` is taken (which is not stored; then, and without
+    it, the greatest by a hash of the row); a key that the table holds keeps its row.  Rows without a key are
+    told apart by all their columns.
+
+    The table has a directory for each range of ``keys_a_part`` keys, so a batch costs what its own ranges hold and not
+    what the table holds.  ``bucket_by`` also deals the rows of a directory into buckets of a column, as many
+    as shuffles have tasks when the table is made; joins and groups by that column then need no exchange.
     """
     spark = df.sparkSession
-    keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
-    keyless = df.where(F.col(key).isNull()).distinct()
-    if spark.catalog.tableExists(table):
-        there = fresh_table(spark, table)
-        keyed = keyed.join(there.select(key), key, "left_anti").select(df.columns)
-        keyless = keyless.subtract(there.where(F.col(key).isNull()).select(df.columns))
-    append(keyed.unionByName(keyless), table)
+    rows = rows_to_append(df, table, key, newest, keys_a_part)
+    if bucket_by and spark.catalog.tableExists(table):
+        buckets = _buckets(spark, table)
+    else:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if bucket_by else 0
+    if buckets:
+        rows = rows.repartition(buckets, bucket_by)  # one file for each bucket and directory
+    write = rows.write.mode("append").partitionBy(KEY_PART)
+    (write.bucketBy(buckets, bucket_by) if buckets else write).saveAsTable(table)
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    described = spark.sql(f"DESCRIBE EXTENDED `{table}`").where("col_name = 'Num Buckets'").first()
+    return int(described.data_type) if described else 0
+
+
+def bucketed_rows(spark: SparkSession, table: str, key: str, most_rows: int = 500_000, most_share: int = 4) -> DataFrame:
+    """The rows of a table bucketed by ``key``, read so that no task has far more than the others.
+
+    A bucket is read by one task.  Where one has more than ``most_rows`` rows and ``most_share`` times its share, as with a
+    hot key, the files are read in splits instead; joins and groups then shuffle, after combining in the scan's tasks.
+    """
+    buckets, df = _buckets(spark, table), fresh_table(spark, table)
+    if not buckets:
+        return df
+    sizes = [r["count"] for r in df.groupBy(F.pmod(F.hash(key), F.lit(buckets))).count().collect()]
+    if max(sizes, default=0) <= max(most_rows, most_share * sum(sizes) / buckets):
+        return df
+    described = spark.sql(f"DESCRIBE EXTENDED `{table}`").where("col_name = 'Location'").first()
+    return spark.read.schema(_stored(spark, table).schema).parquet(described.data_type).drop(KEY_PART)
 
 
 def materialize(df: DataFrame, table: str, cluster_by: str | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ INSPECTION_COLUMNS = ["inspection_id", "vehicle_id", "checklist_item", "status",
 DELIVERY_COLUMNS = ["delivery_id", "vehicle_id", "dealer_id", "delivery_date",
                     "delivery_condition"]
 
+INGESTED = "ingested_at"  # tells versions of a record apart; not stored
+
 _S, _D = T.StringType(), T.DateType()
 
 BRONZE_COMPLAINTS = T.StructType([
@@ -62,29 +64,21 @@ def read_jdbc(spark: SparkSession, properties: dict[str, str] | None = None,
         **jdbc_options(**scan), **(properties or {})).load()
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType,
-             multi_line: bool = False) -> DataFrame:
-    """CSV with a header row; empty fields are NULL.
-
-    Large files are split.  Fields with quoted line breaks need ``multi_line``, for
-    which Spark reads a file in one task: keep such files small.
-    """
-    return spark.read.csv(path, header=True, schema=schema, nullValue="", emptyValue="",
-                          multiLine=multi_line, escape='"').select(
-        *[F.nullif(F.col(f.name), F.lit("")).alias(f.name)
-          if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema])
+def _bronze(df: DataFrame, schema: T.StructType) -> list[str]:
+    """Columns of the bronze form; the ingest time goes along where the frame has one."""
+    return schema.names + [c for c in df.columns if c == INGESTED]
 
 
 def to_bronze_complaints(df: DataFrame) -> DataFrame:
     return df.withColumn("complaint_id", digits_to_bigint(F.col("complaint_id"))).select(
-        *BRONZE_COMPLAINTS.names)
+        *_bronze(df, BRONZE_COMPLAINTS))
 
 
 def to_bronze_inspections(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("inspection_id", digits_to_bigint(F.col("inspection_id")))
         .withColumn("dealer_id", F.lit(V.DEFAULT_DEALER))
-        .select(*BRONZE_INSPECTIONS.names)
+        .select(*_bronze(df, BRONZE_INSPECTIONS))
     )
 
 
@@ -92,7 +86,7 @@ def to_bronze_deliveries(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("delivery_id", digits_to_bigint(F.col("delivery_id")))
         .withColumn("customer_signature", F.lit(V.DEFAULT_SIGNATURE))
-        .select(*BRONZE_DELIVERIES.names)
+        .select(*_bronze(df, BRONZE_DELIVERIES))
     )
 
 

@@ -4,7 +4,11 @@ import re
 
 import pytest
 
+from fleetlens.operators.correlation import inspection_summary, latest_delivery, link
+from fleetlens.operators.rollups import vehicle_risk_profile
+from fleetlens.plans import medallion
 from fleetlens.plans.registry import QUERIES
+from fleetlens.sources import star_schema as src
 
 
 def plan(spark, sf_dir, name):
@@ -72,3 +76,22 @@ def test_vehicle_joins_reuse_the_aggregation_partitioning(spark, sf_dir, name, j
     main = text.split("Union", 1)[-1].split("BroadcastExchange")[0] if "Union" in text else text
     assert text.count("SortMergeJoin") >= joins
     assert main.count("Exchange hashpartitioning") <= exchanges
+
+
+def test_silver_links_stored_bronze_without_an_exchange(spark, sf_dir):
+    """Joins and groups by vehicle use the buckets; only the counts of heavy keys are broadcast."""
+    prefix = "plan_"
+    medallion.run_bronze({"complaints": src.staging_complaints(spark, sf_dir),
+                          "inspections": src.staging_inspections(spark, sf_dir),
+                          "deliveries": src.staging_deliveries(spark, sf_dir)}, prefix)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c, i, d = medallion.bronze_tables(spark, prefix)
+        for df in (link(c, i, d), inspection_summary(i), latest_delivery(d), vehicle_risk_profile(c, i, d)):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(vehicle_id" not in text
+            assert "Bucketed: true" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        medallion.drop_tables(spark, prefix)

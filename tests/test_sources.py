@@ -1,6 +1,9 @@
 """Bronze rules, CSV, tables, ids, answer parsing and the stored pipeline."""
 
 import datetime as dt
+import gzip
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 from fleetlens import session
 from fleetlens.operators import dashboard, ids, rollups, topn
 from fleetlens.plans import medallion
-from fleetlens.sources import sinks, staging
+from fleetlens.sources import csv_files, sinks, staging
 from fleetlens.sources import star_schema as src
 
 
@@ -45,15 +48,127 @@ def test_csv_blank_is_null(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.IntegerType()),
                            T.StructField("name", T.StringType()),
                            T.StructField("n", T.IntegerType())])
-    rows = sorted(map(tuple, staging.load_csv(spark, str(tmp_path), schema).collect()))
+    rows = sorted(map(tuple, csv_files.load_csv(spark, str(tmp_path), schema).collect()))
     assert rows == [(1, "a, b", 2), (2, None, None), (3, None, 4)]
-    whole = staging.load_csv(spark, str(tmp_path), schema, multi_line=True)
+    whole = csv_files.load_csv(spark, str(tmp_path), schema, multi_line=True)
     assert sorted(map(tuple, whole.collect())) == rows
     (tmp_path / "y.csv").write_text('id,name,n\n4,"two\nlines ""quoted""",5\n')
-    both = staging.load_csv(spark, str(tmp_path), schema, multi_line=True).where("id = 4").first()
+    both = csv_files.load_csv(spark, str(tmp_path), schema, multi_line=True).where("id = 4").first()
     assert tuple(both) == (4, 'two\nlines "quoted"', 5)
 
 
+CARS = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.IntegerType()),
+                     T.StructField("d", T.DateType()), T.StructField("b", T.StringType())])
+
+
+def test_csv_columns_are_bound_by_their_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.csv").write_text("b,n,a,d\nB1,1,A1,2024-01-31\n")
+    (tmp_path / "in" / "2.csv").write_text('n,"a",extra, d\n2,"A,2",x,\n,,y,2024-02-01\n')
+    with gzip.open(tmp_path / "in" / "3.csv.gz", "wt") as out:
+        out.write("\ufeffa,b\nA3,B3\n")
+    (tmp_path / "in" / "4.csv").write_text("")
+    (tmp_path / "in" / "5.csv").write_text("a,b,n,d\n")
+    rows = sorted(map(tuple, csv_files.load_csv(spark, str(tmp_path / "in"), CARS).collect()), key=str)
+    day = dt.date
+    assert rows == sorted([("A1", 1, day(2024, 1, 31), "B1"), ("A,2", 2, None, None), (None, None, day(2024, 2, 1), None),
+                           ("A3", None, None, "B3")], key=str)
+    assert csv_files.csv_rejects(spark, str(tmp_path / "in"), CARS).collect() == []
+
+
+def test_csv_lines_are_accepted_or_rejected(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text(
+        "d,n,a,b\n2024-01-01,1,ok,ok\n2024-13-01,1,bad,day\n2024-01-01,oops,bad,number\nno,1.5,bad,both\n"
+        "2024-01-01,1,short\n2024-01-01,1,long,line,more\n2024-01-01,99999999999,too,big\n, 7 ,blanks,ok\n\n")
+    good = csv_files.load_csv(spark, str(tmp_path / "in"), CARS)
+    assert sorted((r.a, r.n) for r in good.collect()) == [("blanks", 7), ("ok", 1)]
+    assert good.where("n = 7").select("a").first().a == "blanks" and good.select("a").count() == 2
+    table, rejects = csv_files.load_table(spark, str(tmp_path / "in"), CARS, "t_csv")
+    found = {r.record: r.reason for r in rejects.collect()}
+    wrong = "no value of the column's type: "
+    assert found == {
+        "2024-13-01,1,bad,day": wrong + "d", "2024-01-01,oops,bad,number": wrong + "n", "no,1.5,bad,both": wrong + "n, d",
+        "2024-01-01,1,short": "not 4 fields", "2024-01-01,1,long,line,more": "not 4 fields",
+        "2024-01-01,99999999999,too,big": wrong + "n"}
+    assert rejects.where("file LIKE '%x.csv'").count() == 6 and table.count() + rejects.count() == 8
+    assert table.columns == CARS.names and rejects.columns == csv_files.REJECT_COLUMNS
+
+
+def test_csv_without_files_or_with_a_bad_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("")
+    empty = csv_files.load_csv(spark, str(tmp_path), CARS)
+    assert empty.columns == CARS.names and empty.collect() == []
+    (tmp_path / "y.csv").write_text("a,a\n1,2\n")
+    with pytest.raises(ValueError, match="repeated"):
+        csv_files.load_csv(spark, str(tmp_path), CARS)
+
+
+@pytest.fixture()
+def growing(spark):
+    name = f"grow_{uuid.uuid4().hex}"
+    yield name
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def files_read(df):
+    """Files that a scan of the table takes, after its partition filters."""
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().apply(0)
+    df.collect()
+    return node.metrics().apply("numFiles").value()
+
+
+def test_append_reads_only_the_parts_it_has_keys_for(spark, growing):
+    def batch(lo, hi, tag):
+        return spark.range(lo, hi).select("id", F.concat(F.lit(tag), (F.col("id") % 3).cast("string")).alias("v"))
+
+    read = []
+    for k in range(4):
+        new = batch(100 * k, 100 * k + 60, "a").unionByName(batch(100 * k, 100 * k + 10, "b"))
+        sinks.append_new(new, growing, "id", bucket_by="v", keys_a_part=100)
+        again = sinks.rows_to_append(batch(100 * k + 50, 100 * k + 70, "c"), growing, "id", keys_a_part=100)
+        assert again.count() == 10
+        known = sinks._stored(spark, growing).where(F.col(sinks.KEY_PART).isin([k])).select("id")
+        read.append(files_read(known))
+        text = again._jdf.queryExecution().optimizedPlan().toString()
+        assert f"{sinks.KEY_PART}" in text and re.search(r"key_part#\d+L? (=|IN)", text)
+    assert max(read) <= 2 * min(read) and max(read) <= 8  # not with the table
+    assert sinks.fresh_table(spark, growing).columns == ["id", "v"]
+    assert sinks.fresh_table(spark, growing).count() == 240
+
+
+def test_of_versions_in_a_batch_the_newest_is_kept(spark, growing):
+    rows = [(1, "old", 1), (1, "new", 3), (1, "mid", 2), (2, "only", None), (2, "timed", 0), (3, "x", 5), (3, "y", 5),
+            (None, "n", 1), (None, "n", 2)]
+    df = spark.createDataFrame(rows, "k long, v string, at long").repartition(3)
+    sinks.append_new(df, growing, "k", newest="at")
+    got = sorted(map(tuple, sinks.fresh_table(spark, growing).collect()), key=str)
+    tie = got[2][1]
+    assert got == [(1, "new"), (2, "timed"), (3, tie), (None, "n")] and tie in "xy"
+    sinks.append_new(df.where("v = 'old'").withColumn("at", F.lit(9)), growing, "k", newest="at")
+    sinks.append_new(df, growing, "k", newest="at")
+    assert sorted(map(tuple, sinks.fresh_table(spark, growing).collect()), key=str) == got
+
+
+def test_keys_of_any_type_have_a_part(spark, growing):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "k string, v int")
+    for _ in range(2):
+        sinks.append_new(df, growing, "k")
+    assert sorted(map(tuple, sinks.fresh_table(spark, growing).collect())) == [("a", 1), ("b", 2)]
+
+
+def test_a_hot_key_is_read_in_splits(spark, growing):
+    df = spark.range(400).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("v"))
+    sinks.append_new(df, growing, "id", bucket_by="v")
+    even, hot = (sinks.bucketed_rows(spark, growing, "v", n, 2) for n in (1000, 100))
+    for rows, exchanges in ((even, 0), (hot, 1)):
+        counts = rows.groupBy("v").count()
+        assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == exchanges
+        assert counts.where("v = 'hot'").first()["count"] == 300 and counts.count() == 101
+
+
 def test_jdbc_options():
     plain = staging.jdbc_options("jdbc:x", "t")
     assert plain == {"url": "jdbc:x", "dbtable": "t", "fetchsize": "10000"}

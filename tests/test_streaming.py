@@ -83,7 +83,7 @@ def test_rows_without_a_key_are_told_apart_by_their_columns(spark, table):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (1, "c")], "k int, x string")
     for _ in range(2):
         sinks.append_new(df, table, "k")
-    assert sorted(r.x for r in spark.table(table).collect()) == ["a", "b", "c"]
+    assert sorted(r.x for r in sinks.fresh_table(spark, table).collect()) == ["a", "b", "c"]
 
 
 def test_alert_stream_equals_batch_for_closed_windows(spark, tmp_path):
