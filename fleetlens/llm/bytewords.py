@@ -6,6 +6,7 @@ their start, length and document.  A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 
 PAD = 40  # readable bytes behind the last word, for lane-wise hashing
 BLOCK_BYTES = 4 << 20
+SMALL_BLOCK = 1 << 20  # where nothing is gained from words that repeat in a block
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,6 +45,14 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.per_doc)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers stay alive, idle, beside an executor's other memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batch: pa.RecordBatch, text: int | str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `size` bytes of text, of one row at least."""
     if not batch.num_rows:

@@ -204,7 +204,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, columns: list, item_col: str
     for lo in range(0, len(shards), AT_ONCE):
         def run(batches: Iterator[pa.RecordBatch], group=shards[lo:lo + AT_ONCE]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in bw.blocks(batch, "_text"):
+                for block in bw.blocks(batch, "_text", bw.SMALL_BLOCK):
                     for shard in group:
                         block = _scan(shard.value, block)
                     yield block

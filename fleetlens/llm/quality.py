@@ -151,7 +151,7 @@ def _features_of(rows: DataFrame) -> DataFrame:
     """_label and the features of (_id, _text, _label)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bw.blocks(batch, 1):
+            for block in bw.blocks(batch, 1, bw.SMALL_BLOCK):
                 x = features(block.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [block.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["_label", "x"])
@@ -199,7 +199,7 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bw.blocks(batch, 1):
+            for block in bw.blocks(batch, 1, bw.SMALL_BLOCK):
                 p = scores(shared.value, block.column(1))
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(p, pa.float64())], ["_id", "score"])
 
@@ -213,7 +213,8 @@ def keep_quality(docs: DataFrame, model: dict, least: float = 0.7, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bw.blocks(batch, at):
+            for block in bw.blocks(batch, at, bw.SMALL_BLOCK):
                 yield block.filter(pa.array(scores(shared.value, block.column(at)) >= least))
+        bw.give_back()
 
     return docs.mapInArrow(run, docs.schema)
