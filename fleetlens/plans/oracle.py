@@ -484,6 +484,8 @@ ORACLE: dict[str, str] = {
            (SELECT count(*) FROM d) AS deliveries""", "c", "i", "d"),
     "latest_delivery": statement("SELECT * FROM dl", "dl"),
     "inspection_summary": statement(f"SELECT {_LINKED} FROM ins", "ins"),
+    "latest_delivery_merged": statement("SELECT * FROM dl", "dl"),
+    "inspection_summary_merged": statement(f"SELECT {_LINKED} FROM ins", "ins"),
     "guard_after_delivery": statement(
         "SELECT complaint_id, complaint_date, delivery_date, days_since_delivery FROM s", "s"),
     "complaint_correlation": statement(f"SELECT {_LINKED} FROM s", "s"),

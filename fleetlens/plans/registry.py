@@ -18,7 +18,7 @@ from fleetlens.functions.rules import (
     classify_issue, coverage_gap, map_checklist_item, sql_text)
 from fleetlens.operators import correlation as corr
 from fleetlens.operators import dashboard as dash
-from fleetlens.operators import gaps, inspections, recurrence, rollups, topn
+from fleetlens.operators import gaps, inspections, recurrence, rollups, topn, vehicle_state
 from fleetlens.operators.ids import assign_ids
 from fleetlens.plans import medallion
 from fleetlens.session import scratch_path
@@ -168,6 +168,22 @@ def inspection_summary(spark, sf):
     return _joined(corr.inspection_summary(src.inspections(spark, sf)), "failed_items")
 
 
+@query("inspection_summary_merged")
+def inspection_summary_merged(spark, sf):
+    """The summary from states kept for two parts of the inspections."""
+    rows = src.inspections(spark, sf)
+    parts = [corr.inspection_summary(rows.where(F.pmod("inspection_id", F.lit(2)) == k)) for k in (0, 1)]
+    return _joined(vehicle_state.merge_inspections(*parts), "failed_items")
+
+
+@query("latest_delivery_merged")
+def latest_delivery_merged(spark, sf):
+    """The latest deliveries from states kept for two parts of the deliveries."""
+    rows = src.deliveries(spark, sf)
+    parts = [corr.latest_delivery(rows.where(F.pmod("delivery_id", F.lit(2)) == k)) for k in (0, 1)]
+    return vehicle_state.merge_deliveries(*parts)
+
+
 @query("guard_after_delivery")
 def guard_after_delivery(spark, sf):
     linked = corr.link(*_cid(spark, sf)).select(

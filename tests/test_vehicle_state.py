@@ -1,0 +1,71 @@
+"""Kept aggregates: merging parts equals the whole, and a stored state touches only its vehicles' directories."""
+
+import datetime as dt
+import random
+import uuid
+
+import pytest
+
+from fleetlens.operators import vehicle_state as vs
+from fleetlens.operators.correlation import inspection_summary, latest_delivery
+
+DAY = dt.date(2024, 1, 1)
+INSPECTION = "vehicle_id string, status string, checklist_item string, inspection_date date"
+DELIVERY = "vehicle_id string, delivery_id long, dealer_id string, delivery_date date, delivery_condition string"
+COMPLAINT = "vehicle_id string, complaint_date date"
+
+
+def day(rng):
+    return rng.choice([None, *(DAY + dt.timedelta(days=k) for k in range(4))])
+
+
+def tables(spark, seed, n=120, vehicles=9):
+    rng = random.Random(seed)
+
+    def vehicle():
+        return rng.choice(["hot", "hot", None, *(f"v{k}" for k in range(vehicles))])
+
+    rows = {
+        INSPECTION: [(vehicle(), rng.choice(["Fail", "FAIL", "Pass", None]), rng.choice(["Seats", "Paint", "Lamp", None]),
+                      day(rng)) for _ in range(n)],
+        DELIVERY: [(vehicle(), k, f"D{k % 3}", day(rng), rng.choice(["Good", None])) for k in range(n)],
+        COMPLAINT: [(vehicle(), day(rng)) for _ in range(n)]}
+    kinds = {INSPECTION: (inspection_summary, vs.merge_inspections), DELIVERY: (latest_delivery, vs.merge_deliveries),
+             COMPLAINT: (vs.complaint_state, vs.merge_complaints)}
+    return [(spark.createDataFrame, schema, rows[schema], *kinds[schema]) for schema in rows]
+
+
+def found(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_merge_of_parts_equals_the_whole(spark, seed):
+    rng = random.Random(seed)
+    for frame, schema, rows, state, merge in tables(spark, seed):
+        whole = state(frame(rows, schema))
+        part = [rng.randrange(3) for _ in rows]
+        a, b, c = (state(frame([r for r, k in zip(rows, part) if k == p], schema)) for p in range(3))
+        want = found(whole)
+        assert merge(a, b, c).columns == whole.columns
+        assert found(merge(a, b, c)) == want == found(merge(merge(c, a), b))
+        assert found(merge(whole, state(frame([], schema)))) == want
+
+
+def test_a_stored_state_replaces_only_directories_it_touches(spark):
+    for frame, schema, rows, state, merge in tables(spark, 7):
+        table = f"state_{uuid.uuid4().hex}"
+        try:
+            old, new = rows[:90], [r for r in rows[90:] if r[0] in ("v1", "v2", "w")] + [("w", *rows[0][1:])]
+            vs.add_to_state(state(frame(old, schema)), table, merge, parts=8)
+            before = set(spark.table(table).inputFiles())
+            got = vs.add_to_state(state(frame(new, schema)), table, merge, parts=8)
+            assert found(got) == found(state(frame(old + new, schema)))
+            after = set(spark.table(table).inputFiles())
+            assert before & after and before - after  # some stay as they are, some are replaced
+            touched = {r[0] for r in new}
+            parts = {r[vs.STATE_PART] for r in spark.table(table).collect() if r.vehicle_id in touched}
+            kept = {f.split(f"{vs.STATE_PART}=")[1].split("/")[0] for f in before & after}
+            assert not kept & {str(p) for p in parts}
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
