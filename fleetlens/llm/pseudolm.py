@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood of whole texts (operator 7).
 
 A word's probability given its neighbours is that of its class, from a network over the `WINDOW`
-classes on either side, times that of the word within its class, from corpus counts.  The most
+classes on either side (a group of `GROUP` classes, then the class within the group), times that of the
+word within its class, from corpus counts.  The most
 frequent words are classes of their own; the others fall into classes by their ending.  The score of
 a text is the sum of the logarithms over all its words, each masked in turn.
 
@@ -33,9 +34,13 @@ from fleetlens.llm.scratch import store
 
 OWN, ENDINGS, WINDOW, HIDDEN = 128, 128, 3, 24
 CLASSES = OWN + ENDINGS
+GROUP = 16  # classes that stand together: the network tells groups apart, then the classes of one
+GROUPS = CLASSES // GROUP
 _SHIFTS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
-_SHAPES = {"embed": (2 * WINDOW, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "shift": (CLASSES,)}
-BATCH = 4096
+_SHAPES = {"embed": (2 * WINDOW, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, GROUPS),
+           "shift": (GROUPS,), "inner": (GROUPS, HIDDEN, GROUP), "inner_shift": (GROUPS, GROUP)}
+BATCH, STEP = 4096, 2048  # positions scored, and trained on, at once
+FIRST_MEMORY = 1e-5  # squares of gradients before the first step
 SHARED = 65_536  # words whose counts are sent to all tasks
 
 
@@ -111,7 +116,7 @@ def encode(words: bw.Words, vocab: dict[str, np.ndarray]) -> tuple[np.ndarray, n
 def contexts(own: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Classes around the positions; CLASSES where the text has no word."""
     doc = np.searchsorted(first, at, "right") - 1
-    out = np.full((len(at), 2 * WINDOW), CLASSES, np.int64)
+    out = np.full((len(at), 2 * WINDOW), CLASSES, np.int16)
     for k, shift in enumerate(_SHIFTS):
         there = at + shift
         inside = (there >= first[doc]) & (there < first[doc + 1])
@@ -120,18 +125,42 @@ def contexts(own: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def hidden(net: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(net["embed"][k].take(around[:, k], axis=0) for k in range(2 * WINDOW)) + net["bias"])
+    total = net["embed"][0].take(around[:, 0], axis=0)
+    for k in range(1, 2 * WINDOW):
+        total += net["embed"][k].take(around[:, k], axis=0)
+    total += net["bias"]
+    return np.tanh(total, out=total)
+
+
+def by_group(target: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order of the targets by their group of classes, and where each group begins and the last ends."""
+    group = (target // GROUP).astype(np.uint8)
+    return np.argsort(group, kind="stable"), [0, *np.cumsum(np.bincount(group, minlength=GROUPS))]
+
+
+def shares(net: dict[str, np.ndarray], h: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the groups, and of the classes in the target's group; rows come by group."""
+    groups, inner = h @ net["out"], np.empty((len(h), GROUP), h.dtype)
+    groups += net["shift"]
+    for g in range(GROUPS):
+        part = slice(ends[g], ends[g + 1])
+        np.matmul(h[part], net["inner"][g], out=inner[part])
+        inner[part] += net["inner_shift"][g]
+    for z in (groups, inner):
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+    return groups, inner
 
 
 def log_probs(net: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of the target classes, in batches."""
     out = np.empty(len(target))
     for lo in range(0, len(target), BATCH):
-        part = slice(lo, lo + BATCH)
-        z = hidden(net, around[part]) @ net["out"] + net["shift"]
-        z -= z.max(axis=1, keepdims=True)
-        picked = z[np.arange(len(z)), target[part]]
-        out[part] = picked - np.log(np.exp(z).sum(axis=1))
+        order, ends = by_group(target[lo:lo + BATCH])
+        y, rows = target[lo + order], np.arange(len(order))
+        groups, inner = shares(net, hidden(net, around[lo + order]), ends)
+        out[lo + order] = np.log(groups[rows, y // GROUP]) + np.log(inner[rows, y % GROUP])
     return out
 
 
@@ -139,35 +168,49 @@ def start(vocab: dict[str, np.ndarray], seed: int = 0) -> dict[str, np.ndarray]:
     """Weights to begin with: the classes' own shares, whatever stands around."""
     rng = np.random.default_rng(seed)
     net = {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
-    net["embed"] = rng.normal(0, 0.1, _SHAPES["embed"]).astype(np.float32)
-    net["out"] = rng.normal(0, 0.1, _SHAPES["out"]).astype(np.float32)
-    net["shift"] = vocab["classes"].astype(np.float32)
+    for k in ("embed", "out", "inner"):
+        net[k] = rng.normal(0, 0.1, _SHAPES[k]).astype(np.float32)
+    own = vocab["classes"].reshape(GROUPS, GROUP)
+    net["shift"] = np.log(np.exp(own).sum(axis=1)).astype(np.float32)
+    net["inner_shift"] = (own - net["shift"][:, None]).astype(np.float32)
     return net
 
 
 def steps(net: dict[str, np.ndarray], memory: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray,
           rate: float) -> None:
     """Adagrad steps over batches of positions, in place."""
-    for lo in range(0, len(target), 512):
-        x, y = around[lo:lo + 512], target[lo:lo + 512]
-        h = hidden(net, x)
-        z = h @ net["out"] + net["shift"]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p /= len(y)
-        back = (p @ net["out"].T) * (1 - h * h)
-        grads = {"out": h.T @ p, "shift": p.sum(axis=0), "bias": back.sum(axis=0)}
-        for k in range(2 * WINDOW):
-            order = np.argsort(x[:, k])
-            own = x[order, k]
-            at = np.flatnonzero(np.diff(own, prepend=-1))
-            rows, grad = own[at], np.add.reduceat(back[order], at)
-            memory["embed"][k, rows] += grad * grad
-            net["embed"][k, rows] -= rate * grad / np.sqrt(memory["embed"][k, rows])
+    places = np.arange(2 * WINDOW, dtype=np.int16) * np.int16(CLASSES + 1)
+    flat = {"net": net["embed"].reshape(-1, HIDDEN), "memory": memory["embed"].reshape(-1, HIDDEN)}
+    for lo in range(0, len(target), STEP):
+        order, ends = by_group(target[lo:lo + STEP])
+        x, y = around[lo + order], target[lo + order]
+        rows, h = np.arange(len(y)), hidden(net, x)
+        groups, inner = shares(net, h, ends)
+        groups[rows, y // GROUP] -= 1
+        inner[rows, y % GROUP] -= 1
+        groups /= len(y)
+        inner /= len(y)
+        back = groups @ net["out"].T
+        grads = {"out": h.T @ groups, "shift": groups.sum(axis=0), "inner": np.empty_like(net["inner"]),
+                 "inner_shift": np.empty_like(net["inner_shift"])}
+        for g in range(GROUPS):
+            part = slice(ends[g], ends[g + 1])
+            back[part] += inner[part] @ net["inner"][g].T
+            np.matmul(h[part].T, inner[part], out=grads["inner"][g])
+            inner[part].sum(axis=0, out=grads["inner_shift"][g])
+        back *= 1 - h * h
+        grads["bias"] = back.sum(axis=0)
+        code = (x.astype(np.int16) + places).ravel()  # all places' rows of the embedding in one sort
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        at = np.flatnonzero(np.diff(code, prepend=-1))
+        touched, grad = code[at], np.add.reduceat(back.take(order // (2 * WINDOW), axis=0), at)
+        seen = flat["memory"][touched] + grad * grad
+        flat["memory"][touched] = seen
+        flat["net"][touched] -= rate * grad / np.sqrt(seen)
         for k, grad in grads.items():
             memory[k] += grad * grad
-            net[k] -= (rate * grad / np.sqrt(memory[k])).astype(np.float32)
+            net[k] -= rate * grad / np.sqrt(memory[k])
 
 
 def _flat(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -197,7 +240,7 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], r=r, shared=shared) -> Iterator[pa.RecordBatch]:
             own_net = {k: v.copy() for k, v in shared.value.items()}
-            memory = {k: np.full(v.shape, 1e-3, np.float32) for k, v in own_net.items()}
+            memory = {k: np.full(v.shape, FIRST_MEMORY, np.float32) for k, v in own_net.items()}
             seen = 0
             for batch in batches:
                 for block in bw.blocks(batch, 0):
@@ -224,7 +267,7 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
 
 
 def fit(docs: DataFrame, text_col: str = "text", listed: int | None = None, rounds: int = 2, stride: int = 2,
-        rate: float = 0.1) -> dict:
+        rate: float = 0.2) -> dict:
     """Vocabulary and network for a table of documents, and the counts of all words unless only `listed` ones are to count."""
     counts = store(word_counts(docs, text_col), "words")
     vocab = vocabulary(counts, SHARED if listed is None else listed)

@@ -1,6 +1,8 @@
 """Classifiers and the language model: held-out accuracy on the given tables, awkward rows, invariants."""
 
 import inspect
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -111,9 +113,10 @@ def brute_log_prob(model, text):
         for k, shift in enumerate([-3, -2, -1, 1, 2, 3]):
             j = i + shift
             h += net["embed"][k][own[j] if 0 <= j < len(own) else pseudolm.CLASSES]
-        z = np.tanh(h) @ net["out"] + net["shift"]
-        p = np.exp(z - z.max())
-        total += np.log(p[own[i]] / p.sum()) + within[i]
+        h, (group, member) = np.tanh(h), divmod(own[i], pseudolm.GROUP)
+        p = np.exp(h @ net["out"] + net["shift"])
+        q = np.exp(h @ net["inner"][group] + net["inner_shift"][group])
+        total += np.log(p[group] / p.sum()) + np.log(q[member] / q.sum()) + within[i]
     return total
 
 
@@ -132,7 +135,7 @@ def test_pseudo_likelihood_equals_one_word_at_a_time(llm_spark, sf_dir, odd_docs
 def test_training_beats_word_counts_alone(llm_spark):
     docs = llm_spark.read.parquet(f"{SF}/documents.parquet")
     model = pseudolm.fit(docs)
-    counts_alone = model | {"net": {k: np.zeros_like(v) for k, v in model["net"].items()} | {"shift": model["vocab"]["classes"]}}
+    counts_alone = model | {"net": {k: v if "shift" in k else np.zeros_like(v) for k, v in pseudolm.start(model["vocab"]).items()}}
     mean = lambda m: pseudolm.pseudo_likelihood(docs, m).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
     assert mean(model) > mean(counts_alone) + 0.1
 
@@ -169,6 +172,43 @@ def test_every_word_scores_with_its_own_count(llm_spark, monkeypatch):
     assert len({own[w] for w in ("station", "ration")}) == 1 and counts["station"] != counts["ration"]
 
 
+def test_registered_pseudo_likelihood_equals_plain_words(llm_spark, sf_dir):
+    """The query's own path: a trained network and every word's own count, in plain Python over the same classes."""
+    docs = llm_spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = pseudolm.fit(docs)
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text)) for i, text in texts}
+    counts = Counter(w for ws in words.values() for w in ws)
+    kinds = list(counts)
+    own = dict(zip(kinds, pseudolm.encode(bw.split_words(pa.array([" ".join(kinds)]), lower=True), model["vocab"])[0]))
+    total = Counter()
+    for w, n in counts.items():
+        total[own[w]] += n
+    net = {k: v.astype(float) for k, v in model["net"].items()}
+    got = {r.doc_id: r.log_prob for r in pseudolm.pseudo_likelihood(docs, model).collect()}
+    assert got.keys() == words.keys()
+    for i in list(words)[:25]:
+        ws, want = words[i][:], 0.0
+        for at, w in enumerate(ws):
+            h = net["bias"].copy()
+            for k, shift in enumerate([-3, -2, -1, 1, 2, 3]):
+                h += net["embed"][k][own[ws[at + shift]] if 0 <= at + shift < len(ws) else pseudolm.CLASSES]
+            h, (group, member) = np.tanh(h), divmod(own[w], pseudolm.GROUP)
+            p = np.exp(h @ net["out"] + net["shift"])
+            q = np.exp(h @ net["inner"][group] + net["inner_shift"][group])
+            unseen = own[w] >= pseudolm.OWN  # such a class holds one unseen word more
+            want += np.log(p[group] / p.sum() * q[member] / q.sum() * counts[w] / (total[own[w]] + unseen))
+        assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
+def test_classes_shares_sum_to_one():
+    rng = np.random.default_rng(1)
+    net = {k: rng.normal(0, 1, v) for k, v in pseudolm._SHAPES.items()}
+    around = np.tile(rng.integers(0, pseudolm.CLASSES + 1, (1, 2 * pseudolm.WINDOW)), (pseudolm.CLASSES, 1))
+    every = np.arange(pseudolm.CLASSES)
+    assert np.exp(pseudolm.log_probs(net, around, rng.permutation(every))).sum() == pytest.approx(1)
+
+
 def test_every_position_is_a_training_target():
     default = {k: p.default for k, p in inspect.signature(pseudolm.fit).parameters.items()}
     for n in (0, 1, 5, 16, 1000):
