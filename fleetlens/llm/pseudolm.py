@@ -11,7 +11,7 @@ driver gets the SHARED most frequent words and one row for each class; the other
 about 1 / SHARED of all, meet their counts in a join, so every word scores with its own count.  A
 model that is fitted with `listed` words has no counts beyond them: these share what their class has left.  The network is trained where the texts are: in each round every task
 starts from the same weights, takes steps over one position in `stride` of all of its words (other
-ones in each round), and the weights are averaged, number by number, in Spark.  There are as many
+ones in each round), and the weights are averaged in Spark, in rows of WIDTH.  There are as many
 rounds as `stride`, so every position of every document is a target once.
 
 Defined results: a null, empty or wordless text has n_tokens 0, log_prob 0 and no mean.  An empty
@@ -40,6 +40,8 @@ _SHIFTS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 _SHAPES = {"embed": (2 * WINDOW, CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, GROUPS),
            "shift": (GROUPS,), "inner": (GROUPS, HIDDEN, GROUP), "inner_shift": (GROUPS, GROUP)}
 BATCH, STEP = 4096, 2048  # positions scored, and trained on, at once
+MOST = 60  # size of a logit
+WIDTH = HIDDEN  # weights that travel in one row
 FIRST_MEMORY = 1e-5  # squares of gradients before the first step
 SHARED = 65_536  # words whose counts are sent to all tasks
 
@@ -147,9 +149,9 @@ def shares(net: dict[str, np.ndarray], h: np.ndarray, ends: list[int]) -> tuple[
         np.matmul(h[part], net["inner"][g], out=inner[part])
         inner[part] += net["inner_shift"][g]
     for z in (groups, inner):
-        z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -MOST, MOST, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]  # faster than a sum of short rows
     return groups, inner
 
 
@@ -213,8 +215,10 @@ def steps(net: dict[str, np.ndarray], memory: dict[str, np.ndarray], around: np.
             net[k] -= rate * grad / np.sqrt(memory[k])
 
 
-def _flat(net: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in _SHAPES])
+def _rows(net: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights in rows of WIDTH, filled up with zeros."""
+    flat = np.concatenate([net[k].ravel() for k in _SHAPES])
+    return np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
 
 
 def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -233,6 +237,7 @@ def positions(n: int, r: int, stride: int) -> np.ndarray:
 
 def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds: int, stride: int, rate: float) -> dict:
     net = start(vocab)
+    columns = [f"w{j}" for j in range(WIDTH)]
     context = docs.sparkSession.sparkContext
     shared_vocab = context.broadcast(vocab)
     for r in range(rounds):
@@ -243,7 +248,7 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
             memory = {k: np.full(v.shape, FIRST_MEMORY, np.float32) for k, v in own_net.items()}
             seen = 0
             for batch in batches:
-                for block in bw.blocks(batch, 0):
+                for block in bw.blocks(batch, 0, bw.SMALL_BLOCK):
                     words = bw.split_words(block.column(0), lower=True)
                     own, _ = encode(words, shared_vocab.value)
                     rng = np.random.default_rng(len(own) * rounds + r)
@@ -251,18 +256,18 @@ def train(docs: DataFrame, vocab: dict[str, np.ndarray], text_col: str, rounds:
                     steps(own_net, memory, contexts(own, words.first, at), own[at], rate)
                     seen += len(at)
             if seen:
-                flat = _flat(own_net).astype(np.float64)
+                rows = _rows(own_net).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), seen))],
-                    ["k", "value", "n"])
-
-        added = docs.select(text_col).mapInArrow(run, "k int, value double, n long").groupBy("k").agg(
-            (F.sum("value") / F.sum("n")).alias("mean"))
-        means = added.toPandas()
+                    [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), seen)),
+                     *(pa.array(rows[:, j]) for j in range(WIDTH))], ["k", "n", *columns])
+            bw.give_back()
+
+        added = docs.select(text_col).mapInArrow(
+            run, f"k int, n long, {', '.join(f'{c} double' for c in columns)}").groupBy("k").agg(
+            *((F.sum(c) / F.sum("n")).alias(c) for c in columns))
+        means = added.toPandas().sort_values("k")  # as many rows as the network has, whatever the tasks
         if len(means):
-            flat = np.zeros(len(means))
-            flat[means["k"].to_numpy()] = means["mean"].to_numpy()
-            net = _shaped(flat)
+            net = _shaped(means[columns].to_numpy().ravel())
     return net
 
 
@@ -287,7 +292,7 @@ def pseudo_likelihood(docs: DataFrame, model: dict, id_col: str = "doc_id", text
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 33
         for batch in batches:
-            for block in bw.blocks(batch, 1):
+            for block in bw.blocks(batch, 1, bw.SMALL_BLOCK):
                 words = bw.split_words(block.column(1), lower=True)
                 own, within = encode(words, vocab)
                 n = words.per_doc
@@ -307,6 +312,7 @@ def pseudo_likelihood(docs: DataFrame, model: dict, id_col: str = "doc_id", text
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare.view(np.int64)))],
                     ["_id", "_row", "n_tokens", "log_prob", "rare"])
                 row += len(n)
+        bw.give_back()
 
     scored = rows.mapInArrow(
         run, f"_id {dict(rows.dtypes)['_id']}, _row long, n_tokens long, log_prob double, rare array<long>")
