@@ -10,7 +10,9 @@ from fleetlens.operators import dashboard as dash
 from fleetlens.operators import rollups
 from fleetlens.operators.gaps import epdi_gaps, gap_analysis, gap_vehicles
 from fleetlens.sources import staging as stg
-from fleetlens.sources.sinks import append_new, bucketed_rows, materialize, replace_rows
+from fleetlens.sources.sinks import (
+    append_new, bucketed_rows, buckets_of, class_of, fresh_table, materialize, replace_parts, replace_rows, rows_in_classes,
+    rows_to_append)
 
 FEEDS = [
     ("complaints", "complaint_id", stg.COMPLAINT_COLUMNS, stg.to_bronze_complaints),
@@ -19,6 +21,19 @@ FEEDS = [
 ]
 
 
+VEHICLE_PART = "vehicle_part"  # directory of a silver row: the bucket that bronze has its vehicle in
+TOUCHED = "silver_touched"
+
+
+def _new_rows(name: str, columns: list[str], to_bronze, staged: dict[str, DataFrame]) -> tuple[DataFrame, str | None]:
+    """Unprocessed rows of a feed in bronze form, and the column that tells versions of a record apart."""
+    timed = staged[name]
+    newest = stg.INGESTED if "created_at" in timed.columns else None
+    if newest:
+        timed = timed.withColumn(newest, F.col("created_at"))
+    return to_bronze(stg.read_unprocessed(timed, [*columns, *([newest] if newest else [])])), newest
+
+
 def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> None:
     """Append the unprocessed rows of the three feeds that bronze doesn't hold yet.
 
@@ -28,11 +43,7 @@ def run_bronze(staged: dict[str, DataFrame], prefix: str = "") -> None:
     by vehicle, so that silver links them without an exchange.
     """
     for name, id_col, columns, to_bronze in FEEDS:
-        timed = staged[name]
-        newest = stg.INGESTED if "created_at" in timed.columns else None
-        if newest:
-            timed = timed.withColumn(newest, F.col("created_at"))
-        new = to_bronze(stg.read_unprocessed(timed, [*columns, *([newest] if newest else [])]))
+        new, newest = _new_rows(name, columns, to_bronze, staged)
         append_new(new, f"{prefix}bronze_{name}", id_col, newest, bucket_by="vehicle_id")
 
 
@@ -48,17 +59,68 @@ def run_silver(spark: SparkSession, prefix: str = "") -> DataFrame:
     them and the gold detail table a projection, so neither repeats the join.
     """
     c, i, d = bronze_tables(spark, prefix)
-    links = materialize(corr.link(c, i, d), f"{prefix}silver_complaint_links")
-    linked = materialize(corr.guard_after_delivery(links),
-                         f"{prefix}silver_complaint_correlation")
+    links = materialize(_in_directories(spark, prefix, corr.link(c, i, d)), f"{prefix}silver_complaint_links",
+                        partition_by=VEHICLE_PART)
+    linked = materialize(corr.guard_after_delivery(links), f"{prefix}silver_complaint_correlation",
+                         partition_by=VEHICLE_PART).drop(VEHICLE_PART)
+    return _run_gaps(prefix, c, i, linked)
+
+
+def _vehicle_classes(spark: SparkSession, prefix: str) -> int:
+    return buckets_of(spark, f"{prefix}bronze_complaints") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_directories(spark: SparkSession, prefix: str, links: DataFrame) -> DataFrame:
+    return links.withColumn(VEHICLE_PART, class_of("vehicle_id", _vehicle_classes(spark, prefix)))
+
+
+def silver_table(spark: SparkSession, name: str, prefix: str = "") -> DataFrame:
+    """The rows of `complaint_links` or `complaint_correlation`, without their directory."""
+    return fresh_table(spark, f"{prefix}silver_{name}").drop(VEHICLE_PART)
+
+
+def _run_gaps(prefix: str, c: DataFrame, i: DataFrame, linked: DataFrame) -> DataFrame:
     gaps = materialize(epdi_gaps(c, i), f"{prefix}silver_epdi_gaps")
     materialize(gap_vehicles(c, i), f"{prefix}silver_epdi_gap_vehicles")
     return rollups.quality_checks(linked, gaps)
 
 
+def run_increment(spark: SparkSession, staged: dict[str, DataFrame], prefix: str = "") -> list[int]:
+    """Bring new rows to bronze and link again only the vehicles that share a bucket with one of them.
+
+    Silver must have been made by :func:`run_silver`.  Of bronze and of the two tables of links only touched buckets are read
+    and replaced, so a run costs what those hold; a second run without new rows touches nothing.  The buckets are noted in a
+    table before bronze grows and struck out when silver holds them, so a run that died is made good by the next one: linking
+    again gives the same rows.  The gap tables and gold are aggregates of the whole and are left to :func:`run_silver`'s and
+    :func:`run_gold`'s next run.  One run at a time may write.  Returns the touched buckets.
+    """
+    classes, noted = _vehicle_classes(spark, prefix), f"{prefix}{TOUCHED}"
+    touched: set[int] = set()
+    for name, id_col, columns, to_bronze in FEEDS:
+        new, newest = _new_rows(name, columns, to_bronze, staged)
+        fresh = rows_to_append(new, f"{prefix}bronze_{name}", id_col, newest)
+        touched |= {r[0] for r in fresh.select(class_of("vehicle_id", classes)).distinct().collect()}  # `classes` at most
+    if touched:
+        spark.createDataFrame([(k,) for k in sorted(touched)], f"{VEHICLE_PART} int").coalesce(1).write.mode(
+            "append").saveAsTable(noted)
+    run_bronze(staged, prefix)
+    if not spark.catalog.tableExists(noted):
+        return []
+    touched = {r[0] for r in fresh_table(spark, noted).distinct().collect()}
+    if touched:
+        wanted = sorted(touched)
+        c, i, d = (rows_in_classes(spark, f"{prefix}bronze_{name}", "vehicle_id", classes, wanted) for name, *_ in FEEDS)
+        links = f"{prefix}silver_complaint_links"
+        replace_parts(_in_directories(spark, prefix, corr.link(c, i, d)), links, VEHICLE_PART, wanted)
+        again = spark.table(links).where(F.col(VEHICLE_PART).isin(wanted))
+        replace_parts(corr.guard_after_delivery(again), f"{prefix}silver_complaint_correlation", VEHICLE_PART, wanted)
+        spark.sql(f"TRUNCATE TABLE `{noted}`")
+    return sorted(touched)
+
+
 def run_gold(spark: SparkSession, prefix: str = "") -> DataFrame:
-    links = spark.table(f"{prefix}silver_complaint_links")
-    linked = spark.table(f"{prefix}silver_complaint_correlation")
+    links = silver_table(spark, "complaint_links", prefix)
+    linked = silver_table(spark, "complaint_correlation", prefix)
     gaps = spark.table(f"{prefix}silver_epdi_gaps")
     materialize(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
     materialize(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
@@ -120,7 +182,7 @@ def drop_tables(spark: SparkSession, prefix: str) -> None:
 def stored_detail(spark: SparkSession, prefix: str = "") -> DataFrame:
     """The detail table by the join of stored complaints and stored correlation."""
     return corr.complaint_detail(spark.table(f"{prefix}bronze_complaints"),
-                                 spark.table(f"{prefix}silver_complaint_correlation"))
+                                 silver_table(spark, "complaint_correlation", prefix))
 
 
 def stored_recommendations(spark: SparkSession, prefix: str = "") -> DataFrame:

@@ -294,8 +294,7 @@ def _stored_run(spark: SparkSession, sf: str) -> str:
 
 @query("stored_correlation")
 def stored_correlation(spark, sf):
-    table = f"{_stored_run(spark, sf)}silver_complaint_correlation"
-    return _joined(spark.table(table), "failed_items")
+    return _joined(medallion.silver_table(spark, "complaint_correlation", _stored_run(spark, sf)), "failed_items")
 
 
 @query("stored_detail")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.topn import latest_by
+from fleetlens.session import scratch_path
 
 
 def append(df: DataFrame, table: str) -> None:
@@ -15,6 +16,7 @@ def append(df: DataFrame, table: str) -> None:
 KEY_PART = "key_part"
 KEYS_A_PART = 10_000_000
 MOST_PARTS = 10_000
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def _stored(spark: SparkSession, table: str) -> DataFrame:
@@ -74,7 +76,7 @@ def append_new(df: DataFrame, table: str, key: str, newest: str | None = None,
     spark = df.sparkSession
     rows = rows_to_append(df, table, key, newest, keys_a_part)
     if bucket_by and spark.catalog.tableExists(table):
-        buckets = _buckets(spark, table)
+        buckets = buckets_of(spark, table)
     else:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if bucket_by else 0
     if buckets:
@@ -83,7 +85,8 @@ def append_new(df: DataFrame, table: str, key: str, newest: str | None = None,
     (write.bucketBy(buckets, bucket_by) if buckets else write).saveAsTable(table)
 
 
-def _buckets(spark: SparkSession, table: str) -> int:
+def buckets_of(spark: SparkSession, table: str) -> int:
+    """Number of buckets of a table, 0 if it has none."""
     described = spark.sql(f"DESCRIBE EXTENDED `{table}`").where("col_name = 'Num Buckets'").first()
     return int(described.data_type) if described else 0
 
@@ -94,7 +97,7 @@ def bucketed_rows(spark: SparkSession, table: str, key: str, most_rows: int = 50
     A bucket is read by one task.  Where one has more than ``most_rows`` rows and ``most_share`` times its share, as with a
     hot key, the files are read in splits instead; joins and groups then shuffle, after combining in the scan's tasks.
     """
-    buckets, df = _buckets(spark, table), fresh_table(spark, table)
+    buckets, df = buckets_of(spark, table), fresh_table(spark, table)
     if not buckets:
         return df
     sizes = [r["count"] for r in df.groupBy(F.pmod(F.hash(key), F.lit(buckets))).count().collect()]
@@ -104,16 +107,60 @@ def bucketed_rows(spark: SparkSession, table: str, key: str, most_rows: int = 50
     return spark.read.schema(_stored(spark, table).schema).parquet(described.data_type).drop(KEY_PART)
 
 
-def materialize(df: DataFrame, table: str, cluster_by: str | None = None) -> DataFrame:
+def class_of(key: str, classes: int) -> Column:
+    """Class of a row by its key: the bucket that a table bucketed by ``key`` alone has it in."""
+    return F.pmod(F.hash(key), F.lit(classes))
+
+
+def rows_in_classes(spark: SparkSession, table: str, key: str, classes: int, wanted: list[int]) -> DataFrame:
+    """The rows whose key is in one of the ``wanted`` classes.
+
+    Where the table is bucketed by ``key`` into as many buckets, only the files of those buckets are opened: a bucket's
+    number stands in its files' names, and Spark prunes files by a condition on their names.
+    """
+    rows = _stored(spark, table)
+    if buckets_of(spark, table) == classes:
+        number = F.regexp_extract("_metadata.file_name", r"_(\d+)(\.[^_]*)?$", 1)
+        rows = rows.where(number.cast("int").isin(wanted))
+    return rows.where(class_of(key, classes).isin(wanted)).drop(KEY_PART)
+
+
+def replace_parts(df: DataFrame, table: str, part: str, wanted: list[int]) -> None:
+    """Let ``df`` be the content of the ``wanted`` directories of a table partitioned by ``part``; the others keep their files.
+
+    ``df`` may read the table: its rows are written aside first.  A large directory is split
+    over several files and tasks.  Doing it again with the same rows changes nothing.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "parts")
+    df.write.parquet(path)
+    aside = spark.read.schema(df.schema).parquet(path).select(spark.table(table).columns)
+    filled = {r[0] for r in aside.select(part).distinct().collect()}
+    if not filled <= set(wanted):
+        raise ValueError(f"rows outside the directories to be replaced: {sorted(filled - set(wanted))[:5]}")
+    before = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, "dynamic")  # the writer has no option of its own for tables
+    try:
+        aside.hint("rebalance", F.col(part)).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(_OVERWRITE, before)
+    for empty in sorted(set(wanted) - filled):  # an overwrite leaves directories alone that get no row
+        spark.sql(f"ALTER TABLE `{table}` DROP IF EXISTS PARTITION (`{part}` = {empty})")
+    spark.catalog.refreshTable(table)
+
+
+def materialize(df: DataFrame, table: str, cluster_by: str | None = None,
+                partition_by: str | None = None) -> DataFrame:
     """Create or replace ``table`` from ``df`` and return it as read back.
 
     The returned frame starts a new lineage at the stored files, so a lost
     executor costs a re-read, not a recomputation.  ``cluster_by`` range
-    partitions the files on a column later filters use.
+    partitions the files on a column later filters use; ``partition_by`` gives each value of a column a directory.
     """
     if cluster_by:
         df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
-    df.write.mode("overwrite").saveAsTable(table)
+    write = df.write.mode("overwrite")
+    (write.partitionBy(partition_by) if partition_by else write).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
