@@ -11,8 +11,8 @@ from fleetlens.operators import rollups
 from fleetlens.operators.gaps import epdi_gaps, gap_analysis, gap_vehicles
 from fleetlens.sources import staging as stg
 from fleetlens.sources.sinks import (
-    append_new, bucketed_rows, buckets_of, class_of, fresh_table, materialize, replace_parts, replace_rows, rows_in_classes,
-    rows_to_append)
+    append_new, bucketed_rows, buckets_of, class_of, fresh_table, materialize, publish, replace_parts,
+    replace_rows, rows_in_classes, rows_to_append)
 
 FEEDS = [
     ("complaints", "complaint_id", stg.COMPLAINT_COLUMNS, stg.to_bronze_complaints),
@@ -122,11 +122,11 @@ def run_gold(spark: SparkSession, prefix: str = "") -> DataFrame:
     links = silver_table(spark, "complaint_links", prefix)
     linked = silver_table(spark, "complaint_correlation", prefix)
     gaps = spark.table(f"{prefix}silver_epdi_gaps")
-    materialize(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
-    materialize(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
-    materialize(dash.delivery_service_link(linked), f"{prefix}gold_delivery_service_link")
-    detail = materialize(corr.detail_from_links(links), f"{prefix}gold_complaint_detail")
-    recommended = materialize(dash.checklist_recommendations(detail),
+    publish(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
+    publish(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
+    publish(dash.delivery_service_link(linked), f"{prefix}gold_delivery_service_link")
+    detail = publish(corr.detail_from_links(links), f"{prefix}gold_complaint_detail")
+    recommended = publish(dash.checklist_recommendations(detail),
                               f"{prefix}gold_checklist_recommendations")
     replace_rows(dash.enhanced_recommendations(recommended),
                  f"{prefix}gold_checklist_recommendations_ai")
@@ -145,11 +145,11 @@ def gold_checks(spark: SparkSession, prefix: str = "") -> DataFrame:
 def run_rollups(spark: SparkSession, staged: dict[str, DataFrame], prefix: str = "") -> None:
     """The four tables behind the summary cards."""
     c, i, d = bronze_tables(spark, prefix)
-    materialize(rollups.complaint_trends(staged["complaints"]), f"{prefix}gold_complaint_trends")
-    materialize(rollups.dealer_performance(staged["complaints"], staged["inspections"]),
+    publish(rollups.complaint_trends(staged["complaints"]), f"{prefix}gold_complaint_trends")
+    publish(rollups.dealer_performance(staged["complaints"], staged["inspections"]),
                 f"{prefix}gold_dealer_performance")
-    materialize(rollups.vehicle_risk_profile(c, i, d), f"{prefix}gold_vehicle_risk_profile")
-    materialize(rollups.checklist_gap_analysis(spark.table(f"{prefix}gold_complaint_detail")),
+    publish(rollups.vehicle_risk_profile(c, i, d), f"{prefix}gold_vehicle_risk_profile")
+    publish(rollups.checklist_gap_analysis(spark.table(f"{prefix}gold_complaint_detail")),
                 f"{prefix}gold_checklist_gap_analysis")
 
 
@@ -171,12 +171,12 @@ def run_all(spark: SparkSession, staged: dict[str, DataFrame],
 
 
 def drop_tables(spark: SparkSession, prefix: str) -> None:
-    """Drop every table whose name begins with ``prefix``, which must not be empty."""
+    """Drop every table and view whose name begins with ``prefix``, which must not be empty."""
     if not prefix:
         raise ValueError("a prefix is needed")
     for table in spark.catalog.listTables():
         if table.name.startswith(prefix) and not table.isTemporary:
-            spark.sql(f"DROP TABLE `{table.name}`")
+            spark.sql(f"DROP {'VIEW' if table.tableType == 'VIEW' else 'TABLE'} `{table.name}`")
 
 
 def stored_detail(spark: SparkSession, prefix: str = "") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,9 +166,44 @@ def materialize(df: DataFrame, table: str, cluster_by: str | None = None,
     return df.sparkSession.table(table)
 
 
+VERSION = "__v"
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """Stored versions of a published name, oldest first."""
+    start = f"{name}{VERSION}".lower()
+    return sorted(t.name for t in spark.catalog.listTables() if t.name.lower().startswith(start) and t.tableType != "VIEW")
+
+
+def publish(df: DataFrame, name: str, kept: int = 2) -> DataFrame:
+    """Let the view ``name`` show the rows of ``df`` from one moment to the next, and return them as read back.
+
+    The rows are written as a table of their own, then the view is switched to it: readers see the old rows or the new ones,
+    never none, and a write that fails leaves the old ones.  A version stays until ``kept`` younger ones are there
+    (the shown one among them), so a query that began before a switch can end.  ``df`` may read ``name``.  Each write has a
+    name of its own, so files that a lost driver left behind are in nobody's way.  A plain table of that name gives way
+    to the view once.  One run at a time may publish a name.
+    """
+    spark = df.sparkSession
+    old = versions(spark, name)
+    last = int(old[-1].lower().rsplit(VERSION, 1)[1].split("_")[0]) if old else 0
+    table = f"{name}{VERSION}{last + 1:010d}_{uuid.uuid4().hex[:8]}"
+    try:
+        df.write.saveAsTable(table)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        raise
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"DROP TABLE `{name}`")
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM `{table}`")
+    for gone in [*old, table][:-kept]:
+        spark.sql(f"DROP TABLE IF EXISTS `{gone}`")
+    return spark.table(name)
+
+
 def replace_rows(df: DataFrame, table: str, stamp: str = "generated_at") -> DataFrame:
-    """Replace the content of ``table`` with ``df`` plus a load timestamp, in one write."""
-    return materialize(df.withColumn(stamp, F.current_timestamp()), table)
+    """Replace the rows shown as ``table`` with ``df`` plus a load timestamp, in one step; see :func:`publish`."""
+    return publish(df.withColumn(stamp, F.current_timestamp()), table)
 
 
 def query_table(spark: SparkSession, table: str, where: Column | None = None,
