@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.functions.scalars import instant_to_wall, wall_to_instant
+from fleetlens.sources.sinks import fresh_table, materialize, replace_parts
+
+BATCH = "batch_id"
 
 
 def spike_alert(complaints: DataFrame, time_col: str = "created_at",
@@ -47,3 +51,32 @@ def open_windows(complaints: DataFrame, time_col: str = "created_at",
     last = complaints.agg(F.max(time_col)).scalar()
     return spike_alert(complaints, time_col, watermark=watermark, **options).where(
         F.col("window_end") > last - F.expr(f"INTERVAL {watermark}"))
+
+
+def merged_alert_stream(complaints: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:
+    """Count the available complaints of a stream into ``table``, so that late ones correct the windows they belong to.
+
+    Each micro-batch keeps its own counts, of whatever windows its complaints are in, in a directory of its
+    own, and counts add up: no complaint is too late, and no state is held.  A batch that is retried replaces its directory.
+    The table belongs to the checkpoint; a stream that starts anew needs a new table.  ``options`` are those of
+    :func:`spike_alert` but ``more_than``; :func:`merged_alerts` reads the table.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = spike_alert(batch, more_than=0, **options).withColumn(BATCH, F.lit(batch_id).cast("int"))
+        if not batch.sparkSession.catalog.tableExists(table):
+            materialize(counts.limit(0), table, partition_by=BATCH)
+        replace_parts(counts, table, BATCH, [batch_id])
+
+    return (
+        complaints.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def merged_alerts(spark: SparkSession, table: str, more_than: int = 5) -> DataFrame:
+    """The alerts of all complaints counted so far: what :func:`spike_alert` gives for them as one batch."""
+    counts = fresh_table(spark, table).drop(BATCH)
+    groups = [c for c in counts.columns if c != "complaints"]
+    return counts.groupBy(*groups).agg(F.sum("complaints").alias("complaints")).where(F.col("complaints") > more_than)
