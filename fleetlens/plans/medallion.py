@@ -88,8 +88,8 @@ def _run_gaps(prefix: str, c: DataFrame, i: DataFrame, linked: DataFrame) -> Dat
 def run_increment(spark: SparkSession, staged: dict[str, DataFrame], prefix: str = "") -> list[int]:
     """Bring new rows to bronze and link again only the vehicles that share a bucket with one of them.
 
-    Silver must have been made by :func:`run_silver`.  Of bronze and of the two tables of links only touched buckets are read
-    and replaced, so a run costs what those hold; a second run without new rows touches nothing.  The buckets are noted in a
+    Silver must have been made by :func:`run_silver`.  Besides the ids that tell which rows are new, only touched buckets of bronze and of the two
+    tables of links are read, and of the latter replaced; a second run without new rows touches nothing.  The buckets are noted in a
     table before bronze grows and struck out when silver holds them, so a run that died is made good by the next one: linking
     again gives the same rows.  The gap tables and gold are aggregates of the whole and are left to :func:`run_silver`'s and
     :func:`run_gold`'s next run.  One run at a time may write.  Returns the touched buckets.

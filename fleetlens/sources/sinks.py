@@ -105,8 +105,13 @@ def bucketed_rows(spark: SparkSession, table: str, key: str, most_rows: int = 50
     sizes = [r["count"] for r in df.groupBy(F.pmod(F.hash(key), F.lit(buckets))).count().collect()]
     if max(sizes, default=0) <= max(most_rows, most_share * sum(sizes) / buckets):
         return df
+    return _in_splits(spark, table).drop(KEY_PART)
+
+
+def _in_splits(spark: SparkSession, table: str) -> DataFrame:
+    """The table's rows by splits of its files, not by buckets."""
     described = spark.sql(f"DESCRIBE EXTENDED `{table}`").where("col_name = 'Location'").first()
-    return spark.read.schema(_stored(spark, table).schema).parquet(described.data_type).drop(KEY_PART)
+    return spark.read.schema(_stored(spark, table).schema).parquet(described.data_type)
 
 
 def class_of(key: str, classes: int) -> Column:
@@ -118,10 +123,11 @@ def rows_in_classes(spark: SparkSession, table: str, key: str, classes: int, wan
     """The rows whose key is in one of the ``wanted`` classes.
 
     Where the table is bucketed by ``key`` into as many buckets, only the files of those buckets are opened: a bucket's
-    number stands in its files' names, and Spark prunes files by a condition on their names.
+    number stands in its files' names, and Spark prunes files by a condition on their names.  The files are read in splits, so a hot key's bucket is no single task's.
     """
     rows = _stored(spark, table)
     if buckets_of(spark, table) == classes:
+        rows = _in_splits(spark, table)
         number = F.regexp_extract("_metadata.file_name", r"_(\d+)(\.[^_]*)?$", 1)
         rows = rows.where(number.cast("int").isin(wanted))
     return rows.where(class_of(key, classes).isin(wanted)).drop(KEY_PART)
