@@ -12,10 +12,13 @@ to, and merge into maximal intervals.
 Equal hashes count as equal windows; n windows are expected to give n**2 / 2**65 false matches
 (0.0005 for 130 million).
 
+Positions of one window in one text travel as runs of equal steps, so a text that repeats a word or a
+line a million times sends a few numbers to the range of its windows.
+
 Defined results: a null or empty text has no words; it keeps the empty text.  Rows with a null id
-keep all words and remove none.  Rows that repeat an id are one document: windows shared only among
-them stay.  Where such rows differ in text, each loses the positions found for any of them.  Other
-columns play no part.
+keep all words and remove none.  Rows that repeat an id are each judged by their own text: a word goes
+only by a window that a smaller id has too, so windows shared only among them stay.  Ids of any type that
+can be sorted will do; the smaller one is that which sorts first.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bytewords as bw
+from fleetlens.llm.scratch import store
 
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
@@ -73,17 +77,52 @@ def _group_starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _by_part(docs: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Documents and positions packed for each part of the documents."""
+def _runs(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first, step and number of positions of each run: one hash in one row, at equal distances.
+
+    The input is sorted by hash, then row, then position.  A text that repeats a word or a line thus gives a few runs.
+    """
+    linked = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    step = np.where(linked, np.diff(at), 0)
+    new = np.ones(len(h), bool)
+    new[1:] = ~linked
+    new[2:] |= linked[:-1] & (step[1:] != step[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(h)))
+    return first, np.where(count > 1, np.append(step, 0)[first], 0), count
+
+
+def _pack_runs(at: np.ndarray, step: np.ndarray, count: np.ndarray) -> bytes:
+    """Runs; single positions cost nothing beside their position."""
+    long = np.flatnonzero(count > 1)
+    return b"".join([pack(at), len(long).to_bytes(8, "little"), pack(np.diff(long, prepend=0)), pack(step[long]),
+                     pack(count[long] - 2)])
+
+
+def _unpack_runs(data: memoryview, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, data = unpack(data, n)
+    m = int.from_bytes(data[:8], "little")
+    long, data = unpack(data[8:], m)
+    step, count = np.zeros(n, np.int32), np.ones(n, np.int32)
+    long = np.cumsum(long.astype(np.int64))
+    step[long], data = unpack(data, m)
+    count[long] = unpack(data, m)[0].astype(np.int32) + 2
+    return at.astype(np.int32), step, count
+
+
+def _by_part(docs: np.ndarray, form: np.ndarray, at: np.ndarray, step: np.ndarray, count: np.ndarray,
+             parts: int) -> Iterator[tuple[int, bytes]]:
+    """Documents and runs of positions packed for each part of the documents."""
     if not len(docs):
         return
     part = (bw.mix(docs.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    order = np.lexsort((at, docs, part))
-    part, docs, at = part[order], docs[order], at[order]
+    order = np.lexsort((docs, part))
+    part, docs, form, at, step, count = (x[order] for x in (part, docs, form, at, step, count))
     edges = [*_group_starts(part).tolist(), len(part)]
     for lo, hi in zip(edges, edges[1:]):
         steps = np.diff(docs[lo:hi], prepend=docs[lo]).astype(np.uint64)
-        yield int(part[lo]), np.array([hi - lo, docs[lo]], "<i8").tobytes() + pack(steps) + pack(at[lo:hi])
+        yield int(part[lo]), b"".join([np.array([hi - lo, docs[lo]], "<i8").tobytes(), pack(steps), pack(form[lo:hi]),
+                                       _pack_runs(at[lo:hi], step[lo:hi], count[lo:hi])])
 
 
 def _rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
@@ -94,31 +133,36 @@ def _rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
 
 def _block_rows(block: pa.RecordBatch, size: int, buckets: int) -> list[tuple[int, bool, bytes]]:
     ids = block.column(0).to_numpy(zero_copy_only=False)
+    forms = block.column(2).to_numpy(zero_copy_only=False)
     words = bw.split_words(block.column(1))
     n = np.maximum(words.per_doc - size + 1, 0)
     first = bw.ragged(words.first[:-1], n)
     if not len(first):
         return []
     h = window_hashes(bw.hash_words(words), size)[first]
-    del words
-    order = np.argsort(h)
+    del words, first
+    order = np.argsort(h, kind="stable")
     h = h[order]
-    doc = np.repeat(ids, n)[order]
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
     at = bw.ragged(np.zeros(len(n), np.int64), n)[order]
+    del order
+    begin, step, count = _runs(h, row, at)
+    h, row, at = h[begin], row[begin], at[begin]
+    doc, form = ids[row], forms[row]
     starts = _group_starts(h)
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
     later = doc > least
-    out = [(part, True, payload) for part, payload in _by_part(doc[later], at[later], buckets)]
+    out = [(part, True, payload) for part, payload in
+           _by_part(doc[later], form[later], at[later], step[later], count[later], buckets)]
 
-    keep = ~later
-    h, doc, at = h[keep], doc[keep], at[keep]
+    h, doc, form, at, step, count = (x[~later] for x in (h, doc, form, at, step, count))
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     base = int(doc.min())
     edges = [*_group_starts(bucket).tolist(), len(h)]
     for lo, hi in zip(edges, edges[1:]):
-        part = h[lo:hi]
-        payload = np.array([hi - lo, base], "<i8").tobytes() + pack(np.diff(part, prepend=np.uint64(0)))
-        payload += pack((doc[lo:hi] - base).astype(np.uint64)) + pack(at[lo:hi])
+        payload = b"".join([np.array([hi - lo, base], "<i8").tobytes(), pack(np.diff(h[lo:hi], prepend=np.uint64(0))),
+                            pack((doc[lo:hi] - base).astype(np.uint64)), pack(form[lo:hi]),
+                            _pack_runs(at[lo:hi], step[lo:hi], count[lo:hi])])
         out.append((int(bucket[lo]), False, payload))
     return out
 
@@ -134,17 +178,17 @@ def _decide(key: tuple, table: pa.Table, parts: int) -> pa.Table:
         n, base = np.frombuffer(data[:16], "<i8").tolist()
         h, data = unpack(data[16:], n)
         doc, data = unpack(data, n)
-        at, _ = unpack(data, n)
-        found.append((np.cumsum(h), doc.astype(np.int64) + base, at.astype(np.int32)))
+        form, data = unpack(data, n)
+        found.append((np.cumsum(h), doc.astype(np.int64) + base, form, *_unpack_runs(data, n)))
     if found:
-        h, doc, at = (np.concatenate(x) for x in zip(*found))
+        h, doc, *rest = (np.concatenate(x) for x in zip(*found))
         del found
         order = np.argsort(h)
-        h, doc, at = h[order], doc[order], at[order]
+        h, doc = h[order], doc[order]
         starts = _group_starts(h)
         least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
         later = doc > least
-        for part, payload in _by_part(doc[later], at[later], parts):
+        for part, payload in _by_part(doc[later], *(x[order[later]] for x in rest), parts):
             out_part.append(part)
             out.append(payload)
     return pa.table([pa.array(out_part, pa.int32()), pa.array(out, pa.binary())], ["part", "payload"])
@@ -157,22 +201,49 @@ def _gather(table: pa.Table) -> pa.Table:
         data = memoryview(payload.as_buffer())
         n, base = np.frombuffer(data[:16], "<i8").tolist()
         steps, data = unpack(data[16:], n)
-        at, _ = unpack(data, n)
-        found.append((np.cumsum(steps.astype(np.int64)) + base, at.astype("<i4")))
-    docs, at = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
-    edges = [*_group_starts(docs).tolist(), len(docs)]
-    return pa.table([pa.array(docs[edges[:-1]], pa.int64()),
-                     pa.array([at[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])], pa.binary())], ["doc", "found"])
-
-
-def repeated_positions(docs: DataFrame, id_col: str, text_col: str, size: int, range_windows: int) -> DataFrame:
-    """(doc, found): start positions, packed as 32-bit numbers, of windows that begin in a smaller id as well."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long"), F.col(text_col))
+        form, data = unpack(data, n)
+        at, step, count = _unpack_runs(data, n)
+        at = np.repeat(at, count) + np.repeat(step, count) * bw.ragged(np.zeros(n, np.int64), count)
+        docs = np.cumsum(steps.astype(np.int64)) + base
+        found.append((np.repeat(docs, count), np.repeat(form.view(np.int64), count), at.astype("<i4")))
+    docs, form, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, form, docs))
+    docs, form, at = docs[order], form[order], at[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (form[1:] != form[:-1])
+    starts = np.flatnonzero(new)
+    edges = [*starts.tolist(), len(docs)]
+    return pa.table([pa.array(docs[starts], pa.int64()), pa.array(form[starts], pa.int64()),
+                     pa.array([at[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])], pa.binary())],
+                    ["doc", "form", "found"])
+
+
+def _numbered(rows: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(_id, _text) with _doc, a number in the order of the ids, and _form, which tells texts of one id apart.
+
+    Integers are their own numbers; ids of any other type are sorted once.  _form is 0 for an id that one row has, else a
+    hash of the text.  Repeated ids are few as a rule and then broadcast; more than ``broadcast_ids`` are joined.
+    """
+    if dict(rows.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint"):
+        rows = rows.withColumn("_doc", F.col("_id").cast("long"))
+    else:
+        ids = rows.select("_id").where("_id is not null").distinct().orderBy("_id")
+        rows = rows.join(store(ids.select("_id", F.monotonically_increasing_id().alias("_doc")), "id_order"), "_id", "left")
+    repeated = rows.where("_doc is not null").groupBy("_doc").count().where("count > 1")
+    repeated = store(repeated.select("_doc", F.lit(True).alias("_again")), "repeated_ids")
+    n = repeated.count()
+    if not n:
+        return rows.withColumn("_form", F.lit(0).cast("long"))
+    rows = rows.join(F.broadcast(repeated) if n <= broadcast_ids else repeated, "_doc", "left")
+    return rows.withColumn("_form", F.when(F.col("_again"), F.xxhash64("_text")).otherwise(F.lit(0).cast("long")))
+
+
+def repeated_positions(rows: DataFrame, size: int, range_windows: int) -> DataFrame:
+    """(doc, form, found) of rows (_doc, _text, _form): start positions, packed as 32-bit numbers, of windows that begin
+    in a smaller document as well."""
+    rows = rows.where("_doc is not null and _text is not null").select("_doc", "_text", "_form")
     # a word takes six bytes or so
-    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(1, total // (6 * range_windows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +258,7 @@ def repeated_positions(docs: DataFrame, id_col: str, text_col: str, size: int, r
 
     sent = rows.mapInArrow(run, "bucket int, decided boolean, payload binary")
     decided = sent.groupBy("bucket").applyInArrow(decide, "part int, payload binary")
-    return decided.groupBy("part").applyInArrow(_gather, "doc long, found binary")
+    return decided.groupBy("part").applyInArrow(_gather, "doc long, form long, found binary")
 
 
 def _texts(words: bw.Words, kept: np.ndarray) -> pa.Array:
@@ -203,13 +274,13 @@ def _texts(words: bw.Words, kept: np.ndarray) -> pa.Array:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13,
-                     range_windows: int = 500_000) -> DataFrame:
+                     range_windows: int = 500_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: id_col, n_words, n_removed, spans (start word and length of each removed interval) and
     kept_text, the kept words joined by one space."""
-    found = repeated_positions(docs, id_col, text_col, size, range_windows)
-    found = found.hint("shuffle_hash")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(found, F.col("_id").cast("long") == F.col("doc"), "left").select("_id", "_text", "found")
+    rows = _numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), broadcast_ids)
+    found = repeated_positions(rows, size, range_windows).hint("shuffle_hash")
+    rows = rows.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_form") == F.col("form")), "left")
+    rows = rows.select("_id", "_text", "found")
     id_type = dict(docs.dtypes)[id_col]
     schema = "_id {}, n_words long, n_removed long, spans array<struct<start:int,length:int>>, kept_text string"
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -60,6 +61,38 @@ def test_substrings_of_random_texts(llm_spark, range_windows):
         assert all(a.start + a.length < b.start for a, b in zip(r.spans, r.spans[1:]))  # maximal
 
 
+@pytest.mark.parametrize("broadcast_ids", [1_000_000, 0])
+def test_substrings_of_an_id_with_several_texts(llm_spark, broadcast_ids):
+    shared, own, other = (" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
+    rows = [(1, shared), (5, shared), (5, own), (5, own), (5, None), (6, own + " " + shared), (None, own), (7, other),
+            (7, shared + " " + other), (9, other)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = found_rows(substring.dedup_substrings(docs, broadcast_ids=broadcast_ids))
+    assert got == sorted(removed(rows, 13), key=key)
+    assert (5, 20, 0, own) in got
+
+
+def test_substrings_by_ids_of_other_types(llm_spark):
+    rng = random.Random(7)
+    rows = [(f"doc-{k}", " ".join(rng.choice("ab") for _ in range(rng.randint(0, 30)))) for k in range(40)]
+    rows += [("doc-3", "a b " * 9), (None, "a b " * 9), ("", "b a " * 9)]
+    docs = llm_spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    assert found_rows(substring.dedup_substrings(docs, size=5)) == sorted(removed(rows, 5), key=key)
+
+
+def test_substrings_of_texts_that_repeat_a_line(llm_spark):
+    line = "one two three four five six seven "
+    rows = [(1, line * 300 + "x"), (2, "y " + line * 200), (3, "w " * 3000), (4, "w " * 100 + "z " + "w " * 50 + line * 2),
+            (5, "p " + line * 3 + "q " + line * 5 + "r r " + line * 4)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found_rows(substring.dedup_substrings(docs, size=13, range_windows=50)) == sorted(removed(rows, 13), key=key)
+
+
+def test_positions_travel_as_runs():
+    block = pa.record_batch([pa.array([1, 2]), pa.array(["w " * 100_000, "a b c " * 30_000]), pa.array([0, 0])], ["d", "t", "f"])
+    assert sum(len(payload) for _, _, payload in substring._block_rows(block, 13, 10)) < 1000
+
+
 def test_exact_duplicates_of_awkward_rows(odd_docs, no_docs):
     groups = {}
     for i, text in ROWS:
