@@ -125,7 +125,8 @@ def run_gold(spark: SparkSession, prefix: str = "") -> DataFrame:
     publish(dash.complaint_dashboard(linked), f"{prefix}gold_complaint_dashboard")
     publish(gap_analysis(gaps), f"{prefix}gold_epdi_gap_analysis")
     publish(dash.delivery_service_link(linked), f"{prefix}gold_delivery_service_link")
-    detail = publish(corr.detail_from_links(links), f"{prefix}gold_complaint_detail")
+    detail = publish(corr.detail_from_links(links), f"{prefix}gold_complaint_detail",
+                     cluster_by=["complaint_category", "specific_issue", "complaint_id"])
     recommended = publish(dash.checklist_recommendations(detail),
                               f"{prefix}gold_checklist_recommendations")
     replace_rows(dash.enhanced_recommendations(recommended),

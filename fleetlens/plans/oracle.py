@@ -466,6 +466,9 @@ ORACLE: dict[str, str] = {
     "mark_processed": statement(
         """SELECT complaint_id, processed OR severity IN ('High', 'Critical') AS processed
            FROM sc""", "sc"),
+    "mark_stored": statement(
+        """SELECT complaint_id, processed OR severity IN ('High', 'Critical') AS processed
+           FROM sc""", "sc"),
     "assign_ids": statement(
         """SELECT complaint_id, customer_name,
            (SELECT max(n) FROM sc WHERE processed) + row_number() OVER (
@@ -633,6 +636,26 @@ ORACLE: dict[str, str] = {
            FROM (SELECT *, row_number() OVER (PARTITION BY category
                      ORDER BY complaint_count DESC, subcategory) AS rn FROM gapclass)
            WHERE rn <= 15 GROUP BY category""", "gapclass"),
+    "stored_gap_context": statement(
+        """SELECT category, string_agg('- Complaint: ' || coalesce(category, 'None') || '/' || subcategory
+               || ' (count=' || complaint_count || ', PDI catch rate=' || pdi_catch_rate_pct
+               || '%, gap=' || gap_classification || ')', chr(10) ORDER BY rn) AS context
+           FROM (SELECT *, row_number() OVER (PARTITION BY category
+                     ORDER BY complaint_count DESC, subcategory) AS rn FROM gapclass)
+           WHERE rn <= 15 GROUP BY category""", "gapclass", stored=True),
+    "stored_categories": statement(
+        "SELECT DISTINCT category, subcategory FROM gapclass", "gapclass", stored=True),
+    "stored_dealers": statement("SELECT DISTINCT dealer_id FROM dash", "dash", stored=True),
+    "stored_gap_class": statement(
+        f"""SELECT * FROM gapclass WHERE category = {_q(LOOKUP_CATEGORY)}
+            AND subcategory = {_q(LOOKUP_SUBCATEGORY)}""", "gapclass", stored=True),
+    "stored_dealer_risk": statement(
+        "SELECT dealer_risk_flag, count(*) AS cnt FROM dash GROUP BY ALL", "dash", stored=True),
+    "stored_top_recommendations": statement(
+        f"""SELECT * FROM ranked WHERE contains(what_customers_complain_about, {_q(LOOKUP_TEXT)})
+            ORDER BY priority DESC LIMIT 5""", "ranked", stored=True),
+    "stored_complaints_of": statement(
+        f"SELECT {_LINKED} FROM detail WHERE complaint_category = {_q(LOOKUP_CATEGORY)}", "detail", stored=True),
     "risk_score_sql": statement("SELECT vehicle_id, risk_score FROM risk", "risk"),
     "risk_score_function": statement("SELECT vehicle_id, risk_score FROM risk", "risk"),
     "risk_score_model": statement(_MODEL, "scorer"),

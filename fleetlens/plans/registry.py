@@ -20,7 +20,7 @@ from fleetlens.operators import correlation as corr
 from fleetlens.operators import dashboard as dash
 from fleetlens.operators import gaps, inspections, recurrence, rollups, topn, vehicle_state
 from fleetlens.operators.ids import assign_ids
-from fleetlens.plans import medallion
+from fleetlens.plans import lookups, medallion
 from fleetlens.session import scratch_path
 from fleetlens.sources import csv_files, sinks
 from fleetlens.sources import staging as stg
@@ -108,6 +108,18 @@ def mark_processed(spark, sf):
     return stg.mark_processed(staged, taken, "complaint_id").select("complaint_id", "processed")
 
 
+@query("mark_stored")
+def mark_stored(spark, sf):
+    """The same marks in a stored table with a directory for each mark and month."""
+    staged = src.staging_complaints(spark, sf).select(
+        "complaint_id", "severity", F.trunc("created_at", "month").alias("month"), "processed")
+    table = f"run_{uuid.uuid4().hex}_staging"
+    staged.hint("rebalance", F.col("processed"), F.col("month")).write.partitionBy("processed", "month").saveAsTable(table)
+    taken = staged.where(~F.col("processed") & F.col("severity").isin("High", "Critical"))
+    sinks.mark_stored(taken, table, "complaint_id", "month")
+    return spark.table(table).select("complaint_id", "processed")
+
+
 @query("assign_ids")
 def new_ids(spark, sf):
     staged = src.staging_complaints(spark, sf)
@@ -331,6 +343,41 @@ def gap_pct(spark, sf):
         "what_customers_complain_about", "pct_caught_by_inspection", "gap_pct")
 
 
+@query("stored_categories")
+def stored_categories(spark, sf):
+    return lookups.categories(spark, _stored_run(spark, sf))
+
+
+@query("stored_dealers")
+def stored_dealers(spark, sf):
+    return lookups.dealers(spark, _stored_run(spark, sf))
+
+
+@query("stored_gap_class")
+def stored_gap_class(spark, sf):
+    return lookups.gap_class(spark, LOOKUP_CATEGORY, LOOKUP_SUBCATEGORY, _stored_run(spark, sf))
+
+
+@query("stored_gap_context")
+def stored_gap_context(spark, sf):
+    return lookups.gap_context(spark, _stored_run(spark, sf))
+
+
+@query("stored_dealer_risk")
+def stored_dealer_risk(spark, sf):
+    return lookups.dealer_risk_counts(spark, _stored_run(spark, sf))
+
+
+@query("stored_top_recommendations")
+def stored_top_recommendations(spark, sf):
+    return lookups.top_recommendations(spark, LOOKUP_TEXT, _stored_run(spark, sf))
+
+
+@query("stored_complaints_of")
+def stored_complaints_of(spark, sf):
+    return _joined(lookups.complaints_of(spark, LOOKUP_CATEGORY, prefix=_stored_run(spark, sf)), "failed_items")
+
+
 # --- lookups and reports -----------------------------------------------------
 @query("lookup_gap")
 def lookup_gap(spark, sf):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,15 +148,57 @@ def replace_parts(df: DataFrame, table: str, part: str, wanted: list[int]) -> No
     filled = {r[0] for r in aside.select(part).distinct().collect()}
     if not filled <= set(wanted):
         raise ValueError(f"rows outside the directories to be replaced: {sorted(filled - set(wanted))[:5]}")
+    _overwrite_parts(aside.hint("rebalance", F.col(part)), table)
+    for empty in sorted(set(wanted) - filled):  # an overwrite leaves directories alone that get no row
+        spark.sql(f"ALTER TABLE `{table}` DROP IF EXISTS PARTITION (`{part}` = {empty})")
+    spark.catalog.refreshTable(table)
+
+
+def _overwrite_parts(df: DataFrame, table: str) -> None:
+    """Replace the directories that ``df`` has rows for; it has the table's columns in their order."""
+    spark = df.sparkSession
     before = spark.conf.get(_OVERWRITE)
     spark.conf.set(_OVERWRITE, "dynamic")  # the writer has no option of its own for tables
     try:
-        aside.hint("rebalance", F.col(part)).write.insertInto(table, overwrite=True)
+        df.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(_OVERWRITE, before)
-    for empty in sorted(set(wanted) - filled):  # an overwrite leaves directories alone that get no row
-        spark.sql(f"ALTER TABLE `{table}` DROP IF EXISTS PARTITION (`{part}` = {empty})")
+
+
+def mark_stored(ids: DataFrame, table: str, key: str, day: str, mark: str = "processed") -> list:
+    """Set ``mark`` for the rows of a stored table whose ``key`` is in ``ids``; returns the days written.
+
+    The table is partitioned by ``mark`` and ``day``, so unprocessed rows are read without the others, and only the
+    directories of days that hold such a row are written; all others keep their files.  Rows without a mark count as
+    unmarked, rows without a day have a directory of their own, rows without a key are never marked.  Doing it again
+    changes nothing.  A run that died may leave rows in both directories of a day: any later run that writes the day takes
+    an unmarked row that equals a marked one for its leftover.  One run at a time may mark a table.
+    """
+    spark = ids.sparkSession
+    rows = _stored(spark, table)
+    marked, unmarked = F.col(mark), ~F.coalesce(mark, F.lit(False))
+    wanted = ids.select(key).distinct()
+    days = [r[0] for r in rows.where(unmarked).join(wanted, key, "left_semi").select(day).distinct().collect()]
+    if not days:
+        return []
+    here = F.col(day).isin([d for d in days if d is not None]) | (F.col(day).isNull() & F.lit(None in days))
+    columns = rows.columns
+    done, left = rows.where(marked & here), rows.where(unmarked & here)
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"d.{c}")) for c in columns if c != mark])
+    left = left.alias("l").join(done.alias("d"), same, "left_anti")
+    hits = wanted.withColumn("_hit", F.lit(True))
+    left = left.join(hits, key, "left").withColumn(mark, F.coalesce("_hit", mark))
+    path = scratch_path(spark, "marks")
+    done.unionByName(left.select(columns)).select(columns).write.parquet(path)
+    aside = spark.read.schema(rows.schema).parquet(path).select(columns)
+    _overwrite_parts(aside.hint("rebalance", F.col(mark), F.col(day)), table)
+    filled = {(r[0], r[1]) for r in aside.where(unmarked).select(mark, day).distinct().collect()}
+    for value in (False, None):
+        for empty in (d for d in days if (value, d) not in filled):
+            spec = ", ".join(f"`{c}` = {'NULL' if v is None else repr(str(v).lower())}" for c, v in ((mark, value), (day, empty)))
+            spark.sql(f"ALTER TABLE `{table}` DROP IF EXISTS PARTITION ({spec})")
     spark.catalog.refreshTable(table)
+    return sorted(days, key=str)
 
 
 def materialize(df: DataFrame, table: str, cluster_by: str | None = None,
@@ -166,7 +210,7 @@ def materialize(df: DataFrame, table: str, cluster_by: str | None = None,
     partitions the files on a column later filters use; ``partition_by`` gives each value of a column a directory.
     """
     if cluster_by:
-        df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
+        df = sorted_by(df, [cluster_by])
     write = df.write.mode("overwrite")
     (write.partitionBy(partition_by) if partition_by else write).saveAsTable(table)
     return df.sparkSession.table(table)
@@ -181,16 +225,26 @@ def versions(spark: SparkSession, name: str) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables() if t.name.lower().startswith(start) and t.tableType != "VIEW")
 
 
-def publish(df: DataFrame, name: str, kept: int = 2) -> DataFrame:
+def sorted_by(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Range partitioned and sorted, so that files and row groups hold few values of the first columns.
+
+    A value that many rows share is split by the columns after it; let the last be a key.
+    """
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def publish(df: DataFrame, name: str, kept: int = 2, cluster_by: list[str] | None = None) -> DataFrame:
     """Let the view ``name`` show the rows of ``df`` from one moment to the next, and return them as read back.
 
     The rows are written as a table of their own, then the view is switched to it: readers see the old rows or the new ones,
     never none, and a write that fails leaves the old ones.  A version stays until ``kept`` younger ones are there
     (the shown one among them), so a query that began before a switch can end.  ``df`` may read ``name``.  Each write has a
     name of its own, so files that a lost driver left behind are in nobody's way.  A plain table of that name gives way
-    to the view once.  One run at a time may publish a name.
+    to the view once.  One run at a time may publish a name.  ``cluster_by`` sorts the files by columns that filters use.
     """
     spark = df.sparkSession
+    if cluster_by:
+        df = sorted_by(df, cluster_by)
     old = versions(spark, name)
     last = int(old[-1].lower().rsplit(VERSION, 1)[1].split("_")[0]) if old else 0
     table = f"{name}{VERSION}{last + 1:010d}_{uuid.uuid4().hex[:8]}"
