@@ -1,15 +1,18 @@
 """Toxic texts by a weighted lexicon (operator 6).
 
-Texts are folded: A-Z and accented Latin capitals to lower case, look-alike letters of other scripts
-and full-width letters to Latin ones, digits that stand for letters to those letters, everything
-that is no letter to a space.  Entries of the lexicon are beginnings of words, matched by one Aho-
-Corasick automaton; a match inside an exception phrase doesn't count.  The summed weights, plain and
+Texts are folded: letters to lower case without accents, compatible forms (full-width, mathematical,
+circled) and look-alike letters of other scripts to Latin ones, digits that stand for letters to those
+letters, everything that is no letter to a space.  What can be read in two ways is read in both: words
+with a sign for a letter inside ("id!ot") and letters that stand apart ("i d i o t", "i.d.i.o.t") are also
+added to the text as the word they spell.  Entries of the lexicon are beginnings of words, matched by one
+Aho-Corasick automaton; a match inside an exception doesn't count.  The summed weights, plain and
 normalised by length, go through a calibrated logistic curve.
 
 The lexicon starts from a few insults and learns more from labelled training rows: beginnings of
-words that occur in toxic texts and (nearly) never in others.  Candidates are counted in Spark over
-a bounded sample; among them a greedy cover picks, until every toxic text of the sample holds some
-entries or no candidate helps several of them.
+words that occur in toxic texts and (nearly) never in others.  They are counted and tested in Spark over
+a bounded sample, without a cap on their number; among those whose lower bound of the log odds passes, a
+greedy cover picks, until every toxic text of the sample holds some entries or none is held by `least`
+texts that need one.
 
 Defined results: a null or empty text has no match and scores like one.  Without labels of both
 kinds a fixed curve is used.  Ties in learning go to the longer, then to the first entry in order.
@@ -18,6 +21,9 @@ Repeated rows score alike; other columns play no part.
 
 from __future__ import annotations
 
+import heapq
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +40,7 @@ from fleetlens.llm.scratch import store
 # Insults to start from, all with the same weight, and phrases in which they are harmless.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "dumbass", "bastard", "imbecile",
          "retard", "asshole", "bitch")
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "clownfish", "scumble", "pond scum", "sore loser",
+EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "clownfish", "scumble", "pond scum", "pathetic fallacy",
               "worthless check", "morone", "losers bracket")
 SEED_WEIGHT = 4.0
 
@@ -43,9 +49,8 @@ _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 _ALIKE = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
           "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p",
           "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g"}
-_WIDE = {chr(0xFF21 + k): chr(97 + k) for k in range(26)} | {chr(0xFF41 + k): chr(97 + k) for k in range(26)}
-_FOLD = str.maketrans(_ALIKE | {a.upper(): b for a, b in _ALIKE.items() if len(a.upper()) == 1 and not a.upper().isascii()} | _WIDE
-                      | {"​": None, "‌": None, "‍": None, "­": None, "﻿": None})
+_FOLD = str.maketrans(_ALIKE | dict.fromkeys("\u200b\u200c\u200d\u00ad\ufeff"))
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 _PLAIN = np.full(256, 0x20, np.uint8)
 _PLAIN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -53,32 +58,68 @@ _PLAIN[0x41:0x5B] = np.arange(0x61, 0x7B)
 _PLAIN[0x80:] = np.arange(0x80, 0x100)
 for _a, _b in _LEET.items():
     _PLAIN[ord(_a)] = ord(_b)
-# lead bytes of scripts with look-alikes, and of invisible characters; C2 also leads the soft hyphen
+# lead bytes of accented, compatible and look-alike letters, combining marks and invisible characters
 _ODD = np.zeros(256, bool)
-_ODD[[0xC2, 0xC4, 0xC9, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xE2, 0xEF]] = True
+_ODD[0xC2:0xD5] = True
+_ODD[[0xE1, 0xE2, 0xEF, 0xF0]] = True
 
-SHORTEST, LONGEST = 4, 12
+# Signs that stand for letters where a letter follows.
+_SIGNS = bytes.maketrans(b"!$|", b"isl")
+_SIGNED = re.compile(rb"[!$|][A-Za-z0-9@]")
+_APART = re.compile(r"(?<![^ \n])(?:[a-z] {1,3}){2,}[a-z](?![^ \n])")
+
+_WORD_END = re.compile(r"s?(?:[ \n]|$)")
+SHORTEST, LONGEST = 3, 12
+
+
+def _latin(text: str) -> str:
+    """Lower case, compatible forms, no accents, look-alikes as Latin letters."""
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text.lower())).lower().translate(_FOLD)
+
+
+def _signed(raw: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
+    """For texts with a sign before a letter, the words with letters for these signs."""
+    sign = (raw == 0x21) | (raw == 0x24) | (raw == 0x7C)
+    at = np.flatnonzero(sign[:-1] & (_PLAIN.take(raw[1:]) != 0x20) & ~sign[1:])
+    out = {}
+    for k in np.unique(np.searchsorted(offsets, at, "right") - 1).tolist():
+        words = [w for w in raw[offsets[k]:offsets[k + 1]].tobytes().split() if _SIGNED.search(w)]
+        if words:
+            out[k] = b" ".join(words).translate(_SIGNS).decode("latin-1")
+    return out
 
 
 def fold(column: pa.Array) -> tuple[str, np.ndarray]:
-    """All texts folded, each behind a space, as one string with a character for each byte; and where each begins."""
+    """All texts folded, each behind a line feed and a space, as one string with a character for each byte; and where
+    each begins."""
     data, offsets = bw.raw_bytes(column)
     odd = bw.sum_by(_ODD.take(data).astype(np.int32), offsets) > 0
     if odd.any():
         texts = column.to_pylist()
         for k in np.flatnonzero(odd):
-            texts[k] = texts[k].translate(_FOLD)
+            texts[k] = _latin(texts[k])
         data, offsets = bw.raw_bytes(pa.array(texts, pa.large_string()))
-    raw = _PLAIN.take(data)
-    if len(raw) > 1:  # capitals of the Latin-1 block
-        capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        raw[1:] += capital.view(np.uint8) << 5
-    raw = np.insert(raw, offsets[:-1], 0x20)
-    return raw.tobytes().decode("latin-1"), offsets[:-1] + np.arange(len(offsets) - 1)
+    data = data[:offsets[-1]]
+    spelled = _signed(data, offsets) if len(data) > 1 else {}
+    raw = np.insert(_PLAIN.take(data), np.repeat(offsets[:-1], 2), np.tile(np.array([0x0A, 0x20], np.uint8), len(offsets) - 1))
+    text, begins = raw.tobytes().decode("latin-1"), offsets[:-1] + 2 * np.arange(len(offsets) - 1)
+    for m in _APART.finditer(text):
+        k = int(np.searchsorted(begins, m.start(), "right")) - 1
+        spelled[k] = f"{spelled.get(k, '')} {m.group().replace(' ', '')}"
+    if not spelled:
+        return text, begins
+    parts, done = [], 0
+    longer = np.zeros(len(begins), np.int64)
+    for k in sorted(spelled):
+        more = " " + _PLAIN.take(np.frombuffer(spelled[k].encode("latin-1"), np.uint8)).tobytes().decode("latin-1")
+        end = int(begins[k + 1]) if k + 1 < len(begins) else len(text)
+        parts += [text[done:end], more]
+        done, longer[k] = end, len(more)
+    return "".join([*parts, text[done:]]), begins + np.cumsum(longer) - longer
 
 
 def folded(word: str) -> str:
-    return fold(pa.array([word], pa.string()))[0][1:]
+    return fold(pa.array([word], pa.string()))[0][2:]
 
 
 class Lexicon:
@@ -88,8 +129,8 @@ class Lexicon:
         self.automaton = ahocorasick.Automaton()
         for entry, weight in weights.items():
             self.automaton.add_word(" " + entry, (weight, len(entry)))
-        for phrase in exceptions:
-            self.automaton.add_word(" " + folded(phrase), (0.0, len(folded(phrase))))
+        for phrase in exceptions:  # a single word is a beginning as entries are; a phrase goes to the end of its last word
+            self.automaton.add_word(" " + folded(phrase), (0.0 if " " in phrase else -1.0, len(folded(phrase))))
         self.automaton.make_automaton()
 
     def weigh(self, column: pa.Array) -> np.ndarray:
@@ -98,10 +139,10 @@ class Lexicon:
         found = []
         barred: dict[int, int] = {}
         for end, (weight, length) in self.automaton.iter(text):
-            if weight:
+            if weight > 0:
                 found.append((end - length + 1, weight))
-            else:
-                barred[end - length + 1] = end
+            elif weight < 0 or _WORD_END.match(text, end + 1):
+                barred[end - length + 1] = max(end, barred.get(end - length + 1, 0))
         # the heaviest entry at a place, and none where an exception phrase covers the place
         best: dict[int, float] = {}
         for at, weight in found:
@@ -119,7 +160,7 @@ class Lexicon:
 def _entries(text: str) -> set[str]:
     """Beginnings of the words of a folded text."""
     out = set()
-    for word in set(text.split(" ")):
+    for word in set(text.replace("\n", " ").split(" ")):
         out.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
     return out
 
@@ -129,28 +170,34 @@ def _each(column: pa.Array) -> Iterator[str]:
         yield fold(column.slice(k, 1))[0]
 
 
-def _frequencies(rows: DataFrame, wanted: set[str] | None) -> dict[str, int]:
-    """Number of texts with each entry; all entries found in at least three, or those wanted."""
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
-
+def _frequencies(rows: DataFrame) -> DataFrame:
+    """(entry, n): number of texts with each entry."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         for batch in batches:
             for block in bw.blocks(batch, 0, bw.BLOCK_BYTES // 3):
                 seen: Counter[str] = Counter()
                 for text in _each(block.column(0)):
-                    own = _entries(text)
-                    seen.update(own if wanted is None else own & wanted)
+                    seen.update(_entries(text))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
 
-    counted = rows.mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    if wanted is None:
-        counted = counted.where("n >= 3")
-    return {r.entry: r.n for r in counted.toLocalIterator()}
+    return rows.mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+
+def _tested(toxic: DataFrame, clean: DataFrame, n1: int, n0: int, least: int) -> dict[str, tuple[float, int]]:
+    """Log odds and number of toxic texts of the entries that the test of their odds lets pass.
 
+    The lower bound of the log odds (95 % one-sided) is at least 0.5, and at most 2 % as many other texts hold them.
+    """
+    often = _frequencies(toxic).where(F.col("n") >= least)
+    both = often.join(_frequencies(clean).withColumnRenamed("n", "m"), "entry", "left").fillna(0, "m")
+    odds = F.log((F.col("n") + 0.5) / (n1 + 1)) - F.log((F.col("m") + 0.5) / (n0 + 1))
+    error = F.sqrt(1 / (F.col("n") + 0.5) + 1 / (F.col("m") + 0.5))
+    both = both.withColumn("odds", odds).where((odds > 1.5) & (odds - 1.64 * error >= 0.5) & (F.col("m") <= 0.02 * F.col("n")))
+    return {r.entry: (r.odds, r.n) for r in both.select("entry", "odds", "n").toLocalIterator()}
 
-def _choose(toxic: list[set[str]], weights: dict[str, float], need: int, least: int, most: int) -> list[str]:
+
+def _choose(toxic: list[set[str]], weights: dict[str, float], need: int, least: int) -> list[str]:
     """Greedy cover: entries that most texts with fewer than `need` entries hold."""
     holders: dict[str, set[int]] = {}
     for k, own in enumerate(toxic):
@@ -159,24 +206,29 @@ def _choose(toxic: list[set[str]], weights: dict[str, float], need: int, least:
     covered = Counter()
     open_texts = set(range(len(toxic)))
     chosen: list[str] = []
-    while len(chosen) < most:
-        ranked = max(((len(h & open_texts), weights[e], len(e), e) for e, h in holders.items()), default=(0, 0, 0, ""))
-        if ranked[0] < least:
+    queue = [(-len(h), -weights[e], -len(e), e) for e, h in holders.items()]
+    heapq.heapify(queue)
+    while queue and -queue[0][0] >= least:
+        _, weight, length, entry = heapq.heappop(queue)
+        # what begins like a chosen entry finds nothing new, and nothing shorter is cleaner
+        if any(e.startswith(entry) or entry.startswith(e) for e in chosen):
+            continue
+        now = (-len(holders[entry] & open_texts), weight, length, entry)
+        if queue and now > queue[0]:  # it covers less than when it was queued; others may cover more
+            heapq.heappush(queue, now)
+            continue
+        if -now[0] < least:
             break
-        entry = ranked[3]
         chosen.append(entry)
-        for k in holders.pop(entry):
+        for k in holders[entry]:
             covered[k] += 1
             if covered[k] >= need:
                 open_texts.discard(k)
-        # what begins like a chosen entry finds nothing new, and nothing shorter is cleaner
-        for e in [e for e in holders if e.startswith(entry) or entry.startswith(e)]:
-            del holders[e]
     return chosen
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, label: str = "toxic", modulus: int = 3, remainder: int = 1,
-        id_col: str = "doc_id", text_col: str = "text", candidates: int = 20_000, entries: int = 500) -> dict:
+        id_col: str = "doc_id", text_col: str = "text", least: int = 3) -> dict:
     """Weights of the lexicon and the curve, from at most `most` training rows of each label."""
     rows = store(labelled_sample(docs, labels, label, most, modulus, remainder, id_col, text_col), "toxic")
     sizes = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -186,13 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, label: str = "toxi
         return {"weights": weights, "slope": [1.0, 1.0], "shift": -2.0}
     toxic = rows.where("_label = 1").dropDuplicates(["_text"]).select("_text")
     clean = rows.where("_label = 0").select("_text")
-    often = _frequencies(toxic, None)
-    often = dict(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:candidates])
-    rare = _frequencies(clean, set(often))
-    odds = {e: float(np.log((n + 0.5) / (n1 + 1)) - np.log((rare.get(e, 0) + 0.5) / (n0 + 1))) for e, n in often.items()}
-    good = {e: w for e, w in odds.items() if w > 1.5 and rare.get(e, 0) <= 0.02 * often[e]}
+    passed = _tested(toxic, clean, n1, n0, least)
+    good = {e: w for e, (w, _) in passed.items()}
     # an entry that always goes on in one way says less than its longer form
-    closed = _closed(good, often)
+    closed = _closed({e: n for e, (_, n) in passed.items()})
     shared = docs.sparkSession.sparkContext.broadcast(closed)
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, label: str = "toxi
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["own"])
 
     held = [set(r.own) for r in toxic.mapInArrow(holding, "own array<string>").toLocalIterator()]
-    least = max(3, int(0.01 * len(held)))
-    for e in _choose(held, good, 3, least, entries):
+    for e in _choose(held, good, 3, least):
         weights[e] = max(SEED_WEIGHT / 2, min(good[e], 8.0))
     lexicon = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -221,9 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, label: str = "toxi
     return {"weights": weights, "slope": [slope, slope], "shift": shift}
 
 
-def _closed(good: dict[str, float], often: dict[str, int]) -> set[str]:
-    open_ended = {e[:-1] for e in good if often.get(e[:-1]) == often[e]}
-    return set(good) - open_ended
+def _closed(often: dict[str, int]) -> set[str]:
+    return set(often) - {e[:-1] for e, n in often.items() if often.get(e[:-1]) == n}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,6 +97,47 @@ def test_look_alikes_digits_and_exceptions():
     assert found.tolist() == [True] * 6 + [False, True, True, False, False, False]
 
 
+def test_accents_other_letters_signs_and_letters_apart():
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "trash": 4.0, "loser": 4.0, "asshole": 4.0})
+    bad = ["IDÍOT", "ìdiot", "i\u0301diot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "id!ot", "!diot", "a$$hole", "i d i o t",
+           "you i.d.i.o.t!", "I-D-I-O-T", "great!idiot", "sore loser", "TRASH!", "ÏDIÖT"]
+    good = ["trash can", "Trash cans.", "the trash can", "i d i", "a b c d e", "x!idi", "an id!om", "it costs $500", "fine!", "", "a | b"]
+    apart = ["x i d", "i o t"]  # letters of neighbouring texts are no word
+    found = lexicon.weigh(pa.array(bad + good + apart, pa.string()))[:, 0] > 0
+    assert found.tolist() == [True] * len(bad) + [False] * (len(good) + 2)
+    assert (lexicon.weigh(pa.array(["trash canister talk", "scumbled"], pa.string()))[:, 0] > 0).tolist() == [True, False]
+    long = "漢" * 300_000 + "!ab " + "i d i o t " * 50_000
+    assert lexicon.weigh(pa.array([long]))[0, 0] > 0
+
+
+def test_toxicity_scores_equal_plain_python(llm_spark):
+    """Entries at word beginnings, weights of the heaviest entry at a place, and the curve, one text at a time."""
+    model = {"weights": {"idi": 2.0, "idiot": 4.0, "scum": 3.0}, "slope": [0.7, 0.3], "shift": -1.5}
+    texts = ["you idiot", "Idiom and IDIOT, scum!", "the pond scum", "fine words " * 40 + "scum", "pond scum scummy idi", "", None, "1d1ot"]
+    want = []
+    for k, text in enumerate(texts):
+        plain = "".join({"1": "i"}.get(c, c if c.isalpha() else " ") for c in (text or "").lower()).split()
+        total = sum(4.0 if w.startswith("idiot") else 2.0 if w.startswith("idi") else 3.0 if w.startswith("scum") else 0.0
+                    for j, w in enumerate(plain) if not (w == "scum" and j and plain[j - 1] == "pond"))
+        words = max(len((text or "").split()), 20)
+        z = 0.7 * np.log1p(total) + 0.3 * np.log1p(100 * total / words) - 1.5
+        want.append((k, 1 / (1 + np.exp(-z))))
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(docs, model).collect())
+    assert np.allclose(got, want)
+
+
+def test_cover_is_greedy_and_rare_entries_need_evidence(llm_spark):
+    texts = [{"aaaa"}, {"aaaa", "bbbb"}, {"aaaa", "bbbb"}, {"bbbb", "cccc"}, {"aaaaa", "cccc"}]
+    assert toxicity._choose(texts, {"aaaa": 2, "aaaaa": 9, "bbbb": 2, "cccc": 2}, 1, 1) == ["aaaa", "cccc"]
+    assert toxicity._choose(texts, {"aaaa": 2, "aaaaa": 9, "bbbb": 2, "cccc": 2}, 3, 3) == ["bbbb", "aaaa"][::-1]
+    rows = [(k, "zorgon filler" if k < 40 else "quux filler" if k < 43 else "filler", int(k < 100)) for k in range(200)]
+    docs = llm_spark.createDataFrame([(k, f"{t} {k}") for k, t, _ in rows], "doc_id long, text string")
+    labels = llm_spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, labels, modulus=1, remainder=1)["weights"]
+    assert any(e.startswith("zorg") for e in weights) and not any(e.startswith("quu") or e.startswith("fil") for e in weights)
+
+
 def test_longer_clean_text_lowers_the_weight():
     lexicon = toxicity.Lexicon({"idiot": 4.0})
     x = lexicon.weigh(pa.array(["idiot", "idiot " + "fine " * 500]))
