@@ -201,6 +201,9 @@ _step("dash", f"""
                 WHEN affected_vehicles < 3 OR pct_with_failed_inspection < 50 THEN 'Monitor'
                 ELSE 'High Risk Dealer' END AS dealer_risk_flag
     FROM s WHERE dealer_id IS NOT NULL GROUP BY ALL""", "s")
+for _unit in ("month", "quarter"):
+    _step(f"dash_{_unit}", STEPS["dash"][0].replace("date_trunc('month'", f"date_trunc('{_unit}'").replace(
+        "AS complaint_month", "AS period"), "s")
 _step("analysis", f"""
     SELECT complaint_category AS gap_category, complaint_count, vehicle_count,
            first_reported, last_reported,
@@ -643,6 +646,8 @@ ORACLE: dict[str, str] = {
            FROM (SELECT *, row_number() OVER (PARTITION BY category
                      ORDER BY complaint_count DESC, subcategory) AS rn FROM gapclass)
            WHERE rn <= 15 GROUP BY category""", "gapclass", stored=True),
+    "dashboard_from_states": statement("SELECT * FROM dash_month", "dash_month", stored=True),
+    "quarterly_dashboard": statement("SELECT * FROM dash_quarter", "dash_quarter", stored=True),
     "stored_categories": statement(
         "SELECT DISTINCT category, subcategory FROM gapclass", "gapclass", stored=True),
     "stored_dealers": statement("SELECT DISTINCT dealer_id FROM dash", "dash", stored=True),

@@ -18,7 +18,7 @@ from fleetlens.functions.rules import (
     classify_issue, coverage_gap, map_checklist_item, sql_text)
 from fleetlens.operators import correlation as corr
 from fleetlens.operators import dashboard as dash
-from fleetlens.operators import gaps, inspections, recurrence, rollups, topn, vehicle_state
+from fleetlens.operators import dashboard_state, gaps, inspections, recurrence, rollups, topn, vehicle_state
 from fleetlens.operators.ids import assign_ids
 from fleetlens.plans import lookups, medallion
 from fleetlens.session import scratch_path
@@ -378,6 +378,34 @@ def stored_complaints_of(spark, sf):
     return _joined(lookups.complaints_of(spark, LOOKUP_CATEGORY, prefix=_stored_run(spark, sf)), "failed_items")
 
 
+def _period_dashboard(spark: SparkSession, sf: str, unit: str) -> DataFrame:
+    """From the states of two parts of the stored links, merged."""
+    prefix = _stored_run(spark, sf)
+    linked = medallion.silver_table(spark, "complaint_correlation", prefix)
+    columns = ("vehicle_id", "customer_id")
+    numbers = {}
+    for column in columns:
+        path = scratch_path(spark, "numbers")
+        dashboard_state.numbered(linked, column).write.parquet(path)
+        numbers[column] = spark.read.parquet(path)
+    parts = [linked.where(F.pmod("complaint_id", F.lit(2)) == k) for k in (0, 1)]
+    sums = [dashboard_state.rolled_up(dashboard_state.sums(part), unit) for part in parts]
+    members = [dashboard_state.rolled_up(dashboard_state.members(part, column, numbers[column]), unit)
+               for part in parts for column in columns]
+    return dashboard_state.dashboard(dashboard_state.merge_sums(*sums), dashboard_state.merge_members(*members))
+
+
+@query("dashboard_from_states")
+def dashboard_from_states(spark, sf):
+    return _period_dashboard(spark, sf, "month")
+
+
+@query("quarterly_dashboard")
+def quarterly_dashboard(spark, sf):
+    """Months rolled up to quarters without the complaints."""
+    return _period_dashboard(spark, sf, "quarter")
+
+
 # --- lookups and reports -----------------------------------------------------
 @query("lookup_gap")
 def lookup_gap(spark, sf):
