@@ -228,8 +228,12 @@ def versions(spark: SparkSession, name: str) -> list[str]:
 def sorted_by(df: DataFrame, columns: list[str]) -> DataFrame:
     """Range partitioned and sorted, so that files and row groups hold few values of the first columns.
 
-    A value that many rows share is split by the columns after it; let the last be a key.
+    A value that many rows share is split by the columns after it; let the last be a key.  The ranges are found by a pass
+    over the rows before the one that deals them out, so the rows are written aside first and computed once.
     """
+    path = scratch_path(df.sparkSession, "unsorted")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 

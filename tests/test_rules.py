@@ -1,5 +1,7 @@
 """Golden rows for the rule tables, overlaps and boundaries included."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rule_values as V
@@ -54,6 +56,14 @@ def test_item_and_coverage(spark):
     assert all(a == b and c == d for a, b, c, d in got), got
 
 
+def test_all_lists_in_one_stage_leave_no_method_too_long_to_compile(spark, capsys):
+    texts = spark.createDataFrame([("Service", "brake")], "complaint_category string, description string").select(
+        rules.classify_issue(), rules.map_checklist_item(), rules.coverage_gap())
+    texts.explain(mode="codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    assert all(int(n) < 8000 for n in sizes), sizes
+
+
 def test_severity_boundaries(spark):
     severity, action = rules.gap_severity(F.col("n"))
     got = values(spark, [(n,) for n in (1, 3, 4, 7, 8, 14, 15)], "n long", severity)
