@@ -38,13 +38,16 @@ def heavy_keys(df: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFra
 def left_join_unique(left: DataFrame, rights: list[DataFrame], key: str,
                      heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``left`` left-joined to every frame in ``rights``, each unique on ``key``."""
-    def chain(start: DataFrame, how: str = "left") -> DataFrame:
-        return reduce(lambda acc, r: acc.join(r, key, how), rights, start)
+    def chain(start: DataFrame, frames: list[DataFrame]) -> DataFrame:
+        return reduce(lambda acc, r: acc.join(r, key, "left"), frames, start)
 
     heavy = heavy_keys(left, key, heavy_rows)
+    # the semi join sinks below the aggregates that make the right frames: what they hold of other keys is not
+    # summed up a second time, and nothing at all is read where no key is heavy
+    of_heavy = [r.join(F.broadcast(heavy), key, "left_semi") for r in rights]
     # at most MOST_HEAVY rows by their definition
-    matched = F.broadcast(chain(heavy).withColumn("_heavy", F.lit(True)))
+    matched = F.broadcast(chain(heavy, of_heavy).withColumn("_heavy", F.lit(True)))
     stay = left.join(matched, key, "left").where("_heavy OR " f"`{key}` IS NULL").drop("_heavy")
     move = left.where(F.col(key).isNotNull()).join(F.broadcast(heavy), key, "left_anti")
     columns = [*left.columns, *[c for r in rights for c in r.columns if c != key]]
-    return chain(move).select(columns).unionByName(stay.select(columns))
+    return chain(move, rights).select(columns).unionByName(stay.select(columns))

@@ -1,6 +1,7 @@
 """Correlation: ties, misses, guard, hot keys, and the two ways to the detail table."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,13 @@ def test_rows_of_heavy_keys_are_not_shuffled(skewed):
     assert "CartesianProduct" not in plan and "BroadcastHashJoin" in plan and "Union" in plan
 
 
+def test_only_heavy_keys_are_summed_up_a_second_time(skewed):
+    plan = corr.link(*skewed, heavy_rows=20)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = [n for n, line in enumerate(plan) if "Join LeftSemi" in line]
+    assert len(semi) == 2  # inspections and deliveries
+    assert not any(re.match(r"[ :+-]*(Aggregate|Window)", plan[n + 1]) for n in semi)
+
+
 def test_detail_both_ways(spark, sf_dir):
     cid = [f(spark, sf_dir) for f in (src.complaints, src.inspections, src.deliveries)]
     stored = corr.complaint_detail(cid[0], corr.correlate(*cid))
