@@ -51,16 +51,18 @@ def rows_to_append(df: DataFrame, table: str, key: str, newest: str | None = Non
     df = _in_parts(df, key, keys_a_part)
     columns = [c for c in df.columns if c != newest]
     ties = F.xxhash64(*columns)
-    keyed = latest_by(df.where(F.col(key).isNotNull()).withColumn("_tie", ties), [key],
-                      [newest] if newest else [], ["_tie"]).select(columns)
-    keyless = df.where(F.col(key).isNull()).select(columns).distinct()
-    if spark.catalog.tableExists(table):
-        there = _stored(spark, table)
-        parts = [r[0] for r in keyed.select(KEY_PART).distinct().limit(MOST_PARTS + 1).collect()]
-        known = there.where(F.col(KEY_PART).isin(parts)) if len(parts) <= MOST_PARTS else there
-        keyed = keyed.join(known.select(key), key, "left_anti").select(columns)
-        keyless = keyless.subtract(there.where(F.col(KEY_PART).isNull()).select(columns))
-    return keyed.unionByName(keyless)
+    # a row without a key stands for itself, so one pass over the batch does for both kinds
+    itself = F.when(F.col(key).isNull(), F.struct(*columns))
+    rows = latest_by(df.withColumn("_tie", ties).withColumn("_itself", itself), [key, "_itself"],
+                     [newest] if newest else [], ["_tie"]).select(columns)
+    if not spark.catalog.tableExists(table):
+        return rows
+    keyed, keyless = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    there = _stored(spark, table)
+    parts = [r[0] for r in keyed.select(KEY_PART).distinct().limit(MOST_PARTS + 1).collect()]
+    known = there.where(F.col(KEY_PART).isin(parts)) if len(parts) <= MOST_PARTS else there
+    keyed = keyed.join(known.select(key), key, "left_anti").select(columns)
+    return keyed.unionByName(keyless.subtract(there.where(F.col(KEY_PART).isNull()).select(columns)))
 
 
 def append_new(df: DataFrame, table: str, key: str, newest: str | None = None,

@@ -152,6 +152,26 @@ def test_of_versions_in_a_batch_the_newest_is_kept(spark, growing):
     assert sorted(map(tuple, sinks.fresh_table(spark, growing).collect()), key=str) == got
 
 
+def test_the_first_batch_is_read_once(spark, growing):
+    batch = spark.range(20).select(F.when(F.col("id") > 5, F.col("id")).alias("k"), (F.col("id") % 2).alias("v"))
+    rows = sinks.rows_to_append(batch, growing, "k")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert sorted((r.k, r.v) for r in rows.collect() if r.k) == [(n, n % 2) for n in range(6, 20)]
+    assert sorted(r.v for r in rows.collect() if r.k is None) == [0, 1]
+
+
+def test_sorted_rows_are_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        calls.add(1)
+        return n % 7
+
+    df = spark.range(100).select("id", F.udf(counted, "long")("id").alias("v"))
+    assert [(r.v, r.id) for r in sinks.sorted_by(df, ["v", "id"]).collect()] == sorted((n % 7, n) for n in range(100))
+    assert calls.value == 100
+
+
 def test_keys_of_any_type_have_a_part(spark, growing):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "k string, v int")
     for _ in range(2):
